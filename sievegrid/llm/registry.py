@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievegrid.llm.minhash_join import ORACLE_OP3, op3_minhash_join
 from sievegrid.llm.mixing import op6_source_mixture
 from sievegrid.llm.packing import op10_best_fit_packing
 from sievegrid.llm.token_files import op9_token_files
@@ -13,6 +14,7 @@ from sievegrid.llm.token_files import op9_token_files
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_minhash_join": op3_minhash_join,
         "op6_source_mixture": op6_source_mixture,
         "op9_token_files": op9_token_files,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -20,4 +22,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_minhash_join": ORACLE_OP3}

@@ -59,13 +59,14 @@ def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[off[0] : off[-1]], off - off[0]
 
 
-def slices(column: pa.Array, most: int = SLICE_BYTES):
-    """(first row, row after the last) of pieces of about that many bytes; a longer row stands alone."""
+def slices(column: pa.Array, most: int = SLICE_BYTES, rows: int = 4096):
+    """(first row, row after the last) of pieces of at most about so many bytes and so many rows; a longer row stands alone."""
     _, off = packed(column)
     at, n = 0, len(off) - 1
     while at < n:
         to = max(at + 1, int(np.searchsorted(off, off[at] + most, side="right")) - 1)
-        yield at, min(to, n)
+        to = min(to, at + rows, n)
+        yield at, to
         at = to
 
 
