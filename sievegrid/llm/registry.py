@@ -9,12 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from sievegrid.llm.minhash_join import ORACLE_OP3, op3_minhash_join
 from sievegrid.llm.mixing import op6_source_mixture
 from sievegrid.llm.packing import op10_best_fit_packing
+from sievegrid.llm.quality_knn import op1_quality_knn
 from sievegrid.llm.token_files import op9_token_files
+from sievegrid.llm.toxicity import op4_toxicity_counterfactual
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_knn": op1_quality_knn,
         "op3_minhash_join": op3_minhash_join,
+        "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
         "op6_source_mixture": op6_source_mixture,
         "op9_token_files": op9_token_files,
         "op10_best_fit_packing": op10_best_fit_packing,
