@@ -2,7 +2,8 @@
 
 A folder holds for each range partition k of the documents, in ascending doc_id order:
 
-* part-k.bin: all token ids as little-endian unsigned 32-bit integers, one document after the other
+* part-k.bin: all token ids as little-endian unsigned integers, one document after the other; 16 bits wide where
+  the vocabulary fits, else 32
 * part-k.off: n + 1 little-endian unsigned 64-bit offsets of the documents, counted from the part's first id
 * part-k.doc: n little-endian signed 64-bit doc_ids, then n bytes that are 1 where doc_id is not null
 
@@ -32,6 +33,7 @@ class TokenFiles:
 
     folder: str
     bases: list[tuple[int, int]]
+    width: str
 
 
 def _store(folder: str):
@@ -43,6 +45,7 @@ def _store(folder: str):
 def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int = END_ID) -> TokenFiles:
     """Encode doc_id, text (null: empty) and write the files. Rows without doc_id come first; equal doc_ids follow each other by text."""
     tokenizer = tokenizer or tokenizer_path()
+    width = "<u2" if max(Encoder.of(tokenizer).library.get_vocab_size(), end + 1) <= 1 << 16 else "<u4"
 
     def write_part(batches):
         from pyspark import TaskContext
@@ -57,7 +60,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
                 texts, keys = batch.column(1), batch.column(0)
                 for a, b in slices(texts):
                     flat, off = with_end(*encoder.ids(texts.slice(a, b - a)), end)
-                    out.write(flat.tobytes())
+                    out.write(flat.astype(width).tobytes())
                     offsets.append(off[1:] + total)
                     total += len(flat)
                 there.append(np.asarray(keys.is_valid()).astype(np.uint8))
@@ -78,16 +81,16 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
         bases.append((docs_before, ids_before))
         n, m = sizes.get(k, (0, 0))
         docs_before, ids_before = docs_before + n, ids_before + m
-    return TokenFiles(folder, bases)
+    return TokenFiles(folder, bases, width)
 
 
-def read_part(folder: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def read_part(folder: str, k: int, width: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(ids, offsets, doc_ids, doc_id is there) of a part; ids are mapped, not read, where the folder is a mounted one."""
     from pyarrow import fs
 
     store, at = _store(folder)
     arrays = []
-    for kind, dtype in (("bin", "<u4"), ("off", "<u8"), ("doc", np.uint8)):
+    for kind, dtype in (("bin", width), ("off", "<u8"), ("doc", np.uint8)):
         path = f"{at}/part-{k:06d}.{kind}"
         if isinstance(store, fs.LocalFileSystem):
             buffer = pa.memory_map(path).read_buffer()
@@ -102,12 +105,12 @@ def read_part(folder: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 
 def read(spark: SparkSession, files: TokenFiles, per_document, schema: str) -> DataFrame:
     """Rows that per_document(doc_ids, there, first id of each document, ids, offsets) gives as a dict of columns, for each part."""
-    folder, bases = files.folder, files.bases
+    folder, bases, width = files.folder, files.bases, files.width
 
     def read_parts(batches):
         for batch in batches:
             for k in batch.column(0).to_pylist():
-                ids, off, doc, there = read_part(folder, k)
+                ids, off, doc, there = read_part(folder, k, width)
                 if len(doc):
                     yield pa.RecordBatch.from_pydict(per_document(doc, there, off[:-1] + bases[k][1], ids, off))
 
@@ -116,8 +119,8 @@ def read(spark: SparkSession, files: TokenFiles, per_document, schema: str) -> D
 
 
 def document_digests(doc, there, start, ids, off) -> dict:
-    """doc_id, start, n_tokens and the crc32 of each document's ids."""
-    crc = [zlib.crc32(ids[a:b]) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
+    """doc_id, start, n_tokens and the crc32 of each document's ids as 32-bit integers."""
+    crc = [zlib.crc32(ids[a:b].astype("<u4")) for a, b in zip(off[:-1].tolist(), off[1:].tolist(), strict=True)]
     return {"doc_id": pa.array(doc, mask=~there), "start": pa.array(start), "n_tokens": pa.array(np.diff(off)), "ids_crc32": pa.array(crc, pa.int64())}
 
 
