@@ -107,6 +107,11 @@ def postings(classes: DataFrame) -> DataFrame:
     order = Window.partitionBy("key").orderBy(F.desc("df"), F.desc("token"))
     kept = posted.join(shared, "token").withColumn("place", F.row_number().over(order)).filter(F.col("place") > LEAST_MATCHES - 1)
     rows = kept.select("key", "token", "df").join(classes.select("key", "n_shingles", "marks"), "key")
+    return blocked(rows)
+
+
+def blocked(rows: DataFrame) -> DataFrame:
+    """The rows (key, token, df, n_shingles, marks) of lists over BLOCK long, dealt to pairs of blocks."""
     blocks = F.ceil(F.col("df") / BLOCK).cast("int")
     rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
@@ -154,14 +159,31 @@ def _pairs_of_groups(first: np.ndarray, size: np.ndarray):
         at = to
 
 
-def _candidates(star: bool):
-    """Pairs (a, b) that agree in enough coordinates and whose sizes allow the similarity; star: for each row one partner only."""
+class Agreement:
+    """Marks of two classes agree in enough coordinates, and their sizes allow the similarity."""
+
+    likely = COORDINATES - LIKELY_MATCHES
+
+    def read(self, marks: list[bytes]) -> np.ndarray:
+        return np.frombuffer(b"".join(marks), dtype=np.uint32).reshape(-1, COORDINATES)
+
+    def sizes_fit(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        return 100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m)
+
+    def distance(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(coordinates that differ, whether few enough)."""
+        differ = (x != y).sum(axis=1)
+        return differ, differ <= COORDINATES - LEAST_MATCHES
+
+
+def _candidates(star: bool, rule):
+    """Pairs (a, b) that the rule allows, of different components; star: for each row one partner only."""
 
     def run(batches):
         for table in _whole_groups(batches):
             token, i, j, block = (table.column(k).to_numpy() for k in range(4))
             n = table["n_shingles"].to_numpy()
-            marks = np.frombuffer(b"".join(table["marks"].to_pylist()), dtype=np.uint32).reshape(-1, COORDINATES)
+            marks = rule.read(table["marks"].to_pylist())
             keys = table["key"].to_pylist()
             label = table["component"].to_pylist()
             _, label = np.unique(np.array(label, dtype="S16"), return_inverse=True)
@@ -173,17 +195,16 @@ def _candidates(star: bool):
             partner = np.full(len(token), -1, dtype=np.int64)
             found: list[tuple[np.ndarray, np.ndarray]] = []
             for left, right in _pairs_of_groups(change, size):
-                ok = (label[left] != label[right]) & (100 * np.minimum(n[left], n[right]) >= PERCENT * np.maximum(n[left], n[right]))
+                ok = (label[left] != label[right]) & rule.sizes_fit(n[left], n[right])
                 ok &= (i[left] == j[left]) | (block[left] != block[right])
                 left, right = left[ok], right[ok]
-                matches = (marks[left] == marks[right]).sum(axis=1)
-                ok = matches >= LEAST_MATCHES
-                left, right, matches = left[ok], right[ok], matches[ok]
+                differ, ok = rule.distance(marks[left], marks[right])
+                left, right, differ = left[ok], right[ok], differ[ok]
                 if not star:
                     found.append((left, right))
                     continue
                 for x, y in ((left, right), (right, left)):
-                    worth = np.where(matches >= LIKELY_MATCHES, 0, (COORDINATES - matches) << 40) + rank[y]
+                    worth = np.where(differ <= rule.likely, 0, differ.astype(np.int64) << 40) + rank[y]
                     order = np.lexsort((worth, x))
                     x, y, worth = x[order], y[order], worth[order]
                     one = np.concatenate([[True], x[1:] != x[:-1]]) if len(x) else np.zeros(0, bool)
@@ -202,7 +223,7 @@ def _candidates(star: bool):
     return run
 
 
-def candidates(posted: DataFrame, labels: DataFrame | None, star: bool) -> DataFrame:
+def candidates(posted: DataFrame, labels: DataFrame | None, star: bool, rule=None) -> DataFrame:
     """Distinct candidate pairs a < b of different components."""
     if labels is None:
         rows = posted.withColumn("component", F.col("key"))
@@ -210,7 +231,7 @@ def candidates(posted: DataFrame, labels: DataFrame | None, star: bool) -> DataF
         rows = posted.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     rows = rows.select("token", "i", "j", "block", "key", "n_shingles", "marks", "component")
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_candidates(star), "a binary, b binary").distinct()
+    return dealt.mapInArrow(_candidates(star, rule or Agreement()), "a binary, b binary").distinct()
 
 
 def full_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:

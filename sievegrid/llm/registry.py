@@ -10,15 +10,19 @@ from sievegrid.llm.minhash_join import ORACLE_OP3, op3_minhash_join
 from sievegrid.llm.mixing import op6_source_mixture
 from sievegrid.llm.packing import op10_best_fit_packing
 from sievegrid.llm.quality_knn import op1_quality_knn
+from sievegrid.llm.simhash import op2_simhash
 from sievegrid.llm.token_files import op9_token_files
 from sievegrid.llm.toxicity import op4_toxicity_counterfactual
+from sievegrid.llm.vafile import ORACLE_OP5, op5_va_file_topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_knn": op1_quality_knn,
+        "op2_simhash": op2_simhash,
         "op3_minhash_join": op3_minhash_join,
         "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
+        "op5_va_file_topk": op5_va_file_topk,
         "op6_source_mixture": op6_source_mixture,
         "op9_token_files": op9_token_files,
         "op10_best_fit_packing": op10_best_fit_packing,
@@ -26,4 +30,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_minhash_join": ORACLE_OP3}
+    return {"op3_minhash_join": ORACLE_OP3, "op5_va_file_topk": ORACLE_OP5}
