@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.labelled import held_out, sample
 from sievegrid.llm.shared import documents
+from sievegrid.llm.shared import filtered as kept_rows
 from sievegrid.llm.textbytes import packed, slices, span_hashes, words
 
 #: Bounds of the model: labelled documents of either label that are read for it, size of the latent space, voters.
@@ -142,6 +143,12 @@ def scored(docs: DataFrame, labels: DataFrame, each: int = EACH, threshold: floa
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def filtered(docs: DataFrame, model: Voters, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the voters find good, as they are; all of them where nobody votes."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, lambda texts: given.value.scores(terms(texts)) >= (threshold if len(given.value.labels) else 0.0))
+
+
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all documents."""
     return scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))

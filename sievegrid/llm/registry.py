@@ -6,10 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from sievegrid.llm.hmm import op7_hmm_lm
 from sievegrid.llm.minhash_join import ORACLE_OP3, op3_minhash_join
 from sievegrid.llm.mixing import op6_source_mixture
 from sievegrid.llm.packing import op10_best_fit_packing
 from sievegrid.llm.quality_knn import op1_quality_knn
+from sievegrid.llm.sharding import op8_balanced_shards
 from sievegrid.llm.simhash import op2_simhash
 from sievegrid.llm.token_files import op9_token_files
 from sievegrid.llm.toxicity import op4_toxicity_counterfactual
@@ -24,6 +26,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_toxicity_counterfactual": op4_toxicity_counterfactual,
         "op5_va_file_topk": op5_va_file_topk,
         "op6_source_mixture": op6_source_mixture,
+        "op7_hmm_lm": op7_hmm_lm,
+        "op8_balanced_shards": op8_balanced_shards,
         "op9_token_files": op9_token_files,
         "op10_best_fit_packing": op10_best_fit_packing,
     }

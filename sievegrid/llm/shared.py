@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sievegrid.llm.textbytes import slices
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by spark.checkpoint.dir, which all executors see; only where it is unset (tests on one machine) a local one."""
@@ -51,13 +54,13 @@ def bucket_of(columns: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
-def running_totals(df: DataFrame, key: str, order: list[str], amount: Column, total: str, buckets: int = 256) -> DataFrame:
-    """Adds column `total`: the sum of `amount` over the rows of the same key that come before, ordered by the hash bucket of `order` and then by `order`.
+def running_totals(df: DataFrame, key: str, order: list[str], amount: Column, total: str, buckets: int = 256, bucket: Column | None = None) -> DataFrame:
+    """Adds column `total`: the sum of `amount` over the rows of the same key that come before, ordered by the bucket and then by `order`.
 
-    A key may hold most of the rows: they are dealt over `buckets` hash buckets that are summed apart,
+    A key may hold most of the rows: they are dealt over `buckets` hash buckets of `order`, or those given, that are summed apart,
     and only one row for each key and bucket is ordered by key alone.
     """
-    cut = df.withColumn("_amount", amount).withColumn("_bucket", bucket_of(order, buckets))
+    cut = df.withColumn("_amount", amount).withColumn("_bucket", bucket_of(order, buckets) if bucket is None else bucket)
     sums = cut.groupBy(key, "_bucket").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col(key).alias("_key"), F.col("_bucket").alias("_b"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_base"))
@@ -65,3 +68,16 @@ def running_totals(df: DataFrame, key: str, order: list[str], amount: Column, to
     cut = cut.withColumn("_inside", F.coalesce(F.sum("_amount").over(inside), F.lit(0)))
     out = cut.join(bases, cut[key].eqNullSafe(bases["_key"]) & (cut["_bucket"] == bases["_b"]))
     return out.withColumn(total, F.col("_base") + F.col("_inside")).drop("_amount", "_bucket", "_key", "_b", "_base", "_inside")
+
+
+def filtered(docs: DataFrame, keep) -> DataFrame:
+    """The rows of docs whose text passes: keep(column of texts) gives a boolean for each. Columns stay as they are."""
+    at = docs.columns.index("text")
+
+    def sift(batches):
+        for batch in batches:
+            for a, b in slices(batch.column(at)):
+                part = batch.slice(a, b - a)
+                yield part.filter(pa.array(keep(part.column(at))))
+
+    return docs.mapInArrow(sift, docs.schema)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.labelled import held_out, sample
 from sievegrid.llm.shared import documents
+from sievegrid.llm.shared import filtered as kept_rows
 from sievegrid.llm.textbytes import LOWER, U64, mix64, packed, slices, span_hashes
 
 #: Bounds of the model: labelled documents of either label that are read for it, words of the vocabulary.
@@ -199,6 +200,12 @@ def scored(docs: DataFrame, labels: DataFrame, each: int = EACH, threshold: floa
     return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
 
 
+def filtered(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs that the model does not find toxic, as they are."""
+    given = docs.sparkSession.sparkContext.broadcast(model)
+    return kept_rows(docs, lambda texts: given.value.scores(texts) < threshold)
+
+
 def op4_toxicity_counterfactual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of all documents."""
     return scored(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
