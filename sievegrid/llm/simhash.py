@@ -46,20 +46,14 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 class _Radius:
     """The rule for candidates(): fingerprints within the radius."""
 
-    likely = RADIUS
-
     def __init__(self, radius: int):
         self.radius = radius
 
     def read(self, marks: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(marks), dtype=np.uint8).reshape(-1, BITS // 8)
-
-    def sizes_fit(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
-        return np.ones(len(n), dtype=bool)
+        return np.frombuffer(b"".join(marks), dtype=np.uint64).reshape(-1, WORDS64)
 
-    def distance(self, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        far = np.bitwise_count(x ^ y).sum(axis=1)
-        return far, far <= self.radius
+    def allowed(self, marks: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(marks[left] ^ marks[right]).sum(axis=1) <= self.radius
 
 
 def block_tables(classes: DataFrame, radius: int) -> DataFrame:
