@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.functions import intents
 from sievegrid.functions.text import clipped
-from sievegrid.functions.urls import parsed_url, registrable_domain
+from sievegrid.functions.urls import host_of, registrable_domain
 
 # Rule codes with score and severity, weights and bands.
 CATALOGUE = {
@@ -33,8 +33,8 @@ def _first(items: Column, condition, value) -> Column:
 
 
 def display_domain(display: Column) -> Column:
-    shown = parsed_url(F.trim(display))["registrable_domain"]
-    return F.when(shown != "", shown).otherwise(registrable_domain(F.trim(display)))
+    """The registrable domain that a link's text shows, or empty."""
+    return registrable_domain(host_of(display))
 
 
 def target_domain(link: Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -43,41 +43,36 @@ def normalized(c: Column | str) -> Column:
     return F.regexp_replace(t, r"(?U)^\s+|\s+$", "")
 
 
-def masked(c: Column | str) -> Column:
-    """Struct text, emails, urls, numbers: addresses, then links, then long numbers are counted and replaced."""
-    t = normalized(c)
-    no_email = F.regexp_replace(t, EMAIL, "<EMAIL>")
-    no_url = F.regexp_replace(no_email, URL, "<URL>")
-    return F.struct(
-        F.regexp_replace(no_url, LONG_NUMBER, "<NUMBER>").alias("text"),
-        F.regexp_count(t, F.lit(EMAIL)).alias("emails"),
-        F.regexp_count(no_email, F.lit(URL)).alias("urls"),
-        F.regexp_count(no_url, F.lit(LONG_NUMBER)).alias("numbers"),
-    )
-
-
-def model_text(subject: Column | str, body: Column | str, limit: int = MODEL_TEXT_CHARS) -> Column:
-    """Struct of the cleaned subject and body, the text models read, counts of masks, and warnings."""
-    s, b = masked(subject), masked(body)
-    whole = F.concat(s["text"], F.lit("\n"), b["text"])
-    return F.struct(
-        s["text"].alias("subject"),
-        b["text"].alias("text_body"),
-        F.substring(whole, 1, limit).alias("model_text"),
-        (F.length(text_of(subject)) + F.length(text_of(body))).alias("original_chars"),
-        F.least(F.length(whole), F.lit(limit)).alias("cleaned_chars"),
-        (s["emails"] + b["emails"]).alias("emails"),
-        (s["urls"] + b["urls"]).alias("urls"),
-        (s["numbers"] + b["numbers"]).alias("numbers"),
-        (F.length(whole) > limit).alias("truncated"),
-        F.array_compact(
-            F.array(
-                F.when(s["text"] == "", "empty_subject"),
-                F.when(b["text"] == "", "empty_text_body"),
-                F.when(F.length(whole) > limit, "model_text_truncated"),
-            )
-        ).alias("warnings"),
-    )
+def with_masks(df: DataFrame, columns: dict[str, Column | str]) -> DataFrame:
+    """For each name → text a column `name` with addresses, then links, then long numbers replaced, and name_emails, name_urls, name_numbers that count them.
+
+    The steps are columns of their own, so that each is computed once.
+    """
+    names = list(columns)
+    df = df.withColumns({f"_{n}0": normalized(c) for n, c in columns.items()})
+    df = df.withColumns({f"_{n}1": F.regexp_replace(f"_{n}0", EMAIL, "<EMAIL>") for n in names})
+    df = df.withColumns({f"_{n}2": F.regexp_replace(f"_{n}1", URL, "<URL>") for n in names})
+    found = {f"{n}_{kind}": F.regexp_count(f"_{n}{k}", F.lit(pattern)) for n in names for k, (kind, pattern) in enumerate((("emails", EMAIL), ("urls", URL), ("numbers", LONG_NUMBER)))}
+    out = df.withColumns(found | {n: F.regexp_replace(f"_{n}2", LONG_NUMBER, "<NUMBER>") for n in names})
+    return out.drop(*(f"_{n}{k}" for n in names for k in range(3)))
+
+
+def with_model_text(df: DataFrame, subject: str = "subject", body: str = "text_body", limit: int = MODEL_TEXT_CHARS) -> DataFrame:
+    """Adds clean_subject, clean_body, model_text (cut at limit), original_chars, cleaned_chars, emails, urls, numbers, truncated and parse_warnings."""
+    df = with_masks(df, {"clean_subject": subject, "clean_body": body})
+    df = df.withColumn("_whole", F.concat("clean_subject", F.lit("\n"), "clean_body"))
+    truncated = F.length("_whole") > limit
+    add = lambda k: F.col(f"clean_subject_{k}") + F.col(f"clean_body_{k}")
+    out = df.withColumns(
+        {
+            "model_text": F.substring("_whole", 1, limit),
+            "original_chars": (F.length(text_of(subject)) + F.length(text_of(body))).cast("long"),
+            "cleaned_chars": F.least(F.length("_whole"), F.lit(limit)),
+            "emails": add("emails"), "urls": add("urls"), "numbers": add("numbers"), "truncated": truncated,
+            "parse_warnings": F.array_compact(F.array(F.when(F.col("clean_subject") == "", "empty_subject"), F.when(F.col("clean_body") == "", "empty_text_body"), F.when(truncated, "model_text_truncated"))),
+        }
+    )
+    return out.drop("_whole", *(f"clean_{c}_{k}" for c in ("subject", "body") for k in ("emails", "urls", "numbers")))
 
 
 def char_text(subject: Column | str, body: Column | str, limit: int = MODEL_TEXT_CHARS) -> Column:
@@ -103,14 +98,17 @@ def tokens(c: Column | str) -> Column:
     return F.regexp_extract_all(F.lower(text_of(c)), F.lit(TOKEN), F.lit(0))
 
 
-def simhash64(c: Column | str) -> Column:
-    """64 token votes as a bit string in hexadecimal, from the first 16 hex digits of each token's MD5; a tie sets the bit."""
-    hashes = F.transform(tokens(c), lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 16), 16, -10).cast("long"))
-    bits = F.transform(
-        F.sequence(F.lit(0), F.lit(63)),
-        lambda b: F.when(F.aggregate(hashes, F.lit(0), lambda a, h: a + F.when(F.shiftright(h, b).bitwiseAND(1) == 1, 1).otherwise(-1)) >= 0, "1").otherwise("0"),
-    )
-    return F.lpad(F.lower(F.conv(F.reverse(F.array_join(bits, "")), 2, 16)), 16, "0")
+def simhash64(df: DataFrame, row_id: str, column: str) -> DataFrame:
+    """row_id, simhash: 64 token votes as 16 hex digits, from the first 16 digits of each token's MD5; a tie sets the bit, so a text without tokens has all.
+
+    The votes are partial sums of one aggregation; no array of a document's hashes is built.
+    """
+    h = F.md5(F.col("_t").cast("binary"))
+    halves = df.select(row_id, F.explode_outer(tokens(column)).alias("_t")).select(row_id, *(F.conv(F.substring(h, 8 * k + 1, 8), 16, 10).cast("long").alias(f"_h{k}") for k in (0, 1)))
+    vote = lambda k, b: F.coalesce(F.sum(F.when(F.shiftright(f"_h{k}", b).bitwiseAND(1) == 1, 1).when(F.col(f"_h{k}").isNotNull(), -1)), F.lit(0)) >= 0
+    votes = halves.groupBy(row_id).agg(*(F.when(vote(k, b), 1 << b).otherwise(0).cast("long").alias(f"_v{k}_{b}") for k in (0, 1) for b in range(32)))
+    word = lambda k: F.lpad(F.lower(F.hex(sum((F.col(f"_v{k}_{b}") for b in range(1, 32)), F.col(f"_v{k}_0")))), 8, "0")
+    return votes.select(row_id, F.concat(word(0), word(1)).alias("simhash"))
 
 
 def clipped(c: Column | str, limit: int = 160) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import StringType
@@ -80,55 +80,59 @@ def looks_alike(host: Column) -> Column:
     return F.exists(F.slice(labels, 1, F.greatest(F.size(labels) - 1, F.lit(0))), lambda x: (read(x) != x) & F.exists(F.array(*map(F.lit, BRANDS)), lambda b: F.contains(read(x), b)))
 
 
-def parsed_url(raw: Column | str, display: Column | None = None) -> Column:
-    """Struct of a link's parts, its normal form, and the tokens that make it suspicious. A link that can't be read has an empty normal form and parse_error."""
-    r = F.trim(text_of(raw))
-    has_scheme = r.rlike(r"(?i)^[a-z][a-z0-9+.-]*://")
-    bare = ~has_scheme & (r.startswith("www.") | r.rlike(r"(?i)^(?:[a-z0-9-]+\.)+[a-z]{2,}(?:[/:?#]|$)"))
-    u = F.when(bare, F.concat(F.lit("http://"), r)).otherwise(r)
+def host_of(raw: Column) -> Column:
+    """The lower-case host of a link or bare domain; empty where there is none."""
+    bare = F.regexp_replace(F.trim(raw), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    return F.lower(F.rtrim(F.regexp_extract(F.regexp_replace(bare, r"^[^/?#]*@", ""), r"^([^/?#:]*)", 1), F.lit(".")))
+
+
+PARTS = ["raw_url", "normalized_url", "display_text", "scheme", "host", "registrable_domain", "port", "path", "query", "is_https", "uses_ip", "is_shortener", "suspicious_tokens"]
+
+
+def with_parsed(df: DataFrame, raw: str, display: Column | None = None) -> DataFrame:
+    """Adds the PARTS of the link in column raw: its normal form and the tokens that make it suspicious.
+
+    A link that can't be read has an empty normal form and parse_error. The steps are columns of their own, so that
+    each is computed once.
+    """
+    keep = [c for c in df.columns if c not in PARTS]
+    r, u = F.col("_r"), F.col("_u")
+    df = df.withColumn("_r", F.trim(text_of(raw))).withColumn("_shown", F.lit("") if display is None else F.coalesce(display, F.lit("")))
+    bare = ~r.rlike(r"(?i)^[a-z][a-z0-9+.-]*://") & (r.startswith("www.") | r.rlike(r"(?i)^(?:[a-z0-9-]+\.)+[a-z]{2,}(?:[/:?#]|$)"))
+    df = df.withColumn("_bare", bare).withColumn("_u", F.when(F.col("_bare"), F.concat(F.lit("http://"), r)).otherwise(r))
     part = lambda k: F.regexp_extract(u, r"(?s)^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?", k)
-    scheme, netloc, path, query = F.lower(part(1)), part(2), part(3), part(4)
-    place = F.regexp_replace(netloc, r"^.*@", "")
+    df = df.withColumns({"_scheme": F.lower(part(1)), "_net": part(2), "_path": part(3), "_query": part(4)})
+    df = df.withColumn("_place", F.regexp_replace("_net", r"^.*@", ""))
+    place, scheme, net, path, q = (F.col(f"_{c}") for c in ("place", "scheme", "net", "path", "query"))
     host_text = F.lower(F.rtrim(F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(place, r"^([^:]*)", 1)), F.lit(".")))
-    odd = host_text.rlike(r"[^\x00-\x7F]")
-    host = F.when(odd, _idna(F.when(odd, host_text).otherwise(F.lit("a")))).otherwise(host_text)
-    port_text = F.regexp_extract(F.regexp_replace(place, r"^\[[^\]]*\]", ""), r":(.*)$", 1)
-    bad_port = (port_text != "") & (~port_text.rlike(r"^\d{1,5}$") | (F.coalesce(port_text.try_cast("int"), F.lit(70000)) > 65535))
-    bad = (scheme == "") | (netloc == "")
-    port = port_text.try_cast("int")
-    port = F.when(((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443)), F.lit(None).cast("int")).otherwise(port)
-    ip = is_ip(host)
-    domain = F.when(ip | (host == "localhost"), "").otherwise(registrable_domain(host))
+    df = df.withColumns({"_name": host_text, "_port": F.regexp_extract(F.regexp_replace(place, r"^\[[^\]]*\]", ""), r":(.*)$", 1)})
+    odd = F.col("_name").rlike(r"[^\x00-\x7F]")
+    df = df.withColumn("_host", F.when(odd, _idna(F.when(odd, F.col("_name")).otherwise(F.lit("a")))).otherwise(F.col("_name")))
+    host, port = F.col("_host"), F.col("_port").try_cast("int")
+    bad_port = (F.col("_port") != "") & (~F.col("_port").rlike(r"^\d{1,5}$") | (F.coalesce(port, F.lit(70000)) > 65535))
+    df = df.withColumns({"_bad": (scheme == "") | (net == ""), "_badport": bad_port, "_ip": is_ip(host)})
+    df = df.withColumns({"_ok": ~F.col("_bad") & ~F.col("_badport"), "_n": F.when(((scheme == "http") & (port == 80)) | ((scheme == "https") & (port == 443)), F.lit(None).cast("int")).otherwise(port)})
+    df = df.withColumn("_domain", F.when(F.col("_ip") | (host == "localhost"), "").otherwise(registrable_domain(host)))
+    ok, ip, domain = F.col("_ok"), F.col("_ip"), F.col("_domain")
     short = F.when(domain != "", domain).otherwise(host).isin(SHORTENERS)
-    authority = F.concat(F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.when(port.isNotNull(), F.concat(F.lit(":"), port)).otherwise(""))
-    normal = F.concat(scheme, F.lit("://"), authority, path, F.when(query != "", F.concat(F.lit("?"), query)).otherwise(""))
     below = F.trim(F.substring(host, F.lit(1), F.length(host) - F.length(domain)), F.lit("."))
-    dots = F.length(below) - F.length(F.replace(below, F.lit("."), F.lit("")))
-    searched = F.lower(F.concat_ws(" ", path, query, r))
+    df = df.withColumns({"_short": short, "_dots": F.length(below) - F.length(F.replace(below, F.lit("."), F.lit(""))), "_searched": F.lower(F.concat_ws(" ", path, q, r))})
+    authority = F.concat(F.when(host.contains(":"), F.concat(F.lit("["), host, F.lit("]"))).otherwise(host), F.when(F.col("_n").isNotNull(), F.concat(F.lit(":"), F.col("_n"))).otherwise(""))
+    normal = F.concat(scheme, F.lit("://"), authority, path, F.when(q != "", F.concat(F.lit("?"), q)).otherwise(""))
     flags = F.array(
-        F.when(scheme != "https", "non_https"), F.when(ip, "ip_host"), F.when(short, "shortener"), F.when(F.length(r) >= 120, "long_url"), F.when(netloc.contains("@"), "userinfo"),
-        F.when(path.contains("%") | query.contains("%"), "encoded_chars"), F.when((domain != "") & host.endswith(domain) & (dots >= 2), "many_subdomains"),
+        F.when(F.col("_bare"), "missing_scheme"), F.when(scheme != "https", "non_https"), F.when(ip, "ip_host"), F.when(F.col("_short"), "shortener"), F.when(F.length(r) >= 120, "long_url"),
+        F.when(net.contains("@"), "userinfo"), F.when(path.contains("%") | q.contains("%"), "encoded_chars"), F.when((domain != "") & host.endswith(domain) & (F.col("_dots") >= 2), "many_subdomains"),
     )
     late = F.array(F.when(host.contains("xn--"), "punycode"), F.when(looks_alike(host), "lookalike_characters"))
-    words = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(searched, k))
-    first = F.array(F.when(bare, "missing_scheme"))
-    tokens = F.when(bad | bad_port, F.concat(first, F.array(F.lit("parse_error")))).otherwise(F.concat(first, flags, words, late))
-    ok = ~bad & ~bad_port
-    return F.struct(
-        r.alias("raw_url"),
-        F.when(ok, normal).otherwise("").alias("normalized_url"),
-        (F.lit("") if display is None else F.coalesce(display, F.lit(""))).alias("display_text"),
-        F.when(bad, "").otherwise(scheme).alias("scheme"),
-        F.when(bad, "").otherwise(host).alias("host"),
-        F.when(ok, domain).otherwise("").alias("registrable_domain"),
-        F.when(ok, port).alias("port"),
-        F.when(ok, path).otherwise("").alias("path"),
-        F.when(ok, query).otherwise("").alias("query"),
-        (ok & (scheme == "https")).alias("is_https"),
-        (ok & ip).alias("uses_ip"),
-        (ok & short).alias("is_shortener"),
-        F.array_distinct(F.array_compact(tokens)).alias("suspicious_tokens"),
-    )
+    words = F.filter(F.array(*map(F.lit, KEYWORDS)), lambda k: F.contains(F.col("_searched"), k))
+    unread = F.array(F.when(F.col("_bare"), "missing_scheme"), F.lit("parse_error"))
+    return df.select(
+        *keep,
+        r.alias("raw_url"), F.when(ok, normal).otherwise("").alias("normalized_url"), F.col("_shown").alias("display_text"), F.when(F.col("_bad"), "").otherwise(scheme).alias("scheme"),
+        F.when(F.col("_bad"), "").otherwise(host).alias("host"), F.when(ok, domain).otherwise("").alias("registrable_domain"), F.when(ok, F.col("_n")).alias("port"),
+        F.when(ok, path).otherwise("").alias("path"), F.when(ok, q).otherwise("").alias("query"), (ok & (scheme == "https")).alias("is_https"), (ok & ip).alias("uses_ip"), (ok & F.col("_short")).alias("is_shortener"),
+        F.array_distinct(F.array_compact(F.when(ok, F.concat(flags, words, late)).otherwise(unread))).alias("suspicious_tokens"),
+    )
 
 
 def nested_url(query: Column) -> Column:

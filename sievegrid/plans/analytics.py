@@ -63,8 +63,8 @@ def d06_detail(spark, d):
   SELECT a.key AS left_key, b.key AS right_key FROM p a JOIN p b ON a.key < b.key AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3
     AND (a.hi >> 16 = b.hi >> 16 OR a.hi & 65535 = b.hi & 65535 OR a.lo >> 16 = b.lo >> 16 OR a.lo & 65535 = b.lo & 65535)""")
 def d07_near_duplicate_pairs(spark, d):
-    docs = table(spark, d, "documents").select("text").distinct().select(F.sha2("text", 256).alias("key"), text.simhash64("text").alias("h"))
-    return corpus.near_duplicate_pairs(docs, "key", "h")
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+    return corpus.near_duplicate_pairs(text.simhash64(docs, "key", "text"), "key", "simhash")
 
 
 @query(f"""WITH {SCORED} SELECT id, label, probability >= 0.5 AS candidate_flag, baseline >= 0.5 AS baseline_flag FROM scored WHERE (probability >= 0.5) <> (baseline >= 0.5)""")
@@ -96,8 +96,8 @@ def e02_warning_counts(spark, d):
 @query(f"""WITH {CLEANED}, c AS (SELECT len(regexp_extract_all(b, '<EMAIL>')) AS e, len(regexp_extract_all(b, '<URL>')) AS u, len(regexp_extract_all(b, '<NUMBER>')) AS n FROM fields)
   SELECT 'emails' AS kind, sum(e)::BIGINT AS replacements FROM c UNION ALL SELECT 'urls', sum(u)::BIGINT FROM c UNION ALL SELECT 'numbers', sum(n)::BIGINT FROM c""")
 def e03_replacement_totals(spark, d):
-    m = table(spark, d, "documents").select(text.masked("text").alias("m"))
-    sums = m.agg(*(F.sum(f"m.{k}").cast("long").alias(k) for k in ("emails", "urls", "numbers")))
+    m = text.with_masks(table(spark, d, "documents").select("text"), {"masked": "text"})
+    sums = m.agg(*(F.sum(f"masked_{k}").cast("long").alias(k) for k in ("emails", "urls", "numbers")))
     return sums.unpivot([], ["emails", "urls", "numbers"], "kind", "replacements")
 
 
@@ -365,14 +365,14 @@ raw AS (SELECT doc_id, tf.term, (1 + ln(c)) * (ln((1 + (SELECT count(*) FROM doc
 @query(f"""WITH {TFIDF_SQL}, n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY 1), v AS (SELECT raw.doc_id, term, x / norm AS weight FROM raw JOIN n ON n.doc_id = raw.doc_id)
   SELECT doc_id, count(*) AS terms, round(sum(weight), 6) AS total, round(max(weight), 6) AS largest FROM v GROUP BY 1""")
 def i01_tfidf_word(spark, d):
-    v = models.tfidf(table(spark, d, "documents"), "doc_id", models.word_grams("text"))
+    v = models.tfidf(table(spark, d, "documents"), "doc_id", "text")
     return _rounded(v.groupBy("doc_id").agg(F.count("*").alias("terms"), F.sum("weight").alias("total"), F.max("weight").alias("largest")), 6)
 
 
 @query(f"""WITH {TFIDF_SQL}, n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY 1), v AS (SELECT term, sum(x / norm) AS w FROM raw JOIN n ON n.doc_id = raw.doc_id GROUP BY 1)
   SELECT term, round(w, 6) AS weight FROM v ORDER BY round(w, 6) DESC, term LIMIT 20""")
 def f10_top_terms(spark, d):
-    v = models.tfidf(table(spark, d, "documents"), "doc_id", models.word_grams("text")).groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"))
+    v = models.tfidf(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"))
     return v.orderBy(F.desc("weight"), "term").limit(20)
 
 

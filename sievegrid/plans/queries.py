@@ -101,7 +101,8 @@ def b01_normalize_text(spark, d):
   SELECT doc_id, regexp_replace(v, '{views.SQL_NUMBER}', '<NUMBER>', 'g') AS masked, len(regexp_extract_all(t, '{views.SQL_EMAIL}'))::INTEGER AS emails,
     len(regexp_extract_all(u, '{views.SQL_URL}'))::INTEGER AS urls, len(regexp_extract_all(v, '{views.SQL_NUMBER}'))::INTEGER AS numbers FROM f""")
 def b02_mask_pii(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.masked("text").alias("m")).select("doc_id", F.col("m.text").alias("masked"), "m.emails", "m.urls", "m.numbers")
+    rows = text.with_masks(table(spark, d, "documents").select("doc_id", "text"), {"masked": "text"})
+    return rows.select("doc_id", "masked", *(F.col(f"masked_{k}").alias(k) for k in ("emails", "urls", "numbers")))
 
 
 @query(f"WITH {CLEANED} SELECT id, model_text, original_chars, array_to_string(parse_warnings, ',') AS warnings FROM cleaned")
@@ -215,10 +216,7 @@ prints AS (SELECT d.doc_id, coalesce(lpad(lower(printf('%x', hi)), 8, '0') || lp
 
 @query(f"WITH {SIMHASH_SQL} SELECT doc_id, simhash FROM prints")
 def b20_simhash64(spark, d):
-    return table(spark, d, "documents").select("doc_id", text.simhash64("text").alias("simhash"))
-
-
-_lower_doc = F.lower
+    return text.simhash64(table(spark, d, "documents"), "doc_id", "text")
 
 
 @query(f"""SELECT doc_id, {' + '.join(f"((length(lower(text)) - length(replace(lower(text), '{p}', ''))) / {len(p)})::INTEGER" for p in ONTOLOGY["link"])} AS hits,

@@ -29,11 +29,9 @@ MESSAGES = """messages AS (
 
 def cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with the cleaned text and its fingerprint, and a label by the parity of the source, so that copies conflict."""
-    m = messages(spark, sf_dir).withColumn("c", text.model_text("subject", "text_body"))
-    return m.select(
-        F.col("doc_id").alias("id"), "source", "lang", "source_hash", "label", "subject", "text_body", F.col("c.model_text").alias("model_text"), F.col("c.warnings").alias("parse_warnings"),
-        F.col("c.original_chars").cast("long").alias("original_chars"), text.fingerprint(F.col("c.model_text")).alias("content_fingerprint"),
-    )
+    m = text.with_model_text(messages(spark, sf_dir))
+    columns = ["source", "lang", "source_hash", "label", "subject", "text_body", "model_text", "parse_warnings", "original_chars"]
+    return m.select(F.col("doc_id").alias("id"), *columns, text.fingerprint("model_text").alias("content_fingerprint"))
 
 
 def sql_normalized(x: str) -> str:
@@ -65,7 +63,7 @@ cleaned AS (
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages' own links, taken apart; stored_domain is the registrable domain or else the host."""
-    u = table(spark, sf_dir, "pages").select("page_id", urls.parsed_url("url").alias("u")).select("page_id", "u.*")
+    u = urls.with_parsed(table(spark, sf_dir, "pages").select("page_id", "url"), "url").drop("url")
     return u.withColumn("stored_domain", F.when(F.col("registrable_domain") != "", F.col("registrable_domain")).otherwise(F.col("host")))
 
 
