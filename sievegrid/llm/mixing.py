@@ -143,24 +143,25 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
 
     Gaps between taken passages close; n_chars is counted anew; documents of which nothing was taken are not in the mix.
     """
-    names = docs.columns
-    sized, passages = mixed(docs, block_words, keep=[c for c in names if c != "source"])
+    schema, names = docs.schema, docs.columns
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"), "source", "text")  # a struct, as its names may be those of the mix
+    sized, passages = mixed(carried, block_words, keep=["_doc"])
     takes = passages.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word", "times"))).alias("takes"))  # as many as the document has blocks
-    rows = sized.join(takes, "row").select(*names, "takes")
-    schema = docs.schema
+    rows = sized.join(takes, "row").select("_doc", "takes")
 
     def cut(batches):
         for batch in batches:
-            table = pa.Table.from_batches([batch])
+            doc = batch.column(0)
+            table = pa.Table.from_arrays([doc.field(k) for k in range(len(names))], names=names)
             texts, of = [], []
-            for i, (text, take) in enumerate(zip(table["text"].to_pylist(), table["takes"].to_pylist(), strict=True)):
+            for i, (text, take) in enumerate(zip(table["text"].to_pylist(), batch.column(1).to_pylist(), strict=True)):
                 buf, off = packed(pa.array([text]))
                 starts = np.append(words(buf, off)[0], len(buf))
                 for turn in range(1, max(t["times"] for t in take) + 1):
                     whole = b"".join(buf[starts[t["from_word"]] : starts[t["to_word"]]].tobytes() for t in take if t["times"] >= turn)
                     texts.append(whole.decode())
                     of.append(i)
-            out = table.select(names).take(pa.array(of, pa.int64()))
+            out = table.take(pa.array(of, pa.int64()))
             out = out.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
             if "n_chars" in names:
                 out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts]).cast(out.schema.field("n_chars").type))

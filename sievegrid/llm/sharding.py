@@ -117,6 +117,8 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("g"))
     rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
     capacity = (rows.agg(F.sum("size").alias("b")).first()["b"] or 0) / shards
+    if not capacity:
+        return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
     first = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
     cells = first.groupBy("g", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size"))
     groups = written(cells.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("cells")).filter("all > 1").select("g"), "groups")
@@ -133,7 +135,7 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     free = rows.select("row", "size", "g").join(groups, "g", "left_anti").select("row", "size").union(linked.filter("shard < 0").select("row", "size"))
     linked = linked.filter("shard >= 0")
     loads = {r["shard"]: r["b"] for r in linked.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
-    filled = _filled(written(free, "free"), [int(loads.get(k, 0)) for k in range(shards)], capacity) if capacity else rows.select("row", F.lit(0).alias("shard"))
+    filled = _filled(written(free, "free"), [int(loads.get(k, 0)) for k in range(shards)], capacity)
     placed = written(linked.select("row", "shard").union(filled), "placed")
     out = rows.select("row", "doc_id", "size", "text_crc32").join(placed, "row")
     out = running_totals(out, "shard", ["row"], F.lit(1), "slot", buckets=BUCKETS)
