@@ -1,0 +1,129 @@
+"""Golden rows and invariants for corpus, metric, indicator and stream operators."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from sievegrid.operators import corpus, indicators, metrics, models, overview, quality
+from sievegrid.streaming import jobs
+
+
+def test_deduplicate_by_raw_hash_then_content(spark):
+    rows = [("a", "h1", "x", "legitimate", [], 5), ("b", "h1", "x", "legitimate", ["w"], 9), ("c", "h2", "x", "legitimate", [], 4), ("d", "h3", "y", "legitimate", [], 4)]
+    df = spark.createDataFrame(rows, "id string, source_hash string, content_fingerprint string, label string, parse_warnings array<string>, original_chars long")
+    assert [r["id"] for r in corpus.deduplicated(df).orderBy("id").collect()] == ["a", "d"]
+    r = corpus.dedup_report(df).first()
+    assert (r["raw_hash_removed"], r["content_duplicate_removed"], r["retained_records"]) == (1, 1, 2)
+
+
+def test_label_conflict_goes_whole(spark):
+    rows = [("a", "h1", "x", "legitimate", [], 5), ("b", "h2", "x", "phishing", [], 5)]
+    df = spark.createDataFrame(rows, "id string, source_hash string, content_fingerprint string, label string, parse_warnings array<string>, original_chars long")
+    assert corpus.deduplicated(df).count() == 0
+    assert corpus.dedup_report(df).first()["label_conflict_records_dropped"] == 2
+
+
+def test_holdout_sizes(spark):
+    df = spark.range(49).select("id", F.when(F.col("id") < 20, "a").when(F.col("id") < 40, "b").otherwise("c").alias("s"))
+    got = {r["s"]: r["n"] for r in corpus.holdout(df, ["s"], "id").filter("held").groupBy("s").agg(F.count("*").alias("n")).collect()}
+    assert got == {"a": 2, "b": 2}
+
+
+def test_groups_are_never_divided(spark):
+    df = spark.range(300).select("id", (F.col("id") % 100).cast("string").alias("g"), F.when(F.col("id") % 2 == 0, "a").otherwise("b").alias("label"))
+    out = corpus.group_split(df, "g", "label")
+    assert corpus.mixed_groups(out, "g", "split").count() == 0
+    assert {r["split"]: r["n"] for r in out.groupBy("split").agg(F.count_distinct("g").alias("n")).collect()} == {"train": 70, "valid": 14, "test": 16}
+
+
+def test_metrics(spark):
+    df = spark.createDataFrame([("legitimate", 0.1), ("legitimate", 0.8), ("phishing", 0.6), ("phishing", 0.9)], "label string, probability double")
+    r = metrics.classification(df).first()
+    assert (r["false_positive_rate"], r["recall"], round(r["precision"], 6)) == (0.5, 1.0, 0.666667)
+    assert round(metrics.average_precision(df).first()["pr_auc"], 6) == round((1 + 2 / 3) / 2, 6)
+    one = metrics.average_precision(df.filter("label = 'phishing'")).first()["pr_auc"]
+    assert one is None
+    assert metrics.calibration_error(df.filter("false")).first()[0] == 0.0
+
+
+def test_identical_scores_have_no_bootstrap_difference(spark):
+    df = spark.range(60).select("id", F.when(F.col("id") % 3 == 0, "phishing").otherwise("legitimate").alias("label"), (F.col("id") / 60).alias("candidate"), (F.col("id") / 60).alias("baseline"))
+    r = metrics.paired_bootstrap(df, 20).first()
+    assert (r["iterations"], r["ci95_lower"], r["ci95_upper"]) == (20, 0.0, 0.0)
+
+
+def test_best_threshold_is_close_to_the_middle(spark):
+    df = spark.createDataFrame([("legitimate", 0.1), ("phishing", 0.9)], "label string, probability double")
+    assert metrics.best_threshold(df).first()["threshold"] == 0.5
+
+
+def test_indicator_priority_and_hits(spark):
+    links = spark.createDataFrame([(1, "https://a.b.example/x", "b.example", "a.b.example", "b.example"), (2, "https://c.example/", "c.example", "c.example", "c.example")], "k long, normalized_url string, registrable_domain string, host string, stored_domain string")
+    known = [(1, "b.example", "domain", "active", 0.5), (2, "https://a.b.example/x", "url", "active", 0.9), (3, "a.b.example", "domain", "active", 0.1), (4, "c.example", "domain", "review", 0.1)]
+    ind = spark.createDataFrame(known, "indicator_id long, indicator string, indicator_type string, status string, confidence double")
+    got = {r["k"]: (r["indicator_id"], r["match_type"]) for r in indicators.matched(links, ind).collect()}
+    assert got == {1: (2, "exact_url"), 2: (None, None)}
+    assert {r["indicator_id"]: r["hits"] for r in indicators.hit_counts(ind, links).collect()} == {1: 1, 2: 1, 3: 0, 4: 1}
+
+
+def test_host_indicator_matches(spark):
+    links = spark.createDataFrame([(1, "https://a.b.example/", "b.example", "a.b.example")], "k long, normalized_url string, registrable_domain string, host string")
+    ind = spark.createDataFrame([(7, "a.b.example", "domain", "active", 0.5)], "indicator_id long, indicator string, indicator_type string, status string, confidence double")
+    assert indicators.matched(links, ind).first()["indicator_id"] == 7
+
+
+def test_derived_indicators(spark):
+    df = spark.createDataFrame([("http://x.example/", ["ip_host", "punycode", "login"]), ("http://y.example/", ["login"])], "normalized_url string, suspicious_tokens array<string>")
+    assert [(r["indicator"], r["confidence"]) for r in indicators.derived(df).collect()] == [("http://x.example/", 0.82)]
+    assert indicators.derived(df, spark.createDataFrame([("http://x.example/",)], "indicator string")).count() == 0
+
+
+def test_bad_indicators(spark):
+    df = spark.createDataFrame([(1, "a.example/x", "domain", 0.5), (2, "", "url", 2.0), (3, "a.example", "domain", None)], "indicator_id long, indicator string, indicator_type string, confidence double")
+    assert sorted((r["row_key"], r["rule"]) for r in indicators.violations(df).collect()) == [("1", "domain_has_path"), ("2", "confidence_range"), ("2", "empty"), ("3", "confidence_range")]
+
+
+def test_pages(spark):
+    assert overview.pages(spark.range(0), 20).first()["pages"] == 0 and overview.pages(spark.range(41), 20).first()["pages"] == 3
+    assert [r["id"] for r in overview.page(spark.range(10), [F.desc("id")], 2, 3).collect()] == [6, 5, 4]
+    with pytest.raises(ValueError):
+        overview.page(spark.range(3), [F.col("id")], 0, 3)
+
+
+def test_upsert_keeps_the_first_time(spark):
+    old, new = spark.createDataFrame([(1, "a", 5), (2, "b", 6)], "k int, v string, t int"), spark.createDataFrame([(2, "c", 9), (3, "d", 9)], "k int, v string, t int")
+    assert [tuple(r) for r in overview.upserted(old, new, "k", "t").collect()] == [(1, "a", 5), (2, "c", 6), (3, "d", 9)]
+
+
+def test_violations_take_null_as_broken(spark):
+    df = spark.createDataFrame([(1, 0.5), (2, None)], "k int, p double")
+    assert [(r["row_key"], r["rule"]) for r in quality.violations(df, "k", {"range": F.col("p").between(0, 1)}).collect()] == [("2", "range")]
+
+
+def test_guardrails(spark):
+    df = spark.createDataFrame([(["benign_notice"], 0.9, 0.1), (["legal"], 0.1, 0.1), ([], 0.5, 0.5)], "labels array<string>, p_legal double, p_benign_notice double")
+    got = [(r["p_legal"], r["p_benign_notice"]) for r in models.guarded(df, ["legal", "benign_notice"], "labels", "benign_notice").collect()]
+    assert got == [(0.2, 0.8), (0.8, 0.1), (0.5, 0.5)]
+
+
+def test_non_negative_fusion(spark):
+    from pyspark.ml.linalg import Vectors
+
+    rows = [(Vectors.dense(k / 40, 1 - k / 40), float(k > 20 and k % 3 != 0)) for k in range(40)]
+    model = models.balanced_logistic(spark.createDataFrame(rows, ["features", "y"]), non_negative=True)
+    assert model.coefficients[0] > 0 and model.coefficients[1] >= 0
+
+
+def test_stream_scores_like_the_batch(spark, tmp_path):
+    source, target = str(tmp_path / "in"), str(tmp_path / "out")
+    spark.range(50).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(source)
+    score = lambda df: df.withColumn("score", F.length("text") + F.col("id"))
+    stream = spark.readStream.schema("id long, text string").parquet(source)
+    jobs.score_stream(stream, score, target, str(tmp_path / "check")).awaitTermination(60)
+    got = spark.read.parquet(target).select("id", "score").orderBy("id").collect()
+    assert got == score(spark.read.parquet(source)).select("id", "score").orderBy("id").collect()
+
+
+def test_empty_tables(spark):
+    empty = spark.createDataFrame([], "label string, probability double")
+    assert metrics.classification(empty).first()["f1"] == 0.0
+    assert corpus.holdout(spark.createDataFrame([], "id long, s string"), ["s"], "id").count() == 0
