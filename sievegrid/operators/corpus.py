@@ -88,11 +88,11 @@ def sequence_ids(df: DataFrame, source: str, order: str) -> DataFrame:
     return df.withColumn("seq_id", F.format_string("%s-%06d", F.col(source), F.row_number().over(Window.partitionBy(source).orderBy(order)) - 1))
 
 
-def review_queue(df: DataFrame, label: str, intents: str, row_id: str, limit: int) -> DataFrame:
+def review_queue(df: DataFrame, label: str, intents: str, row_id: str, limit: int, ambiguous: tuple[str, ...] | list[str] = ("social_pressure", "reply_or_data_request")) -> DataFrame:
     """Two thirds rows without an intent and one third rows of one ambiguous intent, both legitimate, numbered."""
     ok = F.col(label) == "legitimate"
     plain = df.filter(ok & (F.size(intents) == 0)).orderBy(*hash_order(row_id)).limit(max(1, limit * 2 // 3)).withColumn("_part", F.lit(0))
-    vague = F.array_join(intents, ",").isin("social_pressure", "reply_or_data_request")
+    vague = F.array_join(intents, ",").isin(list(ambiguous))
     unsure = df.filter(ok & vague).orderBy(*hash_order(row_id)).limit(max(1, limit // 3)).withColumn("_part", F.lit(1))
     chosen = plain.unionByName(unsure)
     number = F.row_number().over(Window.orderBy("_part", *hash_order(row_id))) - 1  # at most `limit` rows
@@ -102,3 +102,8 @@ def review_queue(df: DataFrame, label: str, intents: str, row_id: str, limit: in
 def mixed_groups(df: DataFrame, group: str, split: str) -> DataFrame:
     """Groups that stand in more than one split."""
     return df.groupBy(group).agg(F.min(split).alias("first_split"), F.max(split).alias("last_split")).filter("first_split <> last_split")
+
+
+def folds(df: DataFrame, label: str, row_id: str, k: int) -> DataFrame:
+    """Column fold: 0 to k - 1, stratified by label, in hash order."""
+    return df.withColumn("fold", (F.row_number().over(Window.partitionBy(label).orderBy(*hash_order(row_id))) % k).cast("int"))
