@@ -128,7 +128,8 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, keep: list[str] | Non
         F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start")).alias("to_word"),
     )
     times = slot_table(spark, plan, block_words).groupBy("k", "block").agg(F.count("*").alias("times"))
-    return sized, parts.join(times, ["k", "block"]).select("row", "from_word", "to_word", "times")
+    # the slots grow with the corpus, though they come from a short range of shards: without the hint Spark takes them for small
+    return sized, parts.join(times.hint("merge"), ["k", "block"]).select("row", "from_word", "to_word", "times")
 
 
 def op6_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
