@@ -1,27 +1,52 @@
 """SimHash fingerprints of documents, and all of them within a Hamming radius by permuted block tables.
 
 Terms are 2-word shingles, weighted by how often they occur: each occurrence votes with the signed bits of its
-hash, and the sign of the sums is the fingerprint. Two fingerprints that differ in at most r bits agree in one
-of r + 1 blocks, whatever the bits; each block table brings those together that agree there, and the full
-distance decides. Equal fingerprints are one class before they are compared.
+hash, and the sign of the sums is the fingerprint. Equal fingerprints are one class before they are compared.
+
+The radius follows from a similarity of shingle sets: a bit of two texts of shingle cosine c differs with probability
+acos(c) / pi, and RADIUS is the least that RECALL of the pairs of Jaccard similarity SIMILARITY stay within.
+
+The block tables are exact: there is a group of bits for each GROUP_RADIUS + 1 bits of the radius begun, so two fingerprints
+within the radius differ in at most GROUP_RADIUS bits of some group. A group has PIECES pieces, of which all but
+GROUP_RADIUS then agree; there is a table for each choice of these. Those that agree there meet, and the full distance
+decides. A list gives only as many links as join what is near in it, so large groups of near copies cost no pairs by the square.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
+import math
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm.minhash_join import blocked, candidates, components
-from sievegrid.llm.shared import documents, dropped, written
+from sievegrid.llm.minhash_join import components
+from sievegrid.llm.shared import documents, dropped, freed, written
 from sievegrid.llm.textbytes import U64, mix64, pair_hashes, slices, word_hashes
 
 WORDS64 = 2
 BITS = 64 * WORDS64
-RADIUS = 3
+SIMILARITY, RECALL = 0.95, 0.95
+GROUP_RADIUS, PIECES = 2, 5
+#: Keys that a task deals at once, keys of a table in a part, and the longest list whose pairs are compared one shift after the other.
+_KEYS_AT_ONCE, _PART, _LONG = 500_000, 200_000, 512
+
+
+def radius_of(similarity: float, recall: float = RECALL) -> int:
+    """The least radius that holds this share of the pairs of sets, alike in size, of the Jaccard similarity."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    r, held = 0, (1 - p) ** BITS
+    while held < recall:
+        r += 1
+        held += math.comb(BITS, r) * p**r * (1 - p) ** (BITS - r)
+    return r
+
+
+RADIUS = radius_of(SIMILARITY)
 
 _SALT = mix64(np.arange(71, 71 + WORDS64, dtype=U64))
 
@@ -43,53 +68,129 @@ def likeness(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return 1 - np.bitwise_count(x ^ y).sum(axis=1) / BITS
 
 
-class _Radius:
-    """The rule for candidates(): fingerprints within the radius."""
+def table_masks(radius: int) -> np.ndarray:
+    """A row of WORDS64 words for each block table, with the bits that agree there; one row for each table of a group after the other."""
+    groups = radius // (GROUP_RADIUS + 1) + 1
+    edges = [round(k * BITS / (groups * PIECES)) for k in range(groups * PIECES + 1)]
+    out = []
+    for g in range(groups):
+        for chosen in itertools.combinations(range(g * PIECES, (g + 1) * PIECES), PIECES - GROUP_RADIUS):
+            bits = np.zeros(BITS, dtype=np.uint8)
+            for k in chosen:
+                bits[edges[k] : edges[k + 1]] = 1
+            out.append(np.packbits(bits).view(">u8").astype(U64))
+    return np.stack(out)
 
-    def __init__(self, radius: int):
-        self.radius = radius
 
-    def read(self, marks: list[bytes]) -> np.ndarray:
-        return np.frombuffer(b"".join(marks), dtype=np.uint64).reshape(-1, WORDS64)
+def _tokens(prints: np.ndarray, mask: np.ndarray) -> np.ndarray:
+    token = np.zeros(len(prints), dtype=U64)
+    for k in range(WORDS64):
+        token = mix64(token ^ (prints[:, k] & mask[k]))
+    return token
 
-    def allowed(self, marks: np.ndarray, n: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(marks[left] ^ marks[right]).sum(axis=1) <= self.radius
 
+def _words(keys: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(keys), dtype=">u8").reshape(-1, WORDS64).astype(U64)
 
-def block_tables(classes: DataFrame, radius: int) -> DataFrame:
-    """token (block number and value), key for each of radius + 1 blocks of the fingerprint's bits."""
-    edges = [round(k * BITS / (radius + 1)) for k in range(radius + 2)]
+
+def block_tables(classes: DataFrame, masks: dict[int, np.ndarray], parts: int) -> DataFrame:
+    """part, keys (one after the other): the fingerprints of each table, dealt to parts by the bits that agree there."""
+
+    def deal(prints):
+        for table, mask in masks.items():
+            part = (_tokens(prints, mask) % U64(parts)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            named, first = np.unique(part[order], return_index=True)
+            lists = np.split(prints[order].astype(">u8"), first[1:])
+            yield pa.RecordBatch.from_arrays([pa.array(table * parts + named), pa.array([x.tobytes() for x in lists], pa.binary())], names=["part", "keys"])
 
     def cut(batches):
+        kept, n = [], 0
         for batch in batches:
-            keys = batch.column(0)
-            bits = np.unpackbits(np.frombuffer(b"".join(keys.to_pylist()), dtype=np.uint8).reshape(-1, BITS // 8), axis=1)
-            for k in range(radius + 1):
-                part = np.zeros((len(bits), BITS), dtype=np.uint8)
-                part[:, : edges[k + 1] - edges[k]] = bits[:, edges[k] : edges[k + 1]]
-                whole = np.packbits(part, axis=1).view(">u8").astype(U64)
-                token = mix64(np.full(len(bits), k, dtype=U64))
-                for column in whole.T:
-                    token = mix64(token ^ column)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), keys], names=["token", "key"])
-
-    return classes.select("key").mapInArrow(cut, "token long, key binary")
+            kept.append(_words(batch.column(0).to_pylist()))
+            n += batch.num_rows
+            if n >= _KEYS_AT_ONCE:
+                yield from deal(np.concatenate(kept))
+                kept, n = [], 0
+        if n:
+            yield from deal(np.concatenate(kept))
+
+    return classes.select("key").mapInArrow(cut, "part long, keys binary")
+
+
+def _near(x: np.ndarray, y: np.ndarray, radius: int) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64) <= radius
+
+
+def _links_in_long(prints: np.ndarray, radius: int):
+    """(left, right) rows of links that join what is near: each row once meets those that nothing has reached."""
+    unmet = np.arange(len(prints))
+    while len(unmet):
+        reached, unmet = [int(unmet[0])], unmet[1:]
+        while reached and len(unmet):
+            k = reached.pop()
+            near = _near(prints[unmet], prints[k], radius)
+            if near.any():
+                found = unmet[near]
+                yield np.full(len(found), k), found
+                reached += found.tolist()
+                unmet = unmet[~near]
+
+
+def links_of_lists(prints: np.ndarray, mask: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """(a, b) fingerprints: links of the lists of a table, from each row to the smallest one that steps within the radius in its list reach."""
+    token = _tokens(prints, mask)
+    order = np.lexsort((*prints.T[::-1], token))
+    prints, token = prints[order], token[order]
+    first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    size = np.diff(np.append(first, len(token)))
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for a, n in zip(first[size > _LONG].tolist(), size[size > _LONG].tolist(), strict=True):
+        for x, y in _links_in_long(prints[a : a + n], radius):
+            left.append(a + x)
+            right.append(a + y)
+    after = np.repeat(np.where(size > _LONG, 0, size), size) - (np.arange(len(token)) - np.repeat(first, size)) - 1  # rows that follow in the list
+    at, shift = np.flatnonzero(after > 0), 1
+    while len(at):
+        near = at[_near(prints[at], prints[at + shift], radius)]
+        left.append(near)
+        right.append(near + shift)
+        shift += 1
+        at = at[after[at] >= shift]
+    left, right = np.concatenate(left), np.concatenate(right)
+    root, before = np.arange(len(token)), None
+    while before is None or (root != before).any():
+        before = root.copy()
+        low = np.minimum(root[left], root[right])
+        np.minimum.at(root, left, low)
+        np.minimum.at(root, right, low)
+        root = root[root]
+    some = np.flatnonzero(root != np.arange(len(token)))
+    return prints[root[some]], prints[some]
 
 
 def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """key, near_class for the fingerprints in prints (key, first_id): the smallest first_id that chains of steps within the radius reach."""
+    """key, near_class for the fingerprints in prints (key, first_id): the smallest first_id that chains of steps within the radius reach.
+
+    The fingerprint of texts without words is near no other one.
+    """
     classes = written(prints.groupBy("key").agg(F.min("first_id").alias("first_id")), "prints")
-    posted = block_tables(classes, radius)
-    shared = posted.groupBy("token").agg(F.count("*").alias("df")).filter("df > 1")
-    rows = posted.join(shared, "token").select("token", "key", "df", F.lit(1).cast("long").alias("n_shingles"), F.col("key").alias("marks"))
-    tables = written(blocked(rows), "block-tables")
-    rule = _Radius(radius)
-    links = written(candidates(tables, None, star=True, rule=rule), "near")
-    labels = written(components(links), "labels")
-    rest = written(candidates(tables, labels, star=False, rule=rule), "near")
-    if not rest.isEmpty():
-        labels = written(components(labels.select(F.col("key").alias("a"), F.col("component").alias("b")).union(rest)), "labels")
-    dropped(tables, links, rest)
+    worded = classes.filter(F.col("key") != F.lit(bytes(BITS // 8)))
+    parts = max(64, worded.count() // _PART)
+    masks, links = table_masks(radius), []
+    per_group = math.comb(PIECES, GROUP_RADIUS)
+
+    def near(table: pa.Table) -> pa.Table:
+        found = links_of_lists(_words(table["keys"].to_pylist()), masks[table["part"][0].as_py() // parts], radius)
+        return pa.table({name: pa.array([k.tobytes() for k in x.astype(">u8")], pa.binary()) for name, x in zip("ab", found, strict=True)})
+
+    for a in range(0, len(masks), per_group):  # the tables of one group at a time, as they are dealt over disk
+        posted = block_tables(worded, dict(enumerate(masks[a : a + per_group], a)), parts)
+        links.append(written(posted.groupBy("part").applyInArrow(near, "a binary, b binary").distinct(), "near"))
+        del posted
+        freed(prints.sparkSession)
+    labels = written(components(functools.reduce(DataFrame.union, links)), "labels")
+    dropped(*links)
     known = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     least = known.groupBy("component").agg(F.min("first_id").alias("near_class"))
     return known.join(least, "component").select("key", "near_class")
@@ -162,6 +263,7 @@ def _edge(names, part, kind, doc_id, text):
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the class of documents within the Hamming radius."""
     rows = compared(documents(spark, sf_dir))
+    freed(spark)
     near = written(linked(rows.select(F.col("print").alias("key"), F.col("doc_id").alias("first_id"))), "near-class")
     out = rows.join(near.withColumnRenamed("key", "print"), "print")
     hexed = [F.lower(F.hex(c)).alias(name) for c, name in (("print", "fingerprint"), ("edited_print", "edited_fingerprint"))]

@@ -221,6 +221,36 @@ def test_block_tables_find_all_within_the_radius(spark):
     assert [got[p] for p in prints] == least
 
 
+def test_near_class_finds_edited_texts(spark):
+    rng = random.Random(8)
+    texts = []
+    for _ in range(60):
+        w = ["".join(rng.choice("aeioumnrst") for _ in range(5)) for _ in range(200)]
+        texts += [" ".join(w), " ".join([*w[:90], "changed", *w[91:]])]
+    texts += ["", "a b c", "d e f"]
+    prints = [p.tobytes() for p in simhash.fingerprints(pa.array(texts))]
+    rows = spark.createDataFrame([(bytearray(p), i) for i, p in enumerate(prints)], "key binary, first_id long")
+    got = {bytes(r["key"]): r["near_class"] for r in simhash.linked(rows).collect()}
+    near = [got[p] for p in prints]
+    assert sum(near[i] == near[i + 1] == i for i in range(0, 120, 2)) >= 57 and near[120:] == [120, 121, 122]
+    bits = [int.from_bytes(p, "big") for p in prints]
+    assert near[:120] == [min([i, *(j for j in range(i) if (bits[i] ^ bits[j]).bit_count() <= simhash.RADIUS)]) for i in range(120)]
+
+
+def test_long_lists_equal_short_ones(monkeypatch):
+    rng = np.random.default_rng(6)
+    prints = np.repeat(rng.integers(0, 1 << 63, (40, 2)).astype(np.uint64), 20, axis=0)
+    for _ in range(6):
+        prints[np.arange(800), rng.integers(0, 2, 800)] ^= np.uint64(1) << rng.integers(0, 64, 800).astype(np.uint64)
+    mask = np.zeros(2, dtype=np.uint64)
+    got = []
+    for most in (1, 1000):
+        monkeypatch.setattr(simhash, "_LONG", most)
+        a, b = simhash.links_of_lists(prints, mask, simhash.radius_of(0.95))
+        got.append(sorted(zip(map(tuple, a.tolist()), map(tuple, b.tolist()), strict=True)))
+    assert got[0] == got[1] and len(got[0]) > 600
+
+
 def test_hmm_base_and_likelihood(docs, none):
     got, texts = by_id(hmm.scored(docs)), _texts()
     tokens = [[*(t or "").encode().lower().split(), None] for t in texts]
