@@ -70,7 +70,7 @@ def set_keys(h: np.ndarray, off: np.ndarray) -> list[bytes | None]:
 
 def _signatures(batches):
     for batch in batches:
-        for a, h, off in shingle_sets(batch.column(1)):
+        for a, h, off in shingle_sets(batch.column(2)):
             n = np.diff(off)
             full = n > 0
             minima = np.zeros((len(n), COORDINATES), dtype=U64)
@@ -84,12 +84,13 @@ def _signatures(batches):
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0).slice(a, len(n)),
+                    batch.column(1).slice(a, len(n)),
                     pa.array(n),
                     pa.array(set_keys(h, off), pa.binary()),
                     pa.array([marks[i].tobytes() if f else None for i, f in enumerate(full.tolist())], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * COORDINATES), pa.array(tokens.ravel())),
                 ],
-                names=["doc_id", "n_shingles", "key", "marks", "tokens"],
+                names=["row", "doc_id", "n_shingles", "key", "marks", "tokens"],
             )
 
 
@@ -100,10 +101,10 @@ def mix_fast(h: np.ndarray, c: int) -> np.ndarray:
     return x
 
 
-def signed(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, key of the set, marks (32 bits of each minimum, parities), tokens (64-bit names of the coordinate-value pairs)."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signatures, "doc_id long, n_shingles long, key binary, marks binary, tokens array<long>")
+def signed(numbered: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, key of the set, marks (32 bits of each minimum, parities), tokens (64-bit names of the coordinate-value pairs) of rows (row, doc_id, text)."""
+    rows = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(_signatures, "row long, doc_id long, n_shingles long, key binary, marks binary, tokens array<long>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -240,26 +241,19 @@ def candidates(posted: DataFrame, labels: DataFrame | None, star: bool, rule=Non
     return dealt.mapInArrow(_candidates(star, rule or Agreement()), "a binary, b binary").distinct()
 
 
-def full_sets(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """key, shingles (ascending 64-bit hashes) of the classes in pairs, from one document of each class."""
+def full_sets(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """key, shingles (ascending 64-bit hashes) of the classes in pairs, from the first row of each class."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    one = sets.select("key", "doc_id").join(wanted, "key", "left_semi").groupBy("key").agg(F.min("doc_id").alias("_id"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = texts.join(one, F.col("doc_id") == F.col("_id")).select("key", "text")
+    one = classes.select("key", F.col("first.row").alias("row")).join(wanted, "key", "left_semi")
+    rows = numbered.select("row", F.col("text").cast("string").alias("text")).join(one, "row").select("key", "text")
 
     def again(batches):
         for batch in batches:
             for a, h, off in shingle_sets(batch.column(1)):
-                mine = [h[off[k] : off[k + 1]].tobytes() if key == want else None for k, (key, want) in enumerate(zip(set_keys(h, off), batch.column(0).slice(a, len(off) - 1).to_pylist(), strict=True))]
-                out = pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(off) - 1), pa.array(mine, pa.binary())], names=["key", "shingles"])
-                yield out.filter(out.column(1).is_valid())  # a repeated doc_id may have brought another text
+                mine = [h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(mine)), pa.array(mine, pa.binary())], names=["key", "shingles"])
 
-    return rows.mapInArrow(again, "key binary, shingles binary").dropDuplicates(["key"]) if _repeats(docs) else rows.mapInArrow(again, "key binary, shingles binary")
-
-
-def _repeats(docs: DataFrame) -> bool:
-    """Whether a doc_id stands more than once."""
-    return not docs.groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
+    return rows.mapInArrow(again, "key binary, shingles binary")
 
 
 def _similar(batches):
@@ -308,15 +302,24 @@ def components(links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text).
 
-    Null, empty and blank texts have no shingles and are their own component. Of rows that repeat a doc_id each
-    gets a row, and they are kept together. An empty table gives no rows.
+    Null, empty and blank texts have no shingles, are their own component and kept. Of each other component one row is
+    kept, the first by doc_id (null ones last), whose doc_id names it; rows that share a doc_id, or have none, are
+    compared and kept or not each by itself. An empty table gives no rows.
     """
-    sets = written(signed(docs), "signed")
+    numbered = written(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
+    out = kept_rows(numbered)
+    dropped(numbered)
+    return out.drop("row")
+
+
+def kept_rows(numbered: DataFrame) -> DataFrame:
+    """row, doc_id, n_shingles, component_id, kept of a written table whose rows (row, doc_id, text) are numbered."""
+    sets = written(signed(numbered), "signed")
     full = sets.filter("n_shingles > 0")
-    classes = written(full.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("tokens").alias("tokens"), F.min("doc_id").alias("first_id")), "classes")
+    classes = written(full.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")), "classes")
     posted = written(postings(classes), "postings")
     star = written(candidates(posted, None, star=True), "pairs")
-    shingles = written(full_sets(docs, sets, star), "sets")
+    shingles = written(full_sets(numbered, classes, star), "sets")
     links = written(confirmed(star, shingles), "confirmed")
     labels = written(components(links), "labels")
     rest = written(candidates(posted, labels, star=False), "pairs")
@@ -325,12 +328,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         if not more.isEmpty():
             labels = written(components(labels.select(F.col("key").alias("a"), F.col("component").alias("b")).union(more)), "labels")
     dropped(posted, star, shingles, rest)
-    known = classes.select("key", "first_id").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = known.groupBy("component").agg(F.min("first_id").alias("component_id"))
-    member = written(known.join(least, "component").select("key", "component_id"), "member")
-    out = sets.select("doc_id", "n_shingles", "key").join(member, "key", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = classes.select("key", "first").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = known.groupBy("component").agg(F.min("first").alias("least"))
+    member = written(known.join(least, "component").select("key", "least"), "member")
+    out = sets.select("row", "doc_id", "n_shingles", "key").join(member, "key", "left")
+    alone = F.col("key").isNull()
+    return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("row") == F.col("least.row"))).alias("kept"))
 
 
 def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -339,9 +342,13 @@ def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The documents of which one of each component stays, whole."""
-    found = near_duplicates(docs)
-    return docs.join(found.filter("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    """The documents of which one row of each component stays, whole; rows without a doc_id or with a repeated one count each by itself."""
+    name = "_row"
+    while name in map(str.lower, docs.columns):
+        name = "_" + name
+    numbered = written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered")
+    found = kept_rows(numbered.select(F.col(name).alias("row"), "doc_id", "text"))
+    return numbered.join(found.filter("kept").select(F.col("row").alias(name)), name, "left_semi").select(docs.columns)
 
 
 ORACLE_OP3 = r"""

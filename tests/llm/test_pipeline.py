@@ -34,3 +34,22 @@ def test_stages_keep_columns_and_take_effect(spark, tmp_path):
     assert seen["near_dedup"] & {1002, 1003, 1004, 1007} == set() and clean <= seen["near_dedup"]
     assert seen["mixing"] <= seen["near_dedup"] and seen["packing"] == seen["mixing"]
     assert minhash_join.deduplicated(docs.filter("false") if "text" in docs.columns else spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_near_dedup_of_null_and_repeated_ids(spark):
+    rng = random.Random(2)
+    text = lambda: " ".join("".join(rng.choice("aeioumnrst") for _ in range(5)) for _ in range(60))
+    a, b, c, d, e, f = (text() for _ in range(6))
+    rows = [
+        (None, a, "alone"), (None, b, "unnamed copy"), (None, b + " end", "unnamed copy"), (None, c, "copy of 1"), (1, c + " end", "one"),
+        (7, d, "seven"), (7, e, "other seven"), (5, e + " end", "copy of other seven"), (8, f, "twice"), (8, f, "twice"),
+        (None, None, "no text"), (None, " ", "blank"), (9, None, "nine"), (9, "", "other nine"),
+    ]
+    docs = spark.createDataFrame([(*r, 0) for r in rows], "doc_id long, text string, name string, _row int").repartition(3)
+    out = corpus_pipeline.without_near_copies(spark, docs, "")
+    assert out.columns == docs.columns
+    kept = ["alone", "blank", "copy of other seven", "nine", "no text", "one", "other nine", "seven", "twice", "unnamed copy"]
+    assert sorted(r["name"] for r in out.collect()) == kept
+    found = minhash_join.near_duplicates(docs)
+    assert found.count() == len(rows) and found.filter("kept").count() == len(kept)
+    assert {(r["doc_id"], r["component_id"]) for r in found.filter("not kept").collect()} == {(None, None), (None, 1), (7, 5), (8, 8)}
