@@ -78,16 +78,19 @@ def bootstrap_weights(row_id: str, replicates: int) -> Column:
     """Array of struct replicate, weight: Poisson(1) draws from a hash of (row, replicate); the same on every run."""
     u = lambda r: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id).cast("string"), r.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
     steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # Poisson(1) distribution function
-    draw = lambda r: sum((F.when(u(r) >= s, 1).otherwise(0) for s in steps), F.lit(0))
-    return F.filter(F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("replicate"), draw(r).alias("weight"))), lambda x: x["weight"] > 0)
+    draws = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("replicate"), u(r).alias("u")))  # each hash once
+    weight = lambda x: sum((F.when(x["u"] >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    return F.transform(F.filter(draws, lambda x: x["u"] >= steps[0]), lambda x: F.struct(x["replicate"].alias("replicate"), weight(x).alias("weight")))
 
 
 def paired_bootstrap(df: DataFrame, replicates: int = 500, candidate: str = "candidate", baseline: str = "baseline", row_id: str = "id") -> DataFrame:
     """Mean and 95 % interval of the PR-AUC difference of two scores over hash-seeded resamples of the rows."""
-    drawn = df.select("label", candidate, baseline, F.explode(bootstrap_weights(row_id, replicates)).alias("d")).select("label", candidate, baseline, "d.replicate", "d.weight")
-    a = average_precision(drawn, ["replicate"], F.col("weight").cast("double"), candidate).withColumnRenamed("pr_auc", "a")
-    b = average_precision(drawn, ["replicate"], F.col("weight").cast("double"), baseline).withColumnRenamed("pr_auc", "b")
-    d = a.join(b, "replicate").select((F.col("a") - F.col("b")).alias("d"))
+    drawn = df.select("label", candidate, baseline, F.explode(bootstrap_weights(row_id, replicates)).alias("d"))
+    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).cast("double").alias("score")) for k, c in (("a", candidate), ("b", baseline))))).alias("s")
+    rows = drawn.select("label", "d.replicate", F.col("d.weight").cast("double").alias("weight"), sides).select("label", "replicate", "weight", "s.side", "s.score")
+    areas = average_precision(rows, ["replicate", "side"], F.col("weight"), "score")
+    value = lambda k: F.max(F.when(F.col("side") == k, F.col("pr_auc")))
+    d = areas.groupBy("replicate").agg((value("a") - value("b")).alias("d"))
     return d.agg(F.count("d").alias("iterations"), F.avg("d").alias("mean_difference"), F.percentile("d", F.lit(0.025)).alias("ci95_lower"), F.percentile("d", F.lit(0.975)).alias("ci95_upper"))
 
 

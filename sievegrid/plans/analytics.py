@@ -203,7 +203,7 @@ def e15_average_precision(spark, d):
 @query()
 def e16_paired_bootstrap(spark, d):
     rows = scored(spark, d).withColumnRenamed("probability", "candidate")
-    return metrics.paired_bootstrap(rows, 50)
+    return metrics.paired_bootstrap(rows)
 
 
 @query(f"WITH {SCORED} SELECT count(*) AS support, round(avg((probability >= 0.5)::INTEGER), 9) AS flag_rate, round(avg(probability), 9) AS mean_probability, round(max(probability), 9) AS max_probability, sum((probability >= 0.5)::INTEGER)::BIGINT AS flagged FROM scored")

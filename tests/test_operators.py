@@ -1,8 +1,11 @@
 """Golden rows and invariants for corpus, metric, indicator and stream operators."""
 
+import hashlib
+
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from sievegrid.operators import corpus, indicators, metrics, models, overview, quality
 from sievegrid.streaming import jobs
 
@@ -127,3 +130,33 @@ def test_empty_tables(spark):
     empty = spark.createDataFrame([], "label string, probability double")
     assert metrics.classification(empty).first()["f1"] == 0.0
     assert corpus.holdout(spark.createDataFrame([], "id long, s string"), ["s"], "id").count() == 0
+
+
+def test_bootstrap_query_has_all_replicates(spark):
+    r = queries()["e16_paired_bootstrap"](spark, "/root/testdata/sf0.001").first()
+    assert r["iterations"] == 500 and r["ci95_lower"] <= r["mean_difference"] <= r["ci95_upper"]
+
+
+def test_bootstrap_equals_brute_force(spark):
+    rows = [(i, "phishing" if i % 3 == 0 else "legitimate", (i * 37 % 11) / 10, (i * 53 % 7) / 10) for i in range(30)]
+    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+
+    def area(weights, score):
+        every = sum(w for w, r in zip(weights, rows, strict=True) if r[1] == "phishing")
+        total = tp = k = 0
+        for s in sorted({r[score] for r in rows}, reverse=True):
+            p = sum(w for w, r in zip(weights, rows, strict=True) if r[score] == s and r[1] == "phishing")
+            tp, k = tp + p, k + sum(w for w, r in zip(weights, rows, strict=True) if r[score] == s)
+            total += p / every * tp / k if k else 0
+        return total
+
+    differ = []
+    for rep in range(1, 501):
+        draws = [int(hashlib.md5(f"{i}|{rep}".encode()).hexdigest()[:8], 16) / 4294967296 for i in range(30)]
+        weights = [sum(u >= s for s in steps) for u in draws]
+        differ.append(area(weights, 2) - area(weights, 3))
+    differ.sort()
+    at = lambda q: (lambda x: differ[int(x)] + (x - int(x)) * (differ[int(x) + 1] - differ[int(x)]))(q * 499)
+    r = metrics.paired_bootstrap(spark.createDataFrame(rows, "id int, label string, candidate double, baseline double")).first()
+    assert r["iterations"] == 500 and r["mean_difference"] == pytest.approx(sum(differ) / 500)
+    assert (r["ci95_lower"], r["ci95_upper"]) == (pytest.approx(at(0.025)), pytest.approx(at(0.975)))
