@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sievegrid.llm.shared import documents, dropped, written
-from sievegrid.llm.textbytes import U64, mix64, pair_hashes, slices, word_hashes
+from sievegrid.llm.textbytes import U64, mix64, pair_hashes, slices, tidy, word_hashes
 
 COORDINATES = 24
 LEAST_MATCHES = 10
@@ -104,7 +104,7 @@ def mix_fast(h: np.ndarray, c: int) -> np.ndarray:
 def signed(numbered: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, key of the set, marks (32 bits of each minimum, parities), tokens (64-bit names of the coordinate-value pairs) of rows (row, doc_id, text)."""
     rows = numbered.select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_signatures, "row long, doc_id long, n_shingles long, key binary, marks binary, tokens array<long>")
+    return rows.mapInArrow(tidy(_signatures), "row long, doc_id long, n_shingles long, key binary, marks binary, tokens array<long>")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -238,7 +238,7 @@ def candidates(posted: DataFrame, labels: DataFrame | None, star: bool, rule=Non
         rows = posted.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
     rows = rows.select("token", "i", "j", "block", "key", "n_shingles", "marks", "component")
     dealt = rows.repartition("token", "i", "j").sortWithinPartitions("token", "i", "j")
-    return dealt.mapInArrow(_candidates(star, rule or Agreement()), "a binary, b binary").distinct()
+    return dealt.mapInArrow(tidy(_candidates(star, rule or Agreement())), "a binary, b binary").distinct()
 
 
 def full_sets(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -253,7 +253,7 @@ def full_sets(numbered: DataFrame, classes: DataFrame, pairs: DataFrame) -> Data
                 mine = [h[x:y].tobytes() for x, y in zip(off[:-1], off[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, len(mine)), pa.array(mine, pa.binary())], names=["key", "shingles"])
 
-    return rows.mapInArrow(again, "key binary, shingles binary")
+    return rows.mapInArrow(tidy(again), "key binary, shingles binary")
 
 
 def _similar(batches):
@@ -271,7 +271,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose full sets reach the similarity."""
     left, right = (sets.select(F.col("key").alias(k), F.col("shingles").alias(f"s{k}")) for k in "ab")
     rows = pairs.join(right, "b").join(left, "a").select("a", "b", "sa", "sb")
-    return rows.mapInArrow(_similar, "a binary, b binary")
+    return rows.mapInArrow(tidy(_similar), "a binary, b binary")
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:

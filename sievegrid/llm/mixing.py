@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.llm.shared import documents, running_totals, written
-from sievegrid.llm.textbytes import mix64, packed, words
+from sievegrid.llm.textbytes import mix64, packed, slices, tidy, words
 
 WEIGHTS = (3.0, 1.0, 2.0)
 SHARE = 1.5
@@ -151,21 +151,25 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     rows = sized.join(takes, "row").select("_doc", "takes")
 
     def cut(batches):
-        for batch in batches:
-            doc = batch.column(0)
-            table = pa.Table.from_arrays([doc.field(k) for k in range(len(names))], names=names)
-            texts, of = [], []
-            for i, (text, take) in enumerate(zip(table["text"].to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                buf, off = packed(pa.array([text]))
-                starts = np.append(words(buf, off)[0], len(buf))
-                for turn in range(1, max(t["times"] for t in take) + 1):
-                    whole = b"".join(buf[starts[t["from_word"]] : starts[t["to_word"]]].tobytes() for t in take if t["times"] >= turn)
-                    texts.append(whole.decode())
-                    of.append(i)
-            out = table.take(pa.array(of, pa.int64()))
-            out = out.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
-            if "n_chars" in names:
-                out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts]).cast(out.schema.field("n_chars").type))
-            yield from out.combine_chunks().to_batches()
-
-    return rows.mapInArrow(cut, schema)
+        for whole in batches:
+            doc = whole.column(0)
+            table = pa.RecordBatch.from_arrays([doc.field(k) for k in range(len(names))], names=names)
+            for a, b in slices(table.column(names.index("text"))):
+                yield cut_rows(table.slice(a, b - a), whole.column(1).slice(a, b - a))
+
+    def cut_rows(table: pa.RecordBatch, takes: pa.Array) -> pa.RecordBatch:
+        texts, of = [], []
+        for i, take in enumerate(takes.to_pylist()):
+            buf, off = packed(table.column(names.index("text")).slice(i, 1))
+            starts = np.append(words(buf, off)[0], len(buf))
+            for turn in range(1, max(t["times"] for t in take) + 1):
+                parts = b"".join(buf[starts[t["from_word"]] : starts[t["to_word"]]].tobytes() for t in take if t["times"] >= turn)
+                texts.append(parts.decode())
+                of.append(i)
+        out = table.take(pa.array(of, pa.int64()))
+        out = out.set_column(names.index("text"), "text", pa.array(texts, pa.string()))
+        if "n_chars" in names:
+            out = out.set_column(names.index("n_chars"), "n_chars", pa.array([len(t) for t in texts]).cast(out.schema.field("n_chars").type))
+        return out
+
+    return rows.mapInArrow(tidy(cut), schema)

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sievegrid.llm.labelled import held_out, sample
 from sievegrid.llm.shared import documents
 from sievegrid.llm.shared import filtered as kept_rows
-from sievegrid.llm.textbytes import packed, slices, span_hashes, words
+from sievegrid.llm.textbytes import SLICE_BYTES, packed, slices, span_hashes, tidy, words
 
 #: Bounds of the model: labelled documents of either label that are read for it, size of the latent space, voters.
 EACH = 2000
@@ -26,6 +26,8 @@ LATENT = 48
 NEIGHBOURS = 25
 SHARPNESS = 24.0
 THRESHOLD = 0.3
+#: Texts whose terms are held at once.
+_ROWS = 256
 
 _TRIGRAMS, _KINDS = 2048, 8
 _KIND = np.full(256, 6, dtype=np.int32)
@@ -45,16 +47,18 @@ def terms(texts: pa.Array) -> np.ndarray:
     n, out = len(off) - 1, np.zeros((len(off) - 1, DIMENSIONS), dtype=np.float32)
     if len(buf) < 3:
         return out
-    of = np.repeat(np.arange(n), np.diff(off))
-    same = of[2:] == of[:-2]
-    row = of[2:][same]
-    b = buf.astype(np.uint32)
-    gram = ((b[:-2] * np.uint32(961) + b[1:-1] * np.uint32(31) + b[2:]) * np.uint32(2654435761)) >> np.uint32(21)
-    kind = _KIND[buf]
-    shape = kind[:-2] * (_KINDS * _KINDS) + kind[1:-1] * _KINDS + kind[2:]
-    out[:, :_TRIGRAMS] = np.bincount(row * _TRIGRAMS + gram[same], minlength=n * _TRIGRAMS).reshape(n, -1)
     at = _TRIGRAMS + _KINDS**3
-    out[:, _TRIGRAMS:at] = np.bincount(row * _KINDS**3 + shape[same], minlength=n * _KINDS**3).reshape(n, -1)
+    for a in range(0, len(buf) - 2, SLICE_BYTES):  # a very long text in pieces
+        part = buf[a : a + SLICE_BYTES + 2]
+        of = np.searchsorted(off, np.arange(a, a + len(part)), side="right") - 1
+        same = of[2:] == of[:-2]
+        row = of[2:][same]
+        b = part.astype(np.uint32)
+        gram = ((b[:-2] * np.uint32(961) + b[1:-1] * np.uint32(31) + b[2:]) * np.uint32(2654435761)) >> np.uint32(21)
+        kind = _KIND[part]
+        shape = kind[:-2] * (_KINDS * _KINDS) + kind[1:-1] * _KINDS + kind[2:]
+        out[:, :_TRIGRAMS] += np.bincount(row * _TRIGRAMS + gram[same], minlength=n * _TRIGRAMS).reshape(n, -1)
+        out[:, _TRIGRAMS:at] += np.bincount(row * _KINDS**3 + shape[same], minlength=n * _KINDS**3).reshape(n, -1)
     starts, ends, first = words(buf, off)
     h = span_hashes(buf, starts, ends)
     where = np.repeat(np.arange(n), np.diff(first))
@@ -66,7 +70,7 @@ def terms(texts: pa.Array) -> np.ndarray:
     size = np.maximum(np.diff(off) - 2, 1)[:, None]
     out[:, :at] /= size
     out[:, :_TRIGRAMS] *= 0.5
-    return np.sqrt(out)
+    return np.sqrt(out, out=out)
 
 
 @dataclass
@@ -119,34 +123,39 @@ def trained(docs: DataFrame, labels: DataFrame, each: int = EACH) -> Voters:
 
     def rows(batches):
         for batch in batches:
-            for a, b in slices(batch.column(1), rows=512):
+            for a, b in slices(batch.column(1), rows=_ROWS):
                 x = terms(batch.column(1).slice(a, b - a))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([r.astype(np.float16).tobytes() for r in x], pa.binary()), batch.column(2).slice(a, b - a)], names=["doc_id", "x", "label"])
 
-    few = sample(docs, labels, "quality", each).mapInArrow(rows, "doc_id long, x binary, label int").collect()  # 2 * each rows of fixed size
-    few = sorted(few, key=lambda r: (r["doc_id"], r["x"]))[: 2 * each]
+    few = sample(docs, labels, "quality", each).mapInArrow(tidy(rows), "doc_id long, x binary, label int").collect()  # 2 * each rows of fixed size
+    few = sorted(few, key=lambda r: r["doc_id"])
     return fit([(np.frombuffer(r["x"], dtype=np.float16).astype(np.float32), r["label"]) for r in few])
 
 
 def scored(docs: DataFrame, labels: DataFrame, each: int = EACH, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, held_out, score, predicted of every row. Null and empty texts score 0; without any usable label all do."""
+    """doc_id, held_out, score, predicted of every row of docs (doc_id, text; other columns are left alone).
+
+    Null and empty texts score 0; without any usable label all do. Rows that repeat are scored as often as they stand, and
+    rows without a doc_id too; held_out is false for them. Neighbours that tie at the last place count as numpy orders them, the
+    same on every run. Very long texts are read whole, piece by piece. An empty table gives no rows.
+    """
     model = docs.sparkSession.sparkContext.broadcast(trained(docs, labels, each))
 
     def score(batches):
         for batch in batches:
             texts = batch.column(2)
-            for a, b in slices(texts, rows=1024):
+            for a, b in slices(texts, rows=_ROWS):
                 s = model.value.scores(terms(texts.slice(a, b - a)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(s), pa.array((s >= threshold).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(score, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidy(score), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def filtered(docs: DataFrame, model: Voters, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that the voters find good, as they are; all of them where nobody votes."""
     given = docs.sparkSession.sparkContext.broadcast(model)
-    return kept_rows(docs, lambda texts: given.value.scores(terms(texts)) >= (threshold if len(given.value.labels) else 0.0))
+    return kept_rows(docs, lambda texts: given.value.scores(terms(texts)) >= (threshold if len(given.value.labels) else 0.0), _ROWS)
 
 
 def op1_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,13 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievegrid.llm.textbytes import slices
+from sievegrid.llm.textbytes import slices, tidy
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir, which all executors see; only where it is unset (tests on one machine) a local one."""
+    """The folder named by spark.checkpoint.dir, which all executors see. Where it is unset, a local one on a local master, and an error on a cluster."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         at = "file://" + tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -77,14 +79,18 @@ def running_totals(df: DataFrame, key: str, order: list[str], amount: Column, to
     return out.withColumn(total, F.col("_base") + F.col("_inside")).drop("_amount", "_bucket", "_key", "_b", "_base", "_inside")
 
 
-def filtered(docs: DataFrame, keep) -> DataFrame:
-    """The rows of docs whose text passes: keep(column of texts) gives a boolean for each. Columns stay as they are."""
+def filtered(docs: DataFrame, keep, rows: int = 4096) -> DataFrame:
+    """The rows of docs whose text passes: keep(column of at most so many texts) gives a boolean for each.
+
+    Columns stay as they are, whatever their names; rows that repeat pass or go together; null texts are given as such.
+    An empty table gives no rows.
+    """
     at = docs.columns.index("text")
 
     def sift(batches):
         for batch in batches:
-            for a, b in slices(batch.column(at)):
+            for a, b in slices(batch.column(at), rows=rows):
                 part = batch.slice(a, b - a)
                 yield part.filter(pa.array(keep(part.column(at))))
 
-    return docs.mapInArrow(sift, docs.schema)
+    return docs.mapInArrow(tidy(sift), docs.schema)

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.minhash_join import components
 from sievegrid.llm.shared import documents, dropped, freed, written
-from sievegrid.llm.textbytes import U64, mix64, pair_hashes, slices, word_hashes
+from sievegrid.llm.textbytes import U64, mix64, pair_hashes, slices, tidy, word_hashes
 
 WORDS64 = 2
 BITS = 64 * WORDS64
@@ -34,6 +34,8 @@ SIMILARITY, RECALL = 0.95, 0.95
 GROUP_RADIUS, PIECES = 2, 5
 #: Keys that a task deals at once, keys of a table in a part, and the longest list whose pairs are compared one shift after the other.
 _KEYS_AT_ONCE, _PART, _LONG = 500_000, 200_000, 512
+#: Shingles of a text that vote at once.
+_VOTERS_AT_ONCE = 1 << 15
 
 
 def radius_of(similarity: float, recall: float = RECALL) -> int:
@@ -55,11 +57,13 @@ def fingerprints(texts: pa.Array) -> np.ndarray:
     """A row of BITS / 8 bytes for each text; zeros for texts without words. A bit is set where the votes for it are more than half."""
     p, off = pair_hashes(*word_hashes(texts))
     out = np.zeros((len(off) - 1, BITS), dtype=bool)
-    for a in range(0, WORDS64):
-        bits = np.unpackbits(mix64(p ^ _SALT[a]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
-        for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
-            if y > x:
-                out[i, 64 * a : 64 * a + 64] = 2 * bits[x:y].sum(axis=0, dtype=np.int32) > y - x
+    for i, (x, y) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), strict=True)):
+        votes = np.zeros(BITS, dtype=np.int64)
+        for a in range(x, y, _VOTERS_AT_ONCE):
+            h = p[a : min(a + _VOTERS_AT_ONCE, y)]
+            for w in range(WORDS64):
+                votes[64 * w : 64 * w + 64] += np.unpackbits(mix64(h ^ _SALT[w]).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+        out[i] = 2 * votes > y - x
     return np.packbits(out, axis=1)
 
 
@@ -236,7 +240,7 @@ def compared(docs: DataFrame) -> DataFrame:
             yield _edge(names, part, "tail", last[0], last[1])
 
     schema = "doc_id long, n_chars long, edited_sha256 string, print binary, edited_print binary, near_edited double, near_next double, part long, head string, tail string"
-    rows = written(ordered.mapInArrow(walk, schema), "compared")
+    rows = written(ordered.mapInArrow(tidy(walk), schema), "compared")
     parts = sorted(r["part"] for r in rows.filter("head is not null").select("part").collect())  # numbers of the partitions
     after = dict(zip(parts, [*parts[1:], *parts[:1]], strict=True))
     spark = docs.sparkSession

@@ -7,13 +7,15 @@ Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
 _MULT = 0x9E3779B97F4A7C15 | 1
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -37,11 +39,27 @@ _powers = {"up": np.ones(1, dtype=U64), "down": np.ones(1, dtype=U64)}
 
 
 def _power(kind: str, n: int) -> np.ndarray:
-    if len(_powers[kind]) < n:
-        base = np.full(max(n, SLICE_BYTES), U64(_MULT if kind == "up" else _INVERSE))
-        base[0] = 1
-        _powers[kind] = np.multiply.accumulate(base)
-    return _powers[kind][:n]
+    """The first n powers; tables of up to two slices are kept."""
+    if len(_powers[kind]) >= n:
+        return _powers[kind][:n]
+    base = np.full(max(n, SLICE_BYTES + 1), U64(_MULT if kind == "up" else _INVERSE))
+    base[0] = 1
+    table = np.multiply.accumulate(base)
+    if n <= 2 * SLICE_BYTES + 1:
+        _powers[kind] = table
+    return table[:n]
+
+
+def tidy(work):
+    """work(batches), after which the Python worker gives back what it has freed: Spark keeps workers, and later stages need the room."""
+
+    def run(batches):
+        yield from work(batches)
+        pa.default_memory_pool().release_unused()
+        if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+            trim(0)
+
+    return run
 
 
 def packed(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -91,7 +109,22 @@ def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span; equal bytes have equal hashes, wherever they stand."""
+    """A 64-bit hash of the bytes of each span, in ascending order; equal bytes have equal hashes, wherever they stand.
+
+    Long buffers are taken piece by piece, so that a very long text costs little more than its words.
+    """
+    if len(buf) <= 2 * SLICE_BYTES:
+        return _span_hashes(buf, starts, ends)
+    out, at = np.empty(len(starts), dtype=U64), 0
+    while at < len(starts):
+        a = int(starts[at])
+        to = max(at + 1, int(np.searchsorted(ends, a + SLICE_BYTES, side="right")))
+        out[at:to] = _span_hashes(buf[a : int(ends[to - 1])], starts[at:to] - a, ends[at:to] - a)
+        at = to
+    return out
+
+
+def _span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     n = len(buf)
     sums = np.empty(n + 1, dtype=U64)
     sums[0] = 0

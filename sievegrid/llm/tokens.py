@@ -14,7 +14,8 @@ import pyarrow as pa
 from sievegrid.llm.textbytes import SLICE_BYTES, packed, slices, span_hashes
 
 END_ID = 2
-MOST_KEPT = 2_000_000
+#: Pre-tokens whose ids a worker keeps; with more it starts anew.
+MOST_KEPT = 300_000
 
 _LETTER, _DIGIT, _BLANK, _OTHER = 0, 1, 2, 3
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
