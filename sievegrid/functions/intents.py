@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The default keyword lists.
@@ -52,22 +52,30 @@ def first_match(lowered: Column, patterns: list[str]) -> Column:
 
 def hit_count(lowered: Column, patterns: list[str]) -> Column:
     """Occurrences of all patterns, those of one pattern not overlapping."""
-    return F.aggregate(listed(patterns), F.lit(0), lambda a, p: a + ((F.length(lowered) - F.length(F.replace(lowered, p, F.lit("")))) / F.length(p)).cast("int"))
+    left = lambda p: F.length(lowered) - F.length(F.replace(lowered, F.lit(p.lower()), F.lit("")))
+    counts = [(left(p) / len(p)).cast("int") for p in patterns]
+    return sum(counts[1:], counts[0])
 
 
-def intent_features(lowered: Column, categories: dict[str, list[str]] | None = None, actions: list[str] | None = None, urgency: str = "urgency") -> Column:
-    """Struct of hits and presence of each category, and the three counts across them."""
+def with_intent_features(df: DataFrame, text: str, categories: dict[str, list[str]] | None = None, actions: list[str] | None = None, urgency: str = "urgency") -> DataFrame:
+    """Adds hits and presence of each category, and the three counts across them, as doubles. The counts are columns first, so that each is taken once."""
     categories, actions = categories or CATEGORIES, actions or ACTION_CATEGORIES
-    hits = {name: hit_count(lowered, patterns).cast("double") for name, patterns in categories.items()}
-    some = {name: (h > 0).cast("double") for name, h in hits.items()}
+    df = df.withColumn("_low", F.lower(text)).withColumns({f"{name}_hits": hit_count(F.col("_low"), patterns).cast("double") for name, patterns in categories.items()})
+    hits = {name: F.col(f"{name}_hits") for name in categories}
     add = lambda cs: sum(cs[1:], cs[0])
-    return F.struct(
-        *(h.alias(f"{name}_hits") for name, h in hits.items()),
-        *(s.alias(f"{name}_present") for name, s in some.items()),
-        add(list(some.values())).alias("intent_category_count"),
-        add(list(hits.values())).alias("intent_hit_count"),
-        ((hits[urgency] > 0) & (add([hits[a] for a in actions]) > 0)).cast("double").alias("urgency_action_pair"),
-    )
+    some = {name: (h > 0).cast("double") for name, h in hits.items()}
+    across = {
+        "intent_category_count": add(list(some.values())),
+        "intent_hit_count": add(list(hits.values())),
+        "urgency_action_pair": ((hits[urgency] > 0) & (add([hits[a] for a in actions]) > 0)).cast("double"),
+    }
+    return df.withColumns({f"{name}_present": s for name, s in some.items()} | across).drop("_low")
+
+
+def intent_names(categories: dict[str, list[str]] | None = None) -> list[str]:
+    """The columns that with_intent_features() adds, in order."""
+    names = list(categories or CATEGORIES)
+    return [f"{n}_hits" for n in names] + [f"{n}_present" for n in names] + ["intent_category_count", "intent_hit_count", "urgency_action_pair"]
 
 
 def weak_intents(lowered: Column, intents: dict[str, list[str]] | None = None, actions: list[str] | None = None, negations: list[str] | None = None, benign: str = "benign_notice") -> Column:

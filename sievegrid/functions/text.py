@@ -2,13 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 MODEL_TEXT_CHARS = 20_000
 
@@ -24,15 +19,10 @@ def text_of(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
-@pandas_udf(StringType())
-def _nfkc(s: pd.Series) -> pd.Series:
-    return s.map(lambda x: unicodedata.normalize("NFKC", x))
-
-
 def compatible(c: Column | str) -> Column:
-    """NFKC; texts of ASCII signs alone don't leave the JVM."""
+    """NFKC by the ICU library that Spark carries, so rows stay in the JVM; ASCII texts are as they are."""
     t = text_of(c)
-    return F.when(t.rlike(r"[^\x00-\x7F]"), _nfkc(F.when(t.rlike(r"[^\x00-\x7F]"), t).otherwise(F.lit("")))).otherwise(t)
+    return F.when(t.rlike(r"[^\x00-\x7F]"), F.reflect(F.lit("com.ibm.icu.text.Normalizer"), F.lit("compose"), t, F.lit(True))).otherwise(t)
 
 
 def normalized(c: Column | str) -> Column:

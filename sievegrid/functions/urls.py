@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 from sievegrid.functions.text import text_of
 
@@ -15,7 +12,7 @@ SHORTENERS = ["bit.ly", "cutt.ly", "goo.gl", "is.gd", "ow.ly", "rebrand.ly", "s.
 KEYWORDS = ["account", "bank", "confirm", "login", "password", "secure", "signin", "update", "verify", "wallet"]
 BRANDS = ["alipay", "amazon", "apple", "bank", "google", "microsoft", "office365", "paypal", "tencent", "wechat"]
 TWO_LEVEL_SUFFIXES = ["ac.cn", "ac.uk", "co.jp", "co.uk", "com.au", "com.cn", "com.hk", "com.sg", "edu.cn", "gov.cn", "net.cn", "org.cn"]
-HIGH_SIGNAL = ["ip_host", "lookalike_characters", "punycode", "shortener", "userinfo", "many_subdomains"]
+HIGH_SIGNAL = ["encoded_chars", "ip_host", "lookalike_characters", "many_subdomains", "punycode", "userinfo"]
 FIND = r"(?i)(?<!@)\b((?:https?://|www\.)[^\s<>'\"]+|(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s<>'\"]*)?)"
 TRAILING = ".,;:!?)。，；"
 IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
@@ -37,11 +34,11 @@ def html_text(c: Column | str) -> Column:
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
-def html_links(c: Column | str) -> Column:
-    """Array of struct href, display_text of the links of a page."""
-    anchors = F.regexp_extract_all(text_of(c), F.lit(r"(?is)(<a\s[^>]*?href\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a\s*>)"), F.lit(1))
+def anchors(c: Column | str) -> Column:
+    """Array of struct href, display_text of the anchors of a page."""
+    found = F.regexp_extract_all(text_of(c), F.lit(r"(?is)(<a\s[^>]*?href\s*=\s*(?:\"[^\"]*\"|'[^']*')[^>]*>.*?</a\s*>)"), F.lit(1))
     return F.transform(
-        anchors,
+        found,
         lambda a: F.struct(
             F.trim(F.regexp_replace(F.regexp_extract(a, r"(?is)href\s*=\s*(\"[^\"]*\"|'[^']*')", 1), r"^[\"']|[\"']$", "")).alias("href"),
             F.trim(F.regexp_replace(F.regexp_replace(a, r"(?s)<[^>]*>", " "), r"\s+", " ")).alias("display_text"),
@@ -49,15 +46,11 @@ def html_links(c: Column | str) -> Column:
     )
 
 
-@pandas_udf(StringType())
-def _idna(s: pd.Series) -> pd.Series:
-    def one(host: str) -> str:
-        try:
-            return host.encode("idna").decode("ascii")
-        except UnicodeError:
-            return host
-
-    return s.map(one)
+def html_links(c: Column | str) -> Column:
+    """The anchors of a page, and after them the links of its visible text that no anchor shows as its text, with an empty display_text."""
+    shown = lambda links: F.transform(links, lambda a: a["display_text"])
+    bare = F.array_except(found_urls(html_text(c)), shown(anchors(c)))
+    return F.array_distinct(F.concat(anchors(c), F.transform(bare, lambda u: F.struct(u.alias("href"), F.lit("").alias("display_text")))))
 
 
 def is_ip(host: Column) -> Column:
@@ -107,7 +100,8 @@ def with_parsed(df: DataFrame, raw: str, display: Column | None = None) -> DataF
     host_text = F.lower(F.rtrim(F.when(place.startswith("["), F.regexp_extract(place, r"^\[([^\]]*)\]", 1)).otherwise(F.regexp_extract(place, r"^([^:]*)", 1)), F.lit(".")))
     df = df.withColumns({"_name": host_text, "_port": F.regexp_extract(F.regexp_replace(place, r"^\[[^\]]*\]", ""), r":(.*)$", 1)})
     odd = F.col("_name").rlike(r"[^\x00-\x7F]")
-    df = df.withColumn("_host", F.when(odd, _idna(F.when(odd, F.col("_name")).otherwise(F.lit("a")))).otherwise(F.col("_name")))
+    ascii_name = F.try_reflect(F.lit("java.net.IDN"), F.lit("toASCII"), "_name")  # null for names that have no ASCII form
+    df = df.withColumn("_host", F.when(odd, F.lower(F.coalesce(ascii_name, F.col("_name")))).otherwise(F.col("_name")))
     host, port = F.col("_host"), F.col("_port").try_cast("int")
     bad_port = (F.col("_port") != "") & (~F.col("_port").rlike(r"^\d{1,5}$") | (F.coalesce(port, F.lit(70000)) > 65535))
     df = df.withColumns({"_bad": (scheme == "") | (net == ""), "_badport": bad_port, "_ip": is_ip(host)})

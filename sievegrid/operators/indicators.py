@@ -24,14 +24,14 @@ def violations(indicators: DataFrame, key: str = "indicator_id") -> DataFrame:
 def matched(links: DataFrame, indicators: DataFrame, url: str = "normalized_url", domain: str = "registrable_domain", host: str = "host") -> DataFrame:
     """The links with indicator_id, confidence, match_type and blacklist_hit of the best active indicator.
 
-    The exact link goes before the registrable domain, that before the host; then the smallest id. Each kind is one
-    equi-join on pre-aggregated indicators, of which Spark broadcasts small ones by their size.
+    The exact link goes before the registrable domain, that before the host; then the smallest id. The indicators are one
+    lookup by value, which Spark broadcasts once while it is small; then the links are not shuffled at all.
     """
-    active = indicators.filter("status = 'active'")
-    best = active.groupBy("indicator_type", "indicator").agg(F.min(F.struct("indicator_id", "confidence")).alias("i"))
+    best = lambda kind: F.min(F.when(F.col("indicator_type") == kind, F.struct("indicator_id", "confidence")))
+    lookup = indicators.filter("status = 'active'").groupBy("indicator").agg(best("url").alias("as_url"), best("domain").alias("as_domain"))
     out = links
-    for kind, column, name in (("url", url, "_u"), ("domain", domain, "_d"), ("domain", host, "_h")):
-        side = best.filter(F.col("indicator_type") == kind).select(F.col("indicator").alias(f"{name}k"), F.col("i").alias(name))
+    for column, which, name in ((url, "as_url", "_u"), (domain, "as_domain", "_d"), (host, "as_domain", "_h")):
+        side = lookup.select(F.col("indicator").alias(f"{name}k"), F.col(which).alias(name))
         out = out.join(side, (F.col(column) == F.col(f"{name}k")) & (F.col(column) != ""), "left").drop(f"{name}k")
     hit = F.coalesce("_u", "_d", "_h")
     kind = F.when(F.col("_u").isNotNull(), "exact_url").when(hit.isNotNull(), "registrable_domain")
@@ -47,7 +47,13 @@ def hit_counts(indicators: DataFrame, links: DataFrame, url: str = "normalized_u
 
 
 def derived(links: DataFrame, known: DataFrame | None = None, tokens: str = "suspicious_tokens", url: str = "normalized_url") -> DataFrame:
-    """indicator, confidence of links with a high-signal token: min(0.99, 0.72 + 0.05 for each), unless the indicator is known, whatever its status."""
+    """indicator, confidence of links with a high-signal token: min(0.99, 0.72 + 0.05 for each), unless the link is a known indicator, whatever its status."""
     n = F.size(F.array_intersect(tokens, F.array(*map(F.lit, HIGH_SIGNAL))))
     rows = links.filter((n > 0) & (F.col(url) != "")).groupBy(F.col(url).alias("indicator")).agg(F.round(F.least(F.lit(0.99), 0.72 + 0.05 * F.max(n)), 2).alias("confidence"))
-    return rows if known is None else rows.join(known.select("indicator").distinct(), "indicator", "left_anti")
+    return rows if known is None else rows.join(known.filter("indicator_type = 'url'").select("indicator").distinct(), "indicator", "left_anti")
+
+
+def with_derived(indicators: DataFrame, links: DataFrame) -> DataFrame:
+    """The indicators and those newly derived from the links, which are active and have no id yet."""
+    new = derived(links, indicators).select(F.lit(None).cast("long").alias("indicator_id"), "indicator", F.lit("url").alias("indicator_type"), F.lit("active").alias("status"), "confidence", F.lit("auto_rule").alias("source"))
+    return indicators.unionByName(new, allowMissingColumns=True)

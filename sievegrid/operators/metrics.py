@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sievegrid.operators.ranks import with_running_sums
+
+#: Distribution function of Poisson(1).
+POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+#: Buckets of scores between 0 and 1; scores outside fall into the ends.
+_SCORE_BUCKETS = 1024
+
 
 def _share(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
@@ -60,15 +67,14 @@ def brier(df: DataFrame) -> DataFrame:
 
 
 def average_precision(df: DataFrame, by: list[str] | None = None, weight: Column | None = None, probability: str = "probability") -> DataFrame:
-    """Step PR-AUC over tied scores, null without both labels.
+    """Step PR-AUC over tied scores, null without both labels; by: a row for each group.
 
-    Rows are first summed up by score, so the ordered window sees distinct scores only; by: a row for each group.
+    Rows are first summed up by score. The running sums go through buckets of falling scores, so no task sees all scores.
     """
     by, w = by or [], F.lit(1.0) if weight is None else weight
-    level = df.groupBy(*by, probability).agg(F.sum(F.when(F.col("label") == "phishing", w).otherwise(0.0)).alias("p"), F.sum(w).alias("n"))
-    order = Window.partitionBy(*by).orderBy(F.desc(probability))
-    total = Window.partitionBy(*by)
-    at = level.select(*by, "p", F.sum("p").over(order).alias("tp"), F.sum("n").over(order).alias("k"), F.sum("p").over(total).alias("all_p"), F.sum("n").over(total).alias("all_n"))
+    level = df.groupBy(*by, F.col(probability).alias("_score")).agg(F.sum(F.when(F.col("label") == "phishing", w).otherwise(0.0)).alias("p"), F.sum(w).alias("n"))
+    bucket = -F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))) * _SCORE_BUCKETS).cast("int")
+    at = with_running_sums(level, by, [F.desc("_score")], bucket, {"tp": "p", "k": "n"}, {"all_p": "p", "all_n": "n"})
     value = F.sum(F.try_divide(F.col("p"), F.col("all_p")) * F.try_divide(F.col("tp"), F.col("k")))
     both = (F.max("all_p") > 0) & (F.max("all_p") < F.max("all_n"))
     return at.groupBy(*by).agg(F.when(both, value).alias("pr_auc"))
@@ -77,7 +83,7 @@ def average_precision(df: DataFrame, by: list[str] | None = None, weight: Column
 def bootstrap_weights(row_id: str, replicates: int) -> Column:
     """Array of struct replicate, weight: Poisson(1) draws from a hash of (row, replicate); the same on every run."""
     u = lambda r: F.conv(F.substring(F.md5(F.concat_ws("|", F.col(row_id).cast("string"), r.cast("string")).cast("binary")), 1, 8), 16, 10).cast("double") / 4294967296.0
-    steps = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # Poisson(1) distribution function
+    steps = POISSON
     draws = F.transform(F.sequence(F.lit(1), F.lit(replicates)), lambda r: F.struct(r.alias("replicate"), u(r).alias("u")))  # each hash once
     weight = lambda x: sum((F.when(x["u"] >= s, 1).otherwise(0) for s in steps), F.lit(0))
     return F.transform(F.filter(draws, lambda x: x["u"] >= steps[0]), lambda x: F.struct(x["replicate"].alias("replicate"), weight(x).alias("weight")))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sievegrid.functions import text
-from sievegrid.operators import corpus, indicators, metrics, models, overview
+from sievegrid.functions import text, urls
+from sievegrid.operators import corpus, indicators, metrics, models, overview, ranks
 from sievegrid.plans import views
 from sievegrid.plans.queries import INTENT_WORDS, SIMHASH_SQL, WEAK_SQL, _tagged, query
 from sievegrid.plans.views import CLEANED, INDICATORS, LINKS, MESSAGES, SCORED, cleaned, links, messages, scored, table
@@ -52,19 +52,40 @@ def d05_history_rows(spark, d):
     return overview.history(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", children)
 
 
-@query("""SELECT o_orderkey, l_linenumber, l_partkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey""")
+@query("""SELECT o_orderkey, count(*) AS lines, sum(l_quantity)::DOUBLE AS quantity, string_agg(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR, ',' ORDER BY l_linenumber) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def d06_detail(spark, d):
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")).alias("lines"))  # a few of each order
+    """Each order with its lines nested as JSON text, decoded again."""
+    line = F.to_json(F.struct("l_linenumber", "l_partkey", "l_quantity"))
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("j")))).alias("lines"))  # a few of each order
     nested = table(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
-    return nested.select("o_orderkey", F.explode("lines").alias("l")).select("o_orderkey", "l.*")
+    read = nested.select("o_orderkey", F.transform("lines", lambda x: F.from_json(x["j"], "l_linenumber long, l_partkey long, l_quantity double")).alias("lines"))
+    parts = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",")
+    return read.select("o_orderkey", F.size("lines").cast("long").alias("lines"), F.aggregate("lines", F.lit(0.0), lambda a, x: a + x["l_quantity"]).alias("quantity"), parts.alias("parts"))
 
 
-@query(f"""WITH {SIMHASH_SQL}, p AS (SELECT DISTINCT sha256(d.text) AS key, coalesce(hi, 4294967295) AS hi, coalesce(lo, 4294967295) AS lo FROM prints JOIN documents d ON d.doc_id = prints.doc_id)
-  SELECT a.key AS left_key, b.key AS right_key FROM p a JOIN p b ON a.key < b.key AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3
-    AND (a.hi >> 16 = b.hi >> 16 OR a.hi & 65535 = b.hi & 65535 OR a.lo >> 16 = b.lo >> 16 OR a.lo & 65535 = b.lo & 65535)""")
+@query("""SELECT o_orderkey, l_linenumber, l_partkey, l_quantity FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderpriority = '2-HIGH')""")
+def d06_detail_by_id(spark, d):
+    """One order by its id, with its lines; the id is that of the first urgent order."""
+    first = table(spark, d, "orders").filter("o_orderpriority = '2-HIGH'").agg(F.min("o_orderkey").alias("o_orderkey"))
+    return table(spark, d, "lineitem").join(F.broadcast(first), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_linenumber", "l_partkey", "l_quantity")  # one row
+
+
+CLASSES_SQL = """classes AS (SELECT hi, lo, min(key) AS class_key, count(*) AS members FROM p GROUP BY 1, 2),
+  pairs AS (SELECT a.class_key AS left_key, b.class_key AS right_key, a.members AS left_members, b.members AS right_members FROM classes a JOIN classes b ON a.class_key < b.class_key AND bit_count(xor(a.hi, b.hi)) + bit_count(xor(a.lo, b.lo)) <= 3)"""
+
+
+@query(f"""WITH {SIMHASH_SQL}, p AS (SELECT DISTINCT sha256(d.text) AS key, coalesce(hi, 4294967295) AS hi, coalesce(lo, 4294967295) AS lo FROM prints JOIN documents d ON d.doc_id = prints.doc_id), {CLASSES_SQL} SELECT * FROM pairs""")
 def d07_near_duplicate_pairs(spark, d):
     docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
-    return corpus.near_duplicate_pairs(text.simhash64(docs, "key", "text"), "key", "simhash")
+    return corpus.near_duplicate_pairs(corpus.simhash_classes(text.simhash64(docs, "key", "text"), "key", "simhash"))
+
+
+@query(f"""WITH {SIMHASH_SQL}, p AS (SELECT DISTINCT sha256(d.text) AS key, coalesce(hi, 4294967295) AS hi, coalesce(lo, 4294967295) AS lo FROM prints JOIN documents d ON d.doc_id = prints.doc_id)
+  SELECT key, min(key) OVER (PARTITION BY hi, lo) AS class_key FROM p""")
+def d07_near_duplicate_members(spark, d):
+    docs = table(spark, d, "documents").select(F.sha2("text", 256).alias("key"), "text").dropDuplicates(["key"])
+    prints = text.simhash64(docs, "key", "text")
+    return prints.join(prints.groupBy("simhash").agg(F.min("key").alias("class_key")), "simhash").select("key", "class_key")
 
 
 @query(f"""WITH {SCORED} SELECT id, label, probability >= 0.5 AS candidate_flag, baseline >= 0.5 AS baseline_flag FROM scored WHERE (probability >= 0.5) <> (baseline >= 0.5)""")
@@ -80,6 +101,13 @@ def d10_attach_labels(spark, d):
     return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
 
 
+@query("""SELECT count(*) AS labels, count(d.doc_id) AS found, count(*) - count(d.doc_id) AS missing, count(*) = count(d.doc_id) AS complete FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 17 <> 0) d ON d.doc_id = l.doc_id""")
+def d10_label_completeness(spark, d):
+    docs = table(spark, d, "documents").filter("doc_id % 17 <> 0").select("doc_id", F.lit(True).alias("there"))
+    found = F.count("there")
+    return table(spark, d, "labels").join(docs, "doc_id", "left").agg(F.count("*").alias("labels"), found.alias("found"), (F.count("*") - found).alias("missing"), (F.count("*") == found).alias("complete"))
+
+
 # E: aggregations
 
 
@@ -151,6 +179,22 @@ def e08_dedup_report(spark, d):
     return corpus.dedup_report(_parity(spark, d))
 
 
+@query(f"WITH {DEDUP} SELECT source, label, count(*) AS n FROM kept WHERE rn = 1 GROUP BY 1, 2")
+def e08_retained_by_source_label(spark, d):
+    rows = _parity(spark, d).select("id", "source", "label", "source_hash", "content_fingerprint", "parse_warnings", "original_chars")
+    return overview.counts_by(corpus.deduplicated(rows), "source", "label")
+
+
+@query(f"""WITH {DEDUP}, {SIMHASH_SQL.replace('doc_id', 'id').replace('lower(text)', 'lower(model_text)').replace('FROM documents', 'FROM kept WHERE rn = 1').replace('WHERE rn = 1 d ', 'd ')},
+  p AS (SELECT content_fingerprint AS key, coalesce(hi, 4294967295) AS hi, coalesce(lo, 4294967295) AS lo FROM prints JOIN kept ON kept.id = prints.id WHERE rn = 1), {CLASSES_SQL}
+  SELECT ((SELECT coalesce(sum(members * (members - 1) / 2), 0) FROM classes) + (SELECT coalesce(sum(left_members * right_members), 0) FROM pairs))::BIGINT AS near_duplicate_pairs,
+    (SELECT coalesce(sum(members), 0)::BIGINT FROM classes WHERE members > 1 OR class_key IN (SELECT left_key FROM pairs UNION SELECT right_key FROM pairs)) AS near_duplicate_records""")
+def e08_near_duplicate_counts(spark, d):
+    rows = corpus.deduplicated(_parity(spark, d))
+    prints = text.simhash64(rows.select("dedup_group", "model_text"), "dedup_group", "model_text")
+    return corpus.near_duplicate_counts(corpus.simhash_classes(prints, "dedup_group", "simhash"))
+
+
 @query(f"""WITH {MESSAGES}, s AS (SELECT CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split, label, source FROM messages)
   SELECT split, 'records' AS dimension, '' AS value, count(*) AS n FROM s GROUP BY 1 UNION ALL SELECT split, 'label', coalesce(label, '<missing>'), count(*) FROM s GROUP BY split, label UNION ALL SELECT split, 'source', source, count(*) FROM s GROUP BY split, source""")
 def e09_split_summary(spark, d):
@@ -200,10 +244,15 @@ def e15_average_precision(spark, d):
     return _rounded(metrics.average_precision(scored(spark, d)))
 
 
-@query()
+@query(f"""WITH {SCORED}, u AS (SELECT label = 'phishing' AS y, probability, baseline, r, ('0x' || substr(md5(id::VARCHAR || '|' || r::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u FROM scored, range(1, 501) t(r)),
+  w AS (SELECT y, probability, baseline, r, len(list_filter({metrics.POISSON}, lambda s: u >= s)) AS w FROM u WHERE u >= {metrics.POISSON[0]}),
+  l AS (SELECT r, 'a' AS side, probability AS s, sum(w) FILTER (WHERE y) AS p, sum(w) AS n FROM w GROUP BY ALL UNION ALL SELECT r, 'b', baseline, sum(w) FILTER (WHERE y), sum(w) FROM w GROUP BY ALL),
+  c AS (SELECT r, side, coalesce(p, 0) AS p, sum(coalesce(p, 0)) OVER (PARTITION BY r, side ORDER BY s DESC) AS tp, sum(n) OVER (PARTITION BY r, side ORDER BY s DESC) AS k, sum(coalesce(p, 0)) OVER (PARTITION BY r, side) AS every FROM l),
+  a AS (SELECT r, side, sum(p / every * tp / k) AS area FROM c GROUP BY 1, 2), d AS (SELECT r, sum(CASE WHEN side = 'a' THEN area ELSE -area END) AS d FROM a GROUP BY 1)
+  SELECT count(*) AS iterations, round(avg(d), 9) AS mean_difference, round(quantile_cont(d, 0.025), 9) AS ci95_lower, round(quantile_cont(d, 0.975), 9) AS ci95_upper FROM d""")
 def e16_paired_bootstrap(spark, d):
     rows = scored(spark, d).withColumnRenamed("probability", "candidate")
-    return metrics.paired_bootstrap(rows)
+    return _rounded(metrics.paired_bootstrap(rows))
 
 
 @query(f"WITH {SCORED} SELECT count(*) AS support, round(avg((probability >= 0.5)::INTEGER), 9) AS flag_rate, round(avg(probability), 9) AS mean_probability, round(max(probability), 9) AS max_probability, sum((probability >= 0.5)::INTEGER)::BIGINT AS flagged FROM scored")
@@ -242,10 +291,17 @@ def e22_error_breakdown(spark, d):
     return metrics.error_breakdown(scored(spark, d), ["source", "event_type"])
 
 
+@query(f"""WITH {SCORED}, {CLEANED}, e AS (SELECT CASE WHEN s.probability >= 0.5 THEN 'FP' ELSE 'FN' END AS error_type, CASE WHEN length(c.text_body) < 500 THEN 'short' WHEN length(c.text_body) < 5000 THEN 'medium' ELSE 'long' END AS length_band,
+    regexp_matches(c.model_text, '<EMAIL>|<URL>|<NUMBER>')::VARCHAR AS placeholder FROM scored s JOIN cleaned c ON c.id = s.id WHERE (s.probability >= 0.5) <> (s.label = 'phishing'))
+  SELECT 'length_band' AS dimension, length_band AS value, error_type, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT 'placeholder', placeholder, error_type, count(*) FROM e GROUP BY ALL""")
+def e22_error_breakdown_by_text(spark, d):
+    texts = cleaned(spark, d).select("id", text.length_band("text_body").alias("length_band"), F.col("model_text").rlike("<EMAIL>|<URL>|<NUMBER>").alias("placeholder"))
+    return metrics.error_breakdown(scored(spark, d).join(texts, "id"), ["length_band", "placeholder"])
+
+
 @query("SELECT round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events")
 def e23_latency_percentiles(spark, d):
-    p = F.percentile("value", F.array(F.lit(0.5), F.lit(0.95)))
-    return _rounded(table(spark, d, "events").agg(p.alias("p")).select(F.col("p")[0].alias("p50"), F.col("p")[1].alias("p95")))
+    return _rounded(ranks.percentiles(table(spark, d, "events"), "value", {"p50": 0.5, "p95": 0.95}))
 
 
 @query(f"WITH {SCORED} SELECT label, count(*) AS n, round(avg(probability), 9) AS mean_probability, round(avg(rule_score), 9) AS mean_rule_score FROM scored GROUP BY 1")
@@ -271,7 +327,7 @@ def e27_any_risky_metrics(spark, d):
 
 @query(f"WITH {DEDUP} SELECT id, content_fingerprint AS dedup_group FROM kept WHERE rn = 1")
 def f02_deduplicate(spark, d):
-    return corpus.deduplicated(_parity(spark, d)).select("id", "dedup_group")
+    return corpus.deduplicated_ids(_parity(spark, d))
 
 
 @query(f"""WITH {MESSAGES}, r AS (SELECT doc_id, count(*) OVER w AS n, row_number() OVER (PARTITION BY source, label ORDER BY sha256('|' || doc_id::VARCHAR), doc_id) AS k FROM messages WINDOW w AS (PARTITION BY source, label))
@@ -331,10 +387,12 @@ def g03_pagination(spark, d):
     return overview.pages(table(spark, d, "orders").filter("o_orderpriority = '2-HIGH'"), 20)
 
 
-@query("""SELECT doc_id AS id, lang AS original_label, 'base' AS collection FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT conv_id, NULL, 'talk' FROM conversations""")
+@query("""SELECT doc_id AS id, lang AS original_label, 'base' AS collection FROM documents UNION ALL SELECT conv_id, NULL, 'talk' FROM conversations UNION ALL SELECT page_id, NULL, 'supplement' FROM pages""")
 def h01_concat_collections(spark, d):
-    base = table(spark, d, "documents").filter("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.col("lang").alias("original_label"), F.lit("base").alias("collection"))
-    return base.unionByName(table(spark, d, "conversations").select(F.col("conv_id").alias("id"), F.lit("talk").alias("collection")), allowMissingColumns=True)
+    base = table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("original_label"), F.lit("base").alias("collection"))
+    for name, key, collection in (("conversations", "conv_id", "talk"), ("pages", "page_id", "supplement")):
+        base = base.unionByName(table(spark, d, name).select(F.col(key).alias("id"), F.lit(collection).alias("collection")), allowMissingColumns=True)
+    return base
 
 
 @query("SELECT count(*) AS overlap FROM (SELECT sha256(text) FROM documents WHERE doc_id % 2 = 1 INTERSECT SELECT sha256(text) FROM documents WHERE doc_id % 2 = 0)")
@@ -370,10 +428,10 @@ def i01_tfidf_word(spark, d):
 
 
 @query(f"""WITH {TFIDF_SQL}, n AS (SELECT doc_id, sqrt(sum(x * x)) AS norm FROM raw GROUP BY 1), v AS (SELECT term, sum(x / norm) AS w FROM raw JOIN n ON n.doc_id = raw.doc_id GROUP BY 1)
-  SELECT term, round(w, 6) AS weight FROM v ORDER BY round(w, 6) DESC, term LIMIT 20""")
+  SELECT * FROM (SELECT 'largest' AS side, term, round(w, 6) AS weight FROM v ORDER BY round(w, 6) DESC, term LIMIT 20) UNION ALL SELECT * FROM (SELECT 'smallest', term, round(w, 6) FROM v ORDER BY round(w, 6), term LIMIT 20)""")
 def f10_top_terms(spark, d):
     v = models.tfidf(table(spark, d, "documents"), "doc_id", "text").groupBy("term").agg(F.round(F.sum("weight"), 6).alias("weight"))
-    return v.orderBy(F.desc("weight"), "term").limit(20)
+    return models.extreme_terms(v, 20)
 
 
 @query(f"""WITH {WEAK_SQL}, p AS (SELECT t.doc_id, t.intents, ('0x' || substr(md5(t.doc_id::VARCHAR), 1, 4))::INTEGER::DOUBLE / 65535 AS p FROM tagged t)
@@ -400,9 +458,36 @@ def i04_balanced_logistic(spark, d):
 # J: streams, in their batch form over the same functions
 
 
-@query(f"""WITH {LINKS} SELECT normalized_url AS indicator, round(0.77, 2) AS confidence FROM linked WHERE length(host) - length(replace(host, '.', '')) >= 4 GROUP BY 1""")
+#: Links of the pages, changed so that their tokens differ: an address host, a user part, an encoded sign, many subdomains, two tokens at once, none.
+ODD_LINKS = f"""{INDICATORS}, odd AS (SELECT *, page_id % 6 AS k FROM linked),
+  parts AS (SELECT page_id, k, CASE k WHEN 0 THEN '192.0.2.' || (page_id % 250)::VARCHAR WHEN 3 THEN 'a.b.c.' || host WHEN 4 THEN 'a.b.g00gle.' || host ELSE host END AS host, path, CASE WHEN k = 2 THEN 'q=%20' ELSE query END AS query, registrable_domain FROM odd),
+  seen AS (SELECT page_id, host, CASE WHEN k = 0 THEN '' ELSE registrable_domain END AS domain, 'https://' || host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS url, CASE k WHEN 0 THEN 1 WHEN 1 THEN 1 WHEN 2 THEN 1 WHEN 4 THEN 2 ELSE 0 END
+    + CASE WHEN k NOT IN (0, 4) AND length(host) - length(replace(host, '.', '')) - (length(registrable_domain) - length(replace(registrable_domain, '.', ''))) >= 3 THEN 1 ELSE 0 END AS tokens FROM parts),
+  fresh AS (SELECT url AS indicator, round(least(0.99, 0.72 + 0.05 * max(tokens)), 2) AS confidence FROM seen WHERE tokens > 0 AND url NOT IN (SELECT indicator FROM indicators WHERE indicator_type = 'url') GROUP BY 1)"""
+
+
+def _odd_links(spark, d):
+    k, host = F.col("page_id") % 6, F.col("host")
+    host = F.when(k == 0, F.concat(F.lit("192.0.2."), (F.col("page_id") % 250).cast("string"))).when(k == 3, F.concat(F.lit("a.b.c."), host)).when(k == 4, F.concat(F.lit("a.b.g00gle."), host)).otherwise(host)
+    query = F.when(k == 2, F.lit("?q=%20")).when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")
+    raw = links(spark, d).select("page_id", F.concat(F.lit("https://"), F.when(k == 1, "user:pw@").otherwise(""), host, "path", query).alias("raw"))
+    return urls.with_parsed(raw, "raw").drop("raw")
+
+
+@query(f"WITH {ODD_LINKS} SELECT * FROM fresh")
 def j02_auto_indicators(spark, d):
-    return indicators.derived(links(spark, d))
+    """Indicators that the links derive and that were not known."""
+    return indicators.derived(_odd_links(spark, d), views.indicators(spark, d))
+
+
+@query(f"""WITH {ODD_LINKS}, known AS (SELECT indicator_type, indicator, min(indicator_id) AS i FROM indicators WHERE status = 'active' GROUP BY 1, 2)
+  SELECT s.page_id, CASE WHEN u.i IS NOT NULL OR f.indicator IS NOT NULL THEN 'exact_url' WHEN coalesce(r.i, h.i) IS NOT NULL THEN 'registrable_domain' END AS match_type, f.indicator IS NOT NULL OR coalesce(u.i, r.i, h.i) IS NOT NULL AS blacklist_hit
+  FROM seen s LEFT JOIN fresh f ON f.indicator = s.url LEFT JOIN known u ON u.indicator_type = 'url' AND u.indicator = s.url
+  LEFT JOIN known r ON r.indicator_type = 'domain' AND r.indicator = s.domain AND s.domain <> '' LEFT JOIN known h ON h.indicator_type = 'domain' AND h.indicator = s.host""")
+def j02_rematched(spark, d):
+    """The links matched again, with what they themselves have derived."""
+    found = _odd_links(spark, d)
+    return indicators.matched(found, indicators.with_derived(views.indicators(spark, d), found)).select("page_id", "match_type", "blacklist_hit")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2")

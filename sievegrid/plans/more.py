@@ -17,7 +17,11 @@ from sievegrid.sources import files
 
 def _scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors see; a local one only where none is named, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
@@ -103,14 +107,14 @@ def g04_sorted_output(spark, d):
     return table(spark, d, "documents").select("doc_id", "source").orderBy("source", "doc_id")
 
 
-@query(r"""WITH toks AS (SELECT page_id, unnest(regexp_extract_all(lower(url), '[\p{L}\p{N}_]{2,}')) AS w FROM pages), p AS (SELECT page_id, ' ' || w || ' ' AS w FROM toks),
-  grams AS (SELECT page_id, unnest(list_transform(range(1, greatest(length(w) - n + 1, 1) + 1), lambda i: substr(w, i, n))) AS term FROM p, unnest([3, 4, 5]) t(n)),
-  tf AS (SELECT page_id, term, count(*) AS c FROM grams GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
-  raw AS (SELECT page_id, (1 + ln(c)) * (ln((1 + (SELECT count(*) FROM pages)) / (1 + df)) + 1) AS x FROM tf JOIN df ON df.term = tf.term)
-  SELECT page_id, count(*) AS terms, round(sum(x) / sqrt(sum(x * x)), 6) AS total FROM raw GROUP BY 1""")
+@query(r"""WITH toks AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_\p{M}]{2,}')) AS w FROM documents), p AS (SELECT doc_id, ' ' || w || ' ' AS w, count(*) AS k FROM toks GROUP BY 1, 2),
+  grams AS (SELECT doc_id, k, unnest(list_transform(range(1, greatest(length(w) - n + 1, 1) + 1), lambda i: substr(w, i, n))) AS term FROM p, unnest([3, 4, 5]) t(n)),
+  tf AS (SELECT doc_id, term, sum(k) AS c FROM grams GROUP BY 1, 2), df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1 HAVING count(*) >= 2),
+  raw AS (SELECT doc_id, (1 + ln(c)) * (ln((1 + (SELECT count(*) FROM documents)) / (1 + df)) + 1) AS x FROM tf JOIN df ON df.term = tf.term)
+  SELECT doc_id, count(*) AS terms, round(sum(x) / sqrt(sum(x * x)), 6) AS total FROM raw GROUP BY 1""")
 def i02_tfidf_char(spark, d):
-    v = models.tfidf(table(spark, d, "pages").select("page_id", "url"), "page_id", "url", models.char_grams)
-    return v.groupBy("page_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"))
+    v = models.tfidf(table(spark, d, "documents").select("doc_id", "text"), "doc_id", "text", models.char_grams)
+    return v.groupBy("doc_id").agg(F.count("*").alias("terms"), F.round(F.sum("weight"), 6).alias("total"))
 
 
 @query(f"""WITH {SCORED}, r AS (SELECT id, row_number() OVER (PARTITION BY label ORDER BY sha256('|' || id::VARCHAR), id) % 5 AS fold FROM scored) SELECT id, fold::INTEGER AS fold FROM r""")

@@ -123,7 +123,14 @@ def b05_extract_urls(spark, d):
 @query("""WITH a AS (SELECT page_id, unnest(regexp_extract_all(html, '(?is)(<a\\s[^>]*?href\\s*=\\s*"[^"]*"[^>]*>.*?</a\\s*>)', 1)) AS a FROM pages)
   SELECT page_id, trim(regexp_extract(a, '(?is)href\\s*=\\s*"([^"]*)"', 1)) AS href, trim(regexp_replace(regexp_replace(a, '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) AS display_text, count(*) AS n FROM a GROUP BY 1, 2, 3""")
 def b06_html_links(spark, d):
-    return table(spark, d, "pages").select("page_id", F.explode(urls.html_links("html")).alias("a")).groupBy("page_id", "a.href", "a.display_text").agg(F.count("*").alias("n"))
+    return table(spark, d, "pages").select("page_id", F.explode(urls.anchors("html")).alias("a")).groupBy("page_id", "a.href", "a.display_text").agg(F.count("*").alias("n"))
+
+
+#: Pages with a link in their visible text, which every other page also shows as the text of an anchor.
+@query("""SELECT page_id, CASE WHEN page_id % 2 = 0 THEN url ELSE 'https://shown.example/' || page_id::VARCHAR END AS href, CASE WHEN page_id % 2 = 0 THEN '' ELSE 'https://shown.example/' || page_id::VARCHAR END AS display_text FROM pages""")
+def b06_visible_links(spark, d):
+    shown = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<p>See "), F.col("url"), F.lit(" .</p>"))).otherwise(F.format_string('<p><a href="https://shown.example/%s">https://shown.example/%s</a></p>', F.col("page_id").cast("string"), F.col("page_id").cast("string")))
+    return table(spark, d, "pages").select("page_id", F.inline(urls.html_links(shown)))
 
 
 @query("""SELECT page_id, trim(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace(html,
@@ -158,9 +165,19 @@ def b11_url_tokens(spark, d):
     return links(spark, d).select("page_id", F.array_join("suspicious_tokens", ",").alias("tokens"))
 
 
-@query(f"WITH {LINKS} SELECT page_id, false AS lookalike FROM linked")
+def _odd_host():
+    """Hosts of which some spell a brand with digits, some have digits only, and some carry the brand as the last label."""
+    k = F.col("page_id") % 4
+    return F.when(k == 0, F.concat(F.lit("g00gle-"), "host")).when(k == 1, F.concat(F.lit("www.paypa1."), "host")).when(k == 2, F.concat("host", F.lit(".amaz0n"))).otherwise(F.col("host"))
+
+
+ODD_HOST = "CASE page_id % 4 WHEN 0 THEN 'g00gle-' || host WHEN 1 THEN 'www.paypa1.' || host WHEN 2 THEN host || '.amaz0n' ELSE host END"
+
+
+@query(f"""WITH {LINKS}, h AS (SELECT page_id, string_split({ODD_HOST}, '.') AS labels FROM linked)
+  SELECT page_id, len(list_filter(labels[:-2], lambda x: translate(x, '01357', 'olest') <> x AND len(list_filter({_list(urls.BRANDS)}, lambda b: contains(translate(x, '01357', 'olest'), b))) > 0)) > 0 AS lookalike FROM h""")
 def b12_visual_confusion(spark, d):
-    return links(spark, d).select("page_id", urls.looks_alike(F.col("host")).alias("lookalike"))
+    return links(spark, d).select("page_id", urls.looks_alike(_odd_host()).alias("lookalike"))
 
 
 @query(f"WITH {LINKS} SELECT page_id, regexp_matches(lower(query), 'http%3a|https%3a|url=http|redirect=http|target=http') AS nested FROM linked")
@@ -240,8 +257,8 @@ def _hits_sql(patterns: list[str]) -> str:
     (terms > 0)::INTEGER::DOUBLE AS terms_present, (place > 0)::INTEGER::DOUBLE AS place_present, ((article > 0)::INTEGER + (link > 0)::INTEGER + (terms > 0)::INTEGER + (place > 0)::INTEGER)::DOUBLE AS intent_category_count,
     (article + link + terms + place)::DOUBLE AS intent_hit_count, (terms > 0 AND link + place > 0)::INTEGER::DOUBLE AS urgency_action_pair FROM h""")
 def b24_intent_features(spark, d):
-    f = intents.intent_features(F.lower("text"), ONTOLOGY, ["link", "place"], "terms")
-    return table(spark, d, "documents").select("doc_id", f.alias("f")).select("doc_id", "f.*")
+    rows = intents.with_intent_features(table(spark, d, "documents").select("doc_id", "text"), "text", ONTOLOGY, ["link", "place"], "terms")
+    return rows.select("doc_id", *intents.intent_names(ONTOLOGY))
 
 
 INTENT_WORDS = {"ask_the": ["the "], "ask_und": [" und "], "legal": ["license", "copyright"], "benign_notice": ["version", "gnu"]}
@@ -282,9 +299,10 @@ def b28_risk_and_label(spark, d):
     return scored(spark, d).groupBy(rules.risk_level(s).alias("risk"), rules.result_label(F.col("probability")).alias("label")).agg(F.count("*").alias("n"))
 
 
-@query("SELECT event_id, (props::JSON->>'k')::INTEGER AS k FROM events")
+@query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN -1 ELSE (props::JSON->>'k')::INTEGER END AS k FROM events")
 def b30_json_decode(spark, d):
-    return table(spark, d, "events").select("event_id", F.from_json("props", "k int")["k"].alias("k"))
+    broken = F.when(F.col("event_id") % 7 == 0, F.expr("substring(props, 1, length(props) - 1)")).otherwise(F.col("props"))
+    return table(spark, d, "events").select("event_id", F.coalesce(F.from_json(broken, "k int")["k"], F.lit(-1)).alias("k"))
 
 
 @query(f"""WITH {SCORED} SELECT d.doc_id, CASE WHEN length(d.text) < 500 THEN 'short' WHEN length(d.text) < 5000 THEN 'medium' ELSE 'long' END AS length_band,
@@ -343,8 +361,7 @@ codes AS (SELECT doc_id, list_filter([CASE WHEN sender <> '' AND reply <> '' AND
 RULE_SCORES = "CASE c " + " ".join(f"WHEN '{k}' THEN {v[0]}" for k, v in rules.CATALOGUE.items()) + " END"
 
 
-@query(f"""WITH {RULED}, each AS (SELECT doc_id, unnest(codes) AS c FROM codes), sums AS (SELECT doc_id, least(sum({RULE_SCORES}), 100.0)::DOUBLE AS s FROM each GROUP BY 1)
-  SELECT k.doc_id, array_to_string(k.codes, ',') AS codes, coalesce(s.s, 0.0) AS rule_score FROM codes k LEFT JOIN sums s ON s.doc_id = k.doc_id""")
+@query(f"""WITH {RULED} SELECT doc_id, array_to_string(codes, ',') AS codes, least(coalesce(list_sum(list_transform(codes, lambda c: {RULE_SCORES})), 0), 100.0)::DOUBLE AS rule_score FROM codes""")
 def c09_evaluate_rules(spark, d):
     out = rules.evaluated(_ruled(spark, d), urgent=URGENT_WORDS, sensitive=SENSITIVE_WORDS, brands=BRAND_WORDS)
     return out.select("doc_id", F.array_join(F.transform("hits", lambda h: h["code"]), ",").alias("codes"), "rule_score")
@@ -365,9 +382,11 @@ def c10_validate_labels(spark, d):
 @query("""SELECT CASE WHEN l.doc_id IS NULL THEN 'label' WHEN length(text) < 120 OR length(text) > 20000 THEN 'length' WHEN rn > 1 THEN 'duplicate' ELSE 'kept' END AS reason, count(*) AS n
   FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY sha256(text) ORDER BY doc_id) AS rn FROM documents) d LEFT JOIN labels l ON l.doc_id = d.doc_id GROUP BY 1""")
 def c11_length_filter(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"), F.row_number().over(Window.partitionBy(F.sha2("text", 256)).orderBy("doc_id")).alias("rn"))
-    rows = docs.join(table(spark, d, "labels").select("doc_id", F.lit(True).alias("l")), "doc_id", "left")
-    return quality.reason_counts(quality.reasons(rows, {"label": F.col("l").isNull(), "length": ~F.col("n").between(120, 20000), "duplicate": F.col("rn") > 1}))
+    docs = table(spark, d, "documents")
+    first = docs.groupBy(F.sha2("text", 256)).agg(F.min("doc_id").alias("doc_id")).select("doc_id", F.lit(True).alias("first"))
+    labels = table(spark, d, "labels").select("doc_id", F.lit(True).alias("l"))
+    rows = docs.select("doc_id", F.length("text").alias("n")).join(labels, "doc_id", "left").join(first, "doc_id", "left")
+    return quality.reason_counts(quality.reasons(rows, {"label": F.col("l").isNull(), "length": ~F.col("n").between(120, 20000), "duplicate": F.col("first").isNull()}))
 
 
 @query(f"""WITH {SCORED}, f AS (SELECT id, probability, rule_score, round_even((0.65 * probability + 0.35 * (least(rule_score, 100.0) / 100)) * 100, 1) + CASE WHEN id % 50 = 0 THEN 0.3 ELSE 0 END AS s, CASE WHEN id % 40 = 0 THEN 'low' END AS forced FROM scored),
@@ -390,6 +409,16 @@ def c15_errors(spark, d):
     return metrics.errors(scored(spark, d), 0.6).select("id", "error_type")
 
 
-@query(f"WITH {INDICATORS} SELECT indicator_id::VARCHAR AS row_key, 'domain_has_path' AS rule FROM indicators WHERE indicator_type = 'domain' AND regexp_matches(indicator, '[:/?#]')")
+@query(f"""WITH {INDICATORS}, odd AS (SELECT indicator_id, indicator_type, CASE WHEN indicator_id % 7 = 1 THEN '  ' WHEN indicator_id % 7 IN (2, 3) THEN indicator || '/x' ELSE indicator END AS indicator, CASE WHEN indicator_id % 11 = 0 THEN 1.5 WHEN indicator_id % 13 <> 0 THEN confidence END AS confidence FROM indicators)
+  SELECT indicator_id::VARCHAR AS row_key, unnest(list_filter([CASE WHEN trim(indicator) = '' THEN 'empty' END, CASE WHEN indicator_type = 'domain' AND regexp_matches(indicator, '[:/?#]') THEN 'domain_has_path' END,
+    CASE WHEN confidence IS NULL OR confidence > 1 THEN 'confidence_range' END], lambda x: x IS NOT NULL)) AS rule FROM odd""")
 def c16_indicator_checks(spark, d):
-    return indicators.violations(views.indicators(spark, d))
+    k = F.col("indicator_id")
+    rows = views.indicators(spark, d).withColumn("indicator", F.when(k % 7 == 1, "  ").when((k % 7).isin(2, 3), F.concat("indicator", F.lit("/x"))).otherwise(F.col("indicator")))
+    return indicators.violations(rows.withColumn("confidence", F.when(k % 11 == 0, 1.5).when(k % 13 != 0, F.col("confidence"))))
+
+
+@query(f"""WITH {INDICATORS} SELECT indicator_id, trim(CASE WHEN indicator_type = 'domain' THEN lower(' ' || upper(indicator)) ELSE '  ' || indicator || ' ' END) AS indicator FROM indicators""")
+def c16_normalize_indicator(spark, d):
+    rows = views.indicators(spark, d).withColumn("indicator", F.when(F.col("indicator_type") == "domain", F.concat(F.lit(" "), F.upper("indicator"))).otherwise(F.concat(F.lit("  "), "indicator", F.lit(" "))))
+    return rows.select("indicator_id", indicators.normalized(F.col("indicator"), F.col("indicator_type")).alias("indicator"))
