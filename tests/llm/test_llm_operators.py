@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import hmm, minhash_join, mixing, packing, quality_knn, sharding, simhash, token_files, toxicity, vafile
+from sievegrid.llm import hmm, labelled, minhash_join, mixing, packing, quality_knn, sharding, simhash, token_files, toxicity, vafile
 from sievegrid.llm.shared import new_path
 from sievegrid.llm.tokens import Encoder, tokenizer_path
 
@@ -313,16 +313,32 @@ def test_va_file_equals_brute_force(spark):
     rng = np.random.default_rng(7)
     x = np.round(rng.normal(size=(300, 6)) * 3, 2)
     x[50:120] = x[0]  # one very common vector
-    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (320, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [float("inf")] * 6), (380, [1.0, 2.0])]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(300, None), (320, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (340, [float("nan")] * 6), (360, [float("inf")] * 6), (380, [1.0, 2.0]), (400, []), (None, [1.0] * 6)]
+    rows += [(420, [1e6, 1.0]), (421, [2e6, 1.0]), (440, [1.0]), (441, [2e9, -2.0]), (442, [2e9, -2.5])]  # far out of the range of the others
+    rows += [(20, [0.5, -1.0, 2.0]), (20, [0.5, -1.0, 2.0]), (7, [4.0, 4.0])] + [(33, x[0].tolist())] * 30  # ids that repeat
     got = collections.defaultdict(list)
-    for r in vafile.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0, 5).collect():
-        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
-    vectors = {i: [math.floor(64 * c) for c in v] for i, v in rows if v and all(c is not None and math.isfinite(c) for c in v)}
-    for q in (i for i in vectors if i % 20 == 0):
-        scores = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=False)), i) for i, v in vectors.items() if i != q)[:5]
-        assert sorted(got[q]) == [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]
-    assert set(got) == {i for i in vectors if i % 20 == 0}
+    for r in vafile.search(spark.createDataFrame([(*r, "x", 1) for r in rows], "vec_id long, embedding array<double>, v string, query int"), F.col("vec_id") % 20 == 0, 5).collect():
+        got[r["query_id"], r["query"]].append((r["rank"], r["vec_id"], r["score"]))
+    vectors = sorted({(i, tuple(math.floor(64 * c) for c in v)) for i, v in rows if i is not None and v and all(c is not None and math.isfinite(c) for c in v)})
+    brute = []
+    for q, u in (p for p in vectors if p[0] % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(u, v, strict=False)), i) for i, v in vectors if i != q)[:5]
+        brute.append((q, [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]))
+    assert sorted((q, sorted(found)) for (q, _), found in got.items()) == sorted(brute)
     assert vafile.search(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 0
+    with pytest.raises(Exception, match="64-bit"):
+        vafile.search(spark.createDataFrame([(0, [1e300]), (1, [1.0])], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)
+
+
+def test_va_file_in_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "QUERY_BLOCK", 7)
+    rng = np.random.default_rng(9)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(90, 4)))]
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vafile.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 3 == 0, 2).collect()}
+    x = np.floor(64 * np.array([v for _, v in rows])).astype(np.int64)
+    for q in range(0, 90, 3):
+        scores = sorted((-int(x[q] @ x[i]), i) for i in range(90) if i != q)[:2]
+        assert [got[q, 1], got[q, 2]] == [(i, -s) for s, i in scores]
 
 
 def _labelled(spark):
@@ -352,14 +368,48 @@ def test_toxicity_on_held_out_rows(spark):
     assert by_id(toxicity.scored(docs, labels.filter("false")))[1]["predicted"] == 0
 
 
+def _sparse(x):
+    return toxicity.Sparse.of([(np.flatnonzero(r).tolist(), r[r != 0].tolist()) for r in x], x.shape[1])
+
+
 def test_swapped_terms_weigh_alike():
     x = np.array([[1, 1, 0], [1, 1, 0], [0, 0, 1], [0, 0, 1], [0, 0, 0]], dtype=float)
     y = np.array([1, 1, 0, 0, 0], dtype=float)
     d = np.array([[0, 1, -1]] * 4, dtype=float)
-    free, _ = toxicity.fit(x, y, np.zeros((0, 3)))
-    tied, _ = toxicity.fit(x, y, d, penalty=1000.0)
+    free, _ = toxicity.fit(_sparse(x), y, _sparse(np.zeros((0, 3))))
+    tied, _ = toxicity.fit(_sparse(x), y, _sparse(d), penalty=1000.0)
     assert free[1] - free[2] > 1 and abs(tied[1] - tied[2]) < 0.05
-    assert toxicity.swapped("He met a Muslim.", 0) != "He met a Muslim." and toxicity.swapped("nothing here", 0) is None
+
+
+def test_fit_is_the_minimum():
+    rng = np.random.default_rng(3)
+    x = (rng.random((60, 7)) < 0.3).astype(float)
+    y = (x[:, 0] + x[:, 1] + rng.random(60) > 1.2).astype(float)
+    d = rng.integers(-1, 2, (20, 7)).astype(float)
+    w, bias = toxicity.fit(_sparse(x), y, _sparse(d), ridge=0.01, penalty=0.5)
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def loss(v):
+        z = x @ v[:-1] + v[-1]
+        return (share * (np.logaddexp(0, z) - y * z)).sum() + 0.01 * (v[:-1] ** 2).sum() + 0.5 * ((d @ v[:-1]) ** 2).mean()
+
+    at = np.append(w, bias)
+    assert all(loss(at) <= loss(at + e) for e in np.vstack([np.eye(8), -np.eye(8)]) * 1e-3)
+
+
+def test_swaps_keep_to_the_language_and_reach_all_members():
+    copies = toxicity.swapped("The Muslim is a doctor and the man of the house.")
+    assert {w for c in copies for w in c.lower().split()} >= {"christian", "jewish", "hindu", "buddhist", "atheist", "woman", "person"}
+    assert not any("jude" in c or "christ " in c for c in copies) and len(copies) == 5
+    german = toxicity.swapped("Der Muslim ist ein Arzt und wohnt hier.")
+    assert german == ["Der jude ist ein Arzt und wohnt hier.", "Der christ ist ein Arzt und wohnt hier."]
+    assert toxicity.swapped("nothing here") == [] and toxicity.swapped("") == []
+
+
+def test_labelled_sample_counts_a_doc_id_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(40)] + [(2, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    assert [(r["doc_id"], r["label"]) for r in labelled.sample(docs, labels, "toxic", 5).orderBy("doc_id").collect()] == [(1, 1), (2, 0)]
 
 
 def test_quality_on_held_out_rows(spark):
