@@ -13,7 +13,7 @@ from sievegrid.functions import intents
 from sievegrid.functions.text import clipped
 from sievegrid.functions.urls import host_of, registrable_domain
 
-# Rule codes with score and severity, weights and bands.
+# Rule codes with score and severity, weights and bands; the wording of evidence below is fixed too.
 CATALOGUE = {
     "R01": (15.0, "warning"), "R02": (20.0, "critical"), "R03": (40.0, "critical"), "R04": (10.0, "warning"), "R05": (15.0, "warning"),
     "R06": (10.0, "warning"), "R07": (20.0, "critical"), "R08": (5.0, "info"), "R09": (10.0, "warning"), "R10": (10.0, "warning"),
@@ -74,6 +74,13 @@ def evaluated(messages: DataFrame, **lists) -> DataFrame:
     return out.withColumn("rule_score", F.least(F.aggregate("hits", F.lit(0.0), lambda a, h: a + h["score"]), F.lit(MOST_SCORE)))
 
 
+def analysed(messages: DataFrame, probability: Column, **lists) -> DataFrame:
+    """evaluated() with model_probability, final_score, risk_level, result_label and advice."""
+    out = evaluated(messages, **lists).withColumn("model_probability", probability)
+    out = out.withColumn("final_score", fused(F.col("model_probability"), F.col("rule_score"))).withColumn("risk_level", risk_level(F.col("final_score")))
+    return out.withColumns({"result_label": result_label(F.col("model_probability")), "advice": advice(F.col("risk_level"))})
+
+
 def fused(probability: Column, rule_score: Column) -> Column:
     """100 (0.65 p + 0.35 r / 100), both clamped, half-even to one decimal; null for values that aren't finite."""
     p, r = F.greatest(F.lit(0.0), F.least(F.lit(1.0), probability)), F.greatest(F.lit(0.0), F.least(F.lit(100.0), rule_score)) / 100

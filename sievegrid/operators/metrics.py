@@ -9,8 +9,6 @@ from sievegrid.operators.ranks import with_running_sums
 
 #: Distribution function of Poisson(1).
 POISSON = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
-#: Buckets of scores between 0 and 1; scores outside fall into the ends.
-_SCORE_BUCKETS = 1024
 
 
 def _share(a: Column, b: Column) -> Column:
@@ -66,14 +64,17 @@ def brier(df: DataFrame) -> DataFrame:
     return df.agg(F.avg(F.pow(F.col("probability") - (F.col("label") == "phishing").cast("double"), 2)).alias("brier_score"))
 
 
-def average_precision(df: DataFrame, by: list[str] | None = None, weight: Column | None = None, probability: str = "probability") -> DataFrame:
+def average_precision(df: DataFrame, by: list[str] | None = None, weight: Column | None = None, probability: str = "probability", buckets: int = 1024) -> DataFrame:
     """Step PR-AUC over tied scores, null without both labels; by: a row for each group.
 
-    Rows are first summed up by score. The running sums go through buckets of falling scores, so no task sees all scores.
+    Without groups, rows are first summed up by score. The running sums go through so many buckets of falling scores (those
+    outside 0 to 1 are in the ends), so no task sees all scores.
     """
     by, w = by or [], F.lit(1.0) if weight is None else weight
-    level = df.groupBy(*by, F.col(probability).alias("_score")).agg(F.sum(F.when(F.col("label") == "phishing", w).otherwise(0.0)).alias("p"), F.sum(w).alias("n"))
-    bucket = -F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))) * _SCORE_BUCKETS).cast("int")
+    p = F.when(F.col("label") == "phishing", w).otherwise(0.0)
+    level = df.select(*by, F.col(probability).alias("_score"), p.alias("p"), w.alias("n"))
+    level = level if by else level.groupBy("_score").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
+    bucket = -F.floor(F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_score"))) * buckets).cast("int") if buckets > 1 else F.lit(0)
     at = with_running_sums(level, by, [F.desc("_score")], bucket, {"tp": "p", "k": "n"}, {"all_p": "p", "all_n": "n"})
     value = F.sum(F.try_divide(F.col("p"), F.col("all_p")) * F.try_divide(F.col("tp"), F.col("k")))
     both = (F.max("all_p") > 0) & (F.max("all_p") < F.max("all_n"))
@@ -94,7 +95,8 @@ def paired_bootstrap(df: DataFrame, replicates: int = 500, candidate: str = "can
     drawn = df.select("label", candidate, baseline, F.explode(bootstrap_weights(row_id, replicates)).alias("d"))
     sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).cast("double").alias("score")) for k, c in (("a", candidate), ("b", baseline))))).alias("s")
     rows = drawn.select("label", "d.replicate", F.col("d.weight").cast("double").alias("weight"), sides).select("label", "replicate", "weight", "s.side", "s.score")
-    areas = average_precision(rows, ["replicate", "side"], F.col("weight"), "score")
+    buckets = max(1, min(1024, df.count() // 100_000))  # a replicate is a group of its own already
+    areas = average_precision(rows, ["replicate", "side"], F.col("weight"), "score", buckets)
     value = lambda k: F.max(F.when(F.col("side") == k, F.col("pr_auc")))
     d = areas.groupBy("replicate").agg((value("a") - value("b")).alias("d"))
     return d.agg(F.count("d").alias("iterations"), F.avg("d").alias("mean_difference"), F.percentile("d", F.lit(0.025)).alias("ci95_lower"), F.percentile("d", F.lit(0.975)).alias("ci95_upper"))
@@ -146,6 +148,25 @@ def best_thresholds(df: DataFrame, by: str, low: float = 0.20, high: float = 0.9
     return rows.groupBy(by).agg(F.max(ok).alias("b")).select(by, F.coalesce(F.col("b.threshold"), F.lit(0.5)).alias("threshold"), F.coalesce(F.col("b.best_f1"), F.lit(0.0)).alias("f1"))
 
 
+def calibration_acceptance(df: DataFrame, row_id: str, name: str, thresholds: DataFrame) -> DataFrame:
+    """One row: the share of rows all of whose labels are right at 0.5 and at the thresholds, and whether the thresholds are accepted, as that share does not fall.
+
+    df: row_id, name, actual, probability, a row for each label of a row. thresholds: name, threshold (a row for each label).
+    """
+    rows = df.join(F.broadcast(thresholds.select(name, "threshold")), name)  # a row for each label
+    right = lambda t: F.min(((F.col("probability") >= t) == F.col("actual")).cast("double"))
+    each = rows.groupBy(row_id).agg(right(F.lit(0.5)).alias("_default"), right(F.col("threshold")).alias("_calibrated"))
+    out = each.agg(F.avg("_default").alias("default_exact_match"), F.avg("_calibrated").alias("calibrated_exact_match"))
+    return out.withColumn("accepted", F.col("calibrated_exact_match") >= F.col("default_exact_match"))
+
+
+def ablation_deltas(df: DataFrame, pairs: dict[str, tuple[str, str]], dataset: str = "dataset", variant: str = "variant", value: str = "f1") -> DataFrame:
+    """For each dataset how much the value of one variant is above that of another: a column for each name → (variant, below)."""
+    names = sorted({v for pair in pairs.values() for v in pair})
+    wide = df.groupBy(dataset).pivot(variant, names).agg(F.first(value))
+    return wide.select(dataset, *((F.col(f"`{a}`") - F.col(f"`{b}`")).alias(name) for name, (a, b) in pairs.items()))
+
+
 def error_breakdown(df: DataFrame, keys: list[str], threshold: float = 0.5) -> DataFrame:
     """Errors by type and each key: dimension, value, error_type, n."""
     rows = errors(df, threshold)

@@ -48,6 +48,15 @@ def summary(df: DataFrame, split: str, *keys: str) -> DataFrame:
     return cells.select(split, dimension.alias("dimension"), value.alias("value"), "n")
 
 
+def unbalanced(df: DataFrame, partition: str, label: str) -> DataFrame:
+    """partition, least, most of partitions whose labels have different numbers of rows; a label that a partition lacks has none."""
+    labels = df.select(label).distinct()
+    found = df.groupBy(partition, label).agg(F.count("*").alias("n"))
+    counts = found.groupBy(partition).agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("k")).join(labels.agg(F.count("*").alias("labels")))
+    least = F.when(F.col("k") < F.col("labels"), 0).otherwise(F.col("least"))
+    return counts.select(partition, least.alias("least"), "most").filter("least <> most")
+
+
 def page(df: DataFrame, order: list[Column], number: int, size: int) -> DataFrame:
     """The rows of one page, numbered from 1."""
     if number < 1 or not 1 <= size <= 100:
@@ -66,6 +75,11 @@ def keyword_search(df: DataFrame, columns: list[str], keyword: str, arrays: tupl
     return df.filter(F.contains(whole, F.lit(keyword.lower())))
 
 
+def matching(df: DataFrame, column: str, keyword: str) -> DataFrame:
+    """Rows whose column holds the keyword, case aside; % and _ in it stand for any signs and for one."""
+    return df.filter(F.col(column).ilike(f"%{keyword}%"))
+
+
 def history(detections: DataFrame, key: str, children: dict[str, tuple[DataFrame, str]]) -> DataFrame:
     """Each detection with the number of its rows in each child table (name → table, foreign key), 0 without any."""
     out = detections

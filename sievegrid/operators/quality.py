@@ -24,10 +24,41 @@ def reason_counts(df: DataFrame) -> DataFrame:
     return df.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count("*").alias("n"))
 
 
-def profile(df: DataFrame, label: str) -> DataFrame:
-    """Histogram of the label with `<missing>`, beside the number of rows and of columns."""
-    rows = df.groupBy(F.coalesce(F.nullif(F.trim(F.col(label).cast("string")), F.lit("")), F.lit("<missing>")).alias("label")).agg(F.count("*").alias("n"))
-    return rows.withColumn("fields", F.lit(len(df.columns)))
+def profile(df: DataFrame, label: str, content: str) -> DataFrame:
+    """Histogram of the label with `<missing>`, beside the columns and a hash of the content that no order of rows changes."""
+    part = F.conv(F.substring(F.sha2(F.coalesce(content, F.lit("")), 256), 1, 8), 16, 10).cast("long")
+    rows = df.groupBy(F.coalesce(F.nullif(F.trim(F.col(label).cast("string")), F.lit("")), F.lit("<missing>")).alias("label")).agg(F.count("*").alias("n"), F.sum(part).alias("content_hash"))
+    return rows.withColumns({"fields": F.lit(len(df.columns)), "field_names": F.lit(",".join(df.columns))})
+
+
+def key_violations(df: DataFrame, key: str) -> DataFrame:
+    """row_key, rule: keys that are empty, and keys that stand on several rows, once each."""
+    counts = df.groupBy(F.trim(F.coalesce(F.col(key).cast("string"), F.lit(""))).alias("row_key")).agg(F.count("*").alias("n"))
+    return counts.select("row_key", F.when(F.col("row_key") == "", "empty_key").when(F.col("n") > 1, "duplicate_key").alias("rule")).filter("rule is not null")
+
+
+LABELS, SPLITS = ["legitimate", "phishing"], ["train", "valid", "test"]
+
+
+def training_violations(rows: DataFrame, hard: DataFrame, supplement: DataFrame) -> DataFrame:
+    """part, row_key, rule of what may not enter a training run; a missing column of rows is an error.
+
+    rows: id, source, label, subject, text_body, model_text, split, content_fingerprint; hard and supplement: id, label and, for
+    supplement, dataset_partition and content_fingerprint.
+    """
+    if missing := {"id", "source", "label", "subject", "text_body", "model_text", "split"} - set(rows.columns):
+        raise ValueError(f"missing columns: {sorted(missing)}")
+    base = violations(rows, "id", {"label": F.col("label").isin(LABELS), "split": F.col("split").isin(SPLITS), "model_text": F.trim("model_text") != ""})
+    pure = violations(hard, "id", {"hard_negative": F.col("label") == "spam_other"})
+    known = rows.filter("split = 'train' and content_fingerprint <> ''").select("content_fingerprint", F.lit(True).alias("_known")).distinct()
+    more = supplement.join(known, "content_fingerprint", "left")
+    checks = {"label": F.col("label").isin(LABELS), "partition": F.coalesce("dataset_partition", F.lit("train")) == "train", "overlap": F.col("_known").isNull()}
+    parts = {"rows": base, "hard": pure, "supplement": violations(more, "id", checks)}
+    out = None
+    for name, part in parts.items():
+        part = part.select(F.lit(name).alias("part"), "row_key", "rule")
+        out = part if out is None else out.union(part)
+    return out
 
 
 def result_rules() -> dict[str, Column]:

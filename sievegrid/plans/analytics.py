@@ -52,11 +52,11 @@ def d05_history_rows(spark, d):
     return overview.history(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", children)
 
 
-@query("""SELECT o_orderkey, count(*) AS lines, sum(l_quantity)::DOUBLE AS quantity, string_agg(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR, ',' ORDER BY l_linenumber) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
+@query("""SELECT o_orderkey, count(*) AS lines, sum(l_quantity)::DOUBLE AS quantity, string_agg(l_linenumber::VARCHAR || ':' || l_partkey::VARCHAR, ',' ORDER BY l_linenumber, l_partkey) AS parts FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1""")
 def d06_detail(spark, d):
     """Each order with its lines nested as JSON text, decoded again."""
     line = F.to_json(F.struct("l_linenumber", "l_partkey", "l_quantity"))
-    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", line.alias("j")))).alias("lines"))  # a few of each order
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey", line.alias("j")))).alias("lines"))  # a few of each order
     nested = table(spark, d, "orders").select("o_orderkey").join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
     read = nested.select("o_orderkey", F.transform("lines", lambda x: F.from_json(x["j"], "l_linenumber long, l_partkey long, l_quantity double")).alias("lines"))
     parts = F.array_join(F.transform("lines", lambda x: F.concat_ws(":", x["l_linenumber"].cast("string"), x["l_partkey"].cast("string"))), ",")
@@ -368,6 +368,46 @@ def f09_best_threshold(spark, d):
     return _rounded(metrics.best_thresholds(rows, "event_type", least_precision=0.5))
 
 
+def _intent_scores(spark, d):
+    """doc_id, intent, actual, probability: a score by hash that leans to the tagged labels."""
+    rows = _tagged(spark, d).select("doc_id", "intents", F.explode(F.array(*map(F.lit, INTENT_WORDS))).alias("intent")).withColumn("actual", F.array_contains("intents", F.col("intent")))
+    p = views._digest(F.concat(F.col("doc_id").cast("string"), "intent"))
+    return rows.select("doc_id", "intent", "actual", F.when(F.col("actual"), 0.2 + 0.8 * p).otherwise(0.7 * p).alias("probability"))
+
+
+ACCEPT_SQL = f"""{WEAK_SQL}, x AS (SELECT doc_id, n AS intent, list_contains(intents, n) AS actual, ('0x' || substr(md5(doc_id::VARCHAR || n), 1, 4))::INTEGER::DOUBLE / 65535 AS q FROM tagged, unnest({list(INTENT_WORDS)}) t(n)),
+  s AS (SELECT doc_id, intent, actual, CASE WHEN actual THEN 0.2 + 0.8 * q ELSE 0.7 * q END AS p FROM x), g AS (SELECT round(0.2 + k * 0.05, 2) AS t FROM range(15) r(k)),
+  c AS (SELECT intent, t, sum((actual AND p >= t)::INTEGER) AS tp, sum((NOT actual AND p >= t)::INTEGER) AS fp, sum((actual AND p < t)::INTEGER) AS fn FROM s, g GROUP BY 1, 2),
+  f AS (SELECT intent, t, round(2 * tp / nullif(2 * tp + fp + fn, 0), 12) AS f1 FROM c WHERE tp / nullif(tp + fp, 0) >= 0.8), m AS (SELECT intent, max(f1) AS f1 FROM f GROUP BY 1),
+  b AS (SELECT n AS intent, coalesce((SELECT max(t) FROM f JOIN m ON m.intent = f.intent AND m.f1 = f.f1 WHERE f.intent = n), 0.5) AS t FROM unnest({list(INTENT_WORDS)}) u(n)),
+  e AS (SELECT doc_id, min(((p >= 0.5) = actual)::INTEGER) AS d, min(((p >= t) = actual)::INTEGER) AS c FROM s JOIN b ON b.intent = s.intent GROUP BY 1)"""
+
+
+@query(f"WITH {ACCEPT_SQL} SELECT round(avg(d), 9) AS default_exact_match, round(avg(c), 9) AS calibrated_exact_match, avg(c) >= avg(d) AS accepted FROM e")
+def f09_calibration_acceptance(spark, d):
+    rows = _intent_scores(spark, d)
+    best = metrics.best_thresholds(rows.withColumn("label", F.when(F.col("actual"), "phishing").otherwise("legitimate")), "intent")
+    return _rounded(metrics.calibration_acceptance(rows, "doc_id", "intent", best))
+
+
+VARIANTS = ["word", "word_char", "word_char_structure", "word_char_intent", "full_multiview"]
+GAINS = {"structure_over_word_char": ("word_char_structure", "word_char"), "intent_over_word_char": ("word_char_intent", "word_char"), "full_over_word_char": ("full_multiview", "word_char")}
+
+
+@query(f"""WITH {SCORED}, v AS (SELECT source, variant, label = 'phishing' AS y, ('0x' || substr(md5(id::VARCHAR || variant), 1, 4))::INTEGER::DOUBLE / 65535 >= 0.5 AS u FROM scored, unnest({VARIANTS}) t(variant)),
+  f AS (SELECT source, variant, 2 * sum((y AND u)::INTEGER) / (2 * sum((y AND u)::INTEGER) + sum((y <> u)::INTEGER)) AS f1 FROM v GROUP BY 1, 2)
+  SELECT source, {', '.join(f"round(max(f1) FILTER (variant = '{a}') - max(f1) FILTER (variant = '{b}'), 9) AS {n}" for n, (a, b) in GAINS.items())} FROM f GROUP BY 1""")
+def e19_ablation_deltas(spark, d):
+    rows = scored(spark, d).select("id", "source", "label", F.explode(F.array(*map(F.lit, VARIANTS))).alias("variant"))
+    rows = rows.withColumn("probability", views._digest(F.concat(F.col("id").cast("string"), "variant")))
+    return _rounded(metrics.ablation_deltas(metrics.classification(rows, by=["source", "variant"]), GAINS, dataset="source"))
+
+
+@query(f"WITH {CLEANED} SELECT arg_min(id, (len(parse_warnings) * 1e12 - original_chars) * 1e7 + id) AS id, source_hash FROM cleaned GROUP BY source_hash")
+def f01_representative(spark, d):
+    return corpus.representative(cleaned(spark, d).select("id", "source_hash", "parse_warnings", "original_chars"), "source_hash").select("id", "source_hash")
+
+
 # G and H: pages and sets
 
 
@@ -377,9 +417,9 @@ def g01_page(spark, d):
     return overview.page(rows, [F.desc("o_orderdate"), F.desc("o_orderkey")], 3, 20)
 
 
-@query("SELECT page_id, url FROM pages WHERE contains(lower(url), '/fr/') ORDER BY page_id DESC LIMIT 10 OFFSET 10")
+@query("SELECT page_id, url FROM pages WHERE url ILIKE '%/F_/%5%' ORDER BY page_id DESC LIMIT 10 OFFSET 10")
 def g02_page_indicators(spark, d):
-    return overview.page(overview.keyword_search(table(spark, d, "pages").select("page_id", "url"), ["url"], "/FR/"), [F.desc("page_id")], 2, 10)
+    return overview.page(overview.matching(table(spark, d, "pages").select("page_id", "url"), "url", "/F_/%5"), [F.desc("page_id")], 2, 10)
 
 
 @query("SELECT count(*) AS total, ceil(count(*) / 20)::BIGINT AS pages FROM orders WHERE o_orderpriority = '2-HIGH'")
@@ -467,10 +507,11 @@ ODD_LINKS = f"""{INDICATORS}, odd AS (SELECT *, page_id % 6 AS k FROM linked),
 
 
 def _odd_links(spark, d):
-    k, host = F.col("page_id") % 6, F.col("host")
+    part = lambda pattern: F.regexp_extract("url", pattern, 1)
+    k, host, path, query = F.col("page_id") % 6, F.lower(part(r"^[a-z]+://([^/?#:]*)")), part(r"^[a-z]+://[^/?#]*([^?#]*)"), part(r"\?([^#]*)")
     host = F.when(k == 0, F.concat(F.lit("192.0.2."), (F.col("page_id") % 250).cast("string"))).when(k == 3, F.concat(F.lit("a.b.c."), host)).when(k == 4, F.concat(F.lit("a.b.g00gle."), host)).otherwise(host)
-    query = F.when(k == 2, F.lit("?q=%20")).when(F.col("query") != "", F.concat(F.lit("?"), "query")).otherwise("")
-    raw = links(spark, d).select("page_id", F.concat(F.lit("https://"), F.when(k == 1, "user:pw@").otherwise(""), host, "path", query).alias("raw"))
+    query = F.when(k == 2, F.lit("?q=%20")).when(query != "", F.concat(F.lit("?"), query)).otherwise("")
+    raw = table(spark, d, "pages").select("page_id", F.concat(F.lit("https://"), F.when(k == 1, "user:pw@").otherwise(""), host, path, query).alias("raw"))
     return urls.with_parsed(raw, "raw").drop("raw")
 
 

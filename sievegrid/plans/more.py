@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -15,35 +12,25 @@ from sievegrid.plans.views import MESSAGES, SCORED, messages, scored, table
 from sievegrid.sources import files
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors see; a local one only where none is named, as in tests."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
-        at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
-
-
 @query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def a02_read_jsonl(spark, d):
     docs = table(spark, d, "documents")
-    path = _scratch(spark, "jsonl")
+    path = files.scratch(spark, "jsonl")
     files.write_jsonl(docs, path)
     return files.read_jsonl(spark, path, docs.schema)
 
 
-@query("""SELECT 'labels-' || lpad(doc_id::VARCHAR, 6, '0') AS id, CASE quality WHEN 1 THEN 'legitimate' END AS label, toxic::VARCHAR AS toxic FROM labels WHERE quality = 1""")
+@query("""SELECT 'labels-' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, doc_id::VARCHAR AS doc_id, CASE quality WHEN 1 THEN 'legitimate' END AS label, toxic::VARCHAR AS toxic FROM labels QUALIFY quality = 1""")
 def a03_read_labelled_csv(spark, d):
-    path = _scratch(spark, "csv")
-    table(spark, d, "labels").write.csv(path, header=True)
-    rows = files.read_labelled_csv(spark, path, "doc_id string, quality string, toxic string", "labels", "quality", {"1": "legitimate"}, F.col("doc_id").cast("long"))
-    return rows.select("id", "label", "toxic")
+    path = files.scratch(spark, "csv")
+    table(spark, d, "labels").orderBy("doc_id").coalesce(1).write.csv(path, header=True)  # one file, as ids count the rows of a file
+    rows = files.read_labelled_csv(spark, path, "doc_id string, quality string, toxic string", "labels", "quality", {"1": "legitimate"})
+    return rows.select("id", "doc_id", "label", "toxic")
 
 
 @query(f"WITH {MESSAGES} SELECT doc_id, source, label, source_hash, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM messages")
 def a04_write_split(spark, d):
-    path = _scratch(spark, "split")
+    path = files.scratch(spark, "split")
     rows = messages(spark, d).select("doc_id", "source", "label", "source_hash", F.when(F.col("doc_id") % 3 == 0, "test").otherwise("train").alias("split"))
     files.write_split(rows, path)
     return spark.read.parquet(path).select("doc_id", "source", "label", "source_hash", "split")
@@ -122,3 +109,20 @@ def i05_fold_ids(spark, d):
     return corpus.folds(scored(spark, d).select("id", "label"), "label", "id", 5).select("id", "fold")
 
 
+@query("""WITH k AS (SELECT lang, toxic FROM documents d JOIN labels l ON l.doc_id = d.doc_id), c AS (SELECT lang, toxic, count(*) AS n FROM k GROUP BY 1, 2), a AS (SELECT l.lang, t.toxic, coalesce(c.n, 0) AS n FROM (SELECT DISTINCT lang FROM k) l, (SELECT DISTINCT toxic FROM k) t LEFT JOIN c ON c.lang = l.lang AND c.toxic = t.toxic)
+  SELECT lang, min(n) AS least, max(n) AS most FROM a GROUP BY 1 HAVING min(n) <> max(n)""")
+def e25_balance(spark, d):
+    from sievegrid.operators.overview import unbalanced
+
+    rows = table(spark, d, "documents").select("doc_id", "lang").join(table(spark, d, "labels").select("doc_id", "toxic"), "doc_id")
+    return unbalanced(rows, "lang", "toxic")
+
+
+@query(f"""WITH {SCORED} SELECT source AS experiment_id, count(*) AS n, round(avg(probability), 9) AS mean_probability, 1 AS run FROM scored GROUP BY 1""")
+def a12_append_experiment(spark, d):
+    """A log to which the same experiments are appended twice."""
+    path = files.scratch(spark, "experiments")
+    rows = scored(spark, d).groupBy(F.col("source").alias("experiment_id")).agg(F.count("*").alias("n"), F.round(F.avg("probability"), 9).alias("mean_probability"))
+    for run in (1, 2):
+        files.append_once(rows.withColumn("run", F.lit(run)), path, "experiment_id")
+    return files.read_once(spark, path, "experiment_id", "run")

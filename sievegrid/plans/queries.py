@@ -41,17 +41,20 @@ URGENT_WORDS, SENSITIVE_WORDS, BRAND_WORDS = ["licensed", "apache", "gnu"], ["ve
 # A: sources and sinks in table form
 
 
-@query("""SELECT coalesce(nullif(trim(quality::VARCHAR), ''), '<missing>') AS label, count(*) AS n, 6 AS fields
+@query("""SELECT coalesce(nullif(trim(quality::VARCHAR), ''), '<missing>') AS label, count(*) AS n, sum(('0x' || substr(sha256(text), 1, 8))::BIGINT)::BIGINT AS content_hash, 6 AS fields, 'doc_id,text,lang,source,n_chars,quality' AS field_names
   FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY 1""")
 def a08_profile(spark, d):
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    return quality.profile(table(spark, d, "documents").join(labels, "doc_id", "left"), "quality")
+    return quality.profile(table(spark, d, "documents").join(labels, "doc_id", "left"), "quality", "text")
 
 
-@query("""SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, count(*) AS messages, sum(strlen(html))::BIGINT AS size_bytes FROM pages GROUP BY 1""")
+@query("""SELECT regexp_extract(url, '^[a-z]+://([^/?#:]*)', 1) AS host, CASE WHEN contains(url, '?') THEN 'query' ELSE 'page' END AS container, CASE WHEN html = '' THEN 'empty' WHEN contains(html, '</html>') THEN 'complete' ELSE 'cut' END AS status,
+  count(*) AS messages, sum(strlen(html))::BIGINT AS size_bytes FROM pages GROUP BY ALL""")
 def a07_inventory(spark, d):
-    rows = table(spark, d, "pages").select(F.regexp_extract("url", "^[a-z]+://([^/?#:]*)", 1).alias("host"), F.octet_length("html").cast("long").alias("b"))
-    return rows.groupBy("host").agg(F.count("*").alias("messages"), F.sum("b").alias("size_bytes"))
+    html, url = F.col("html"), F.col("url")
+    status = F.when(html == "", "empty").when(html.contains("</html>"), "complete").otherwise("cut")
+    rows = table(spark, d, "pages").select(F.regexp_extract(url, "^[a-z]+://([^/?#:]*)", 1).alias("host"), F.when(url.contains("?"), "query").otherwise("page").alias("container"), status.alias("status"), F.octet_length(html).cast("long").alias("b"))
+    return rows.groupBy("host", "container", "status").agg(F.count("*").alias("messages"), F.sum("b").alias("size_bytes"))
 
 
 @query("""SELECT doc_id, CASE WHEN contains(source, 'src1') THEN 'first' WHEN contains(source, '2') THEN 'second' ELSE 'unknown' END AS origin,
@@ -68,6 +71,20 @@ def a10_validate_catalog(spark, d):
     return quality.violations(table(spark, d, "pages"), "page_id", {"https": u.startswith("https://"), "has_query": u.contains("?"), "language": u.rlike("/(fr|de|en|es)/")})
 
 
+@query("""SELECT k AS row_key, CASE WHEN k = '' THEN 'empty_key' ELSE 'duplicate_key' END AS rule FROM (SELECT CASE WHEN page_id % 10 = 0 THEN ' ' WHEN page_id % 10 = 1 THEN (page_id + 1)::VARCHAR ELSE page_id::VARCHAR END AS x FROM pages), LATERAL (SELECT trim(x) AS k) GROUP BY 1 HAVING k = '' OR count(*) > 1""")
+def a10_validate_keys(spark, d):
+    k = F.col("page_id")
+    key = F.when(k % 10 == 0, " ").when(k % 10 == 1, (k + 1).cast("string")).otherwise(k.cast("string"))
+    return quality.key_violations(table(spark, d, "pages").select(key.alias("key")), "key")
+
+
+@query("""SELECT conv_id::VARCHAR || '/' || turn::VARCHAR AS row_key, unnest(list_filter([CASE WHEN role NOT IN ('user', 'assistant') THEN 'role_enum' END, CASE WHEN turn > 0 AND role = 'user' AND length(text) < 40 THEN 'text_when_user' END], lambda x: x IS NOT NULL)) AS rule FROM conversations""")
+def a10_validate_enums(spark, d):
+    rows = table(spark, d, "conversations").withColumn("key", F.concat(F.col("conv_id").cast("string"), F.lit("/"), F.col("turn").cast("string")))
+    wanted = (F.col("turn") > 0) & (F.col("role") == "user")
+    return quality.violations(rows, "key", {"role_enum": F.col("role").isin("user", "assistant"), "text_when_user": ~wanted | (F.length("text") >= 40)})
+
+
 @query(f"""WITH {MESSAGES}, s AS (SELECT doc_id, source_hash, ('0x' || substr(sha256(source || '|' || doc_id::VARCHAR), 1, 8))::BIGINT % 10 AS k FROM messages),
   e AS (SELECT * FROM s WHERE k >= 8 OR doc_id % 97 = 0)
   SELECT CASE WHEN d.doc_id IS NULL THEN 'missing' WHEN sha256(d.text) = e.source_hash THEN 'exported' ELSE 'mismatch' END AS status, count(*) AS n
@@ -332,19 +349,19 @@ def b35_hash_bucket_split(spark, d):
 # C: rules
 
 
-def _ruled(spark, d) -> DataFrame:
+def _ruled(spark, d, docs: DataFrame | None = None) -> DataFrame:
     """Messages with a sender, a link of a page, an attachment and header warnings, all derived from the tables."""
     pages = table(spark, d, "pages").count()
     page = links(spark, d).withColumn("blacklist_hit", F.col("page_id") % 9 == 0).withColumn("shown", rules.display_domain(F.concat(F.col("host"), F.lit("/x"))))
     shown = page.select((F.col("page_id") + 1).alias("page_id"), F.col("host").alias("display_text"), F.col("shown").alias("display_domain"))
     link = page.drop("display_text", "shown").join(shown, "page_id", "left").withColumns({c: F.coalesce(c, F.lit("")) for c in ("display_text", "display_domain")})
-    m = messages(spark, d).withColumn("_p", F.col("doc_id") % pages).join(link.withColumnRenamed("page_id", "_p"), "_p")
+    m = messages(spark, d, docs).withColumn("_p", F.col("doc_id") % pages).join(link.withColumnRenamed("page_id", "_p"), "_p")
     k = F.col("doc_id")
     sender = message.mailbox(F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("a@"), F.col("lang"), F.lit("mail.example"))))
     names = F.element_at(F.array(*map(F.lit, ENDINGS)), (k % 5 + 1).cast("int"))
-    columns = ["raw_url", "normalized_url", "display_text", "display_domain", "host", "registrable_domain", "suspicious_tokens", "blacklist_hit"]
+    columns = ["raw_url", "normalized_url", "display_text", "display_domain", "scheme", "host", "registrable_domain", "port", "path", "query", "is_https", "uses_ip", "is_shortener", "suspicious_tokens", "blacklist_hit"]
     return m.select(
-        "doc_id", "subject", "text_body", sender.alias("sender"), message.mailbox(F.when(k % 3 == 0, F.concat(F.lit("b@"), F.col("source"), F.lit(".example"))).otherwise("")).alias("reply_to"),
+        "doc_id", F.col("source_hash").alias("file_hash"), "subject", "text_body", sender.alias("sender"), message.mailbox(F.when(k % 3 == 0, F.concat(F.lit("b@"), F.col("source"), F.lit(".example"))).otherwise("")).alias("reply_to"),
         F.array(F.struct(*columns)).alias("urls"), F.array(F.struct(F.concat(F.lit("file."), names).alias("filename"), message.attachment_hints(F.concat(F.lit("file."), names), F.lit("")).alias("risk_hints"))).alias("attachments"),
         F.array_compact(F.array(F.when(k % 11 == 0, "missing_from"), F.when(k % 7 == 0, "parse_error"))).alias("parse_warnings"),
     )

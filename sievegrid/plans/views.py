@@ -12,12 +12,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as messages: the first line is the subject; toxic ones are phishing, poor ones other spam."""
+def messages(spark: SparkSession, sf_dir: str, docs: DataFrame | None = None) -> DataFrame:
+    """Documents (those of the table, or others) as messages: the first line is the subject; toxic ones are phishing, poor ones other spam."""
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.lit(True).alias("_l"))
     label = F.when(F.col("toxic") == 1, "phishing").when(F.col("quality") == 0, "spam_other").when(F.col("_l"), "legitimate")
     subject = F.substring(F.substring_index("text", "\n", 1), 1, 240)
-    rows = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    rows = (table(spark, sf_dir, "documents") if docs is None else docs).join(labels, "doc_id", "left")
     return rows.select("doc_id", "source", "lang", subject.alias("subject"), F.col("text").alias("text_body"), F.sha2("text", 256).alias("source_hash"), label.alias("label"))
 
 

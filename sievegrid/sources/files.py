@@ -2,26 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors see; a local one only on a local master where none is named, as in tests."""
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
+        at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+CORRUPT = "_corrupt"
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """One record a line, by an explicit schema; blank lines don't count, fields of broken lines are null."""
-    return spark.read.schema(schema).option("mode", "PERMISSIVE").json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: StructType, corrupt: bool = False) -> DataFrame:
+    """One record a line, by an explicit schema; blank lines don't count, fields of broken lines are null. corrupt: column _corrupt has the broken lines."""
+    if corrupt:
+        schema = StructType([*schema.fields, StructField(CORRUPT, StringType())])
+    rows = spark.read.schema(schema).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT).json(path)
+    return rows.filter(F.col(CORRUPT).isNull() | (F.trim(CORRUPT) != "")) if corrupt else rows
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
-def read_labelled_csv(spark: SparkSession, path: str, schema: str, source: str, label: str, mapping: dict[str, str], number: Column) -> DataFrame:
-    """Quoted CSV with a header; labels are mapped and rows of other labels dropped; id is the source and the row's padded number."""
+def read_labelled_csv(spark: SparkSession, path: str, schema: str, source: str, label: str, mapping: dict[str, str]) -> DataFrame:
+    """Quoted CSV with a header, with or without a byte order mark; labels are mapped and rows of other labels dropped; id is the source and the padded index of the row in its file."""
     rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
+    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))  # a file of records over several lines is read by one task, in order
+    first = rows.groupBy("_file").agg(F.min("_at").alias("_first"))
     to = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
-    rows = rows.withColumn("label", F.try_element_at(to, F.trim(label))).filter("label is not null")
-    return rows.withColumns({"source": F.lit(source), "id": F.format_string("%s-%06d", F.lit(source), number)})
+    rows = rows.join(first, "_file").withColumn("label", F.try_element_at(to, F.trim(label))).filter("label is not null")
+    return rows.withColumns({"source": F.lit(source), "id": F.format_string("%s-%06d", F.lit(source), F.col("_at") - F.col("_first"))}).drop("_file", "_at", "_first")
+
+
+def append_once(df: DataFrame, path: str, key: str) -> None:
+    """Appends the rows to a log; of rows with a key that is in it already, or of several new ones, readers take one (read_once)."""
+    df.write.mode("append").parquet(path)
+
+
+def read_once(spark: SparkSession, path: str, key: str, order: str) -> DataFrame:
+    """The rows of a log, of each key the first by `order`."""
+    rows = spark.read.parquet(path)
+    return rows.groupBy(key).agg(F.min_by(F.struct(*rows.columns), order).alias("_row")).select("_row.*")
 
 
 def write_split(df: DataFrame, path: str, split: str = "split") -> None:

@@ -1,12 +1,14 @@
 """Golden rows and invariants for corpus, metric, indicator and stream operators."""
 
 import hashlib
+import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
-from sievegrid.operators import corpus, indicators, metrics, models, overview, quality
+from sievegrid.operators import corpus, indicators, metrics, models, overview, quality, ranks
 from sievegrid.streaming import jobs
 
 
@@ -48,6 +50,55 @@ def test_metrics(spark):
     assert metrics.calibration_error(df.filter("false")).first()[0] == 0.0
 
 
+def test_numbers_within_groups_equal_plain_ones(spark):
+    rng = random.Random(1)
+    rows = [(i, rng.choice(["a", "a", "a", "b", None]), rng.choice([None, 0, 1, 5, 7, 10**12, rng.randint(-50, 50)])) for i in range(400)]
+    df = spark.createDataFrame(rows, "id long, g string, v long").repartition(5)
+    got = {r["id"]: (r["place"], r["total"]) for r in ranks.numbered(df, ["g"], ranks.hash_order("id"), ranks.hash_bucket("id"), total="total").collect()}
+    key = lambda r: (hashlib.sha256(f"|{r[0]}".encode()).hexdigest(), r[0])
+    for g in ("a", "b", None):
+        mine = sorted((r for r in rows if r[1] == g), key=key)
+        assert [got[r[0]] for r in mine] == [(k + 1, len(mine)) for k in range(len(mine))]
+    some = df.filter("v is not null")
+    by_value = ranks.numbered(ranks.with_value_bucket(some, "v", "b"), ["g"], [F.col("v"), F.col("id")], F.col("b")).collect()
+    for g in ("a", "b", None):
+        mine = sorted((r["v"], r["id"], r["place"]) for r in by_value if r["g"] == g)
+        assert [p for *_, p in mine] == list(range(1, len(mine) + 1))
+    x = [float(r[2]) for r in rows if r[2] is not None]
+    r = ranks.percentiles(df, "v", {"low": 0.0, "mid": 0.5, "most": 0.95, "high": 1.0}).first()
+    assert tuple(r) == pytest.approx(tuple(np.percentile(x, [0, 50, 95, 100])))
+    assert tuple(ranks.percentiles(df.filter("false"), "v", {"mid": 0.5}).first()) == (None,)
+
+
+def test_near_duplicate_pairs_equal_brute_force(spark):
+    rng = random.Random(2)
+    base = [rng.getrandbits(64) for _ in range(15)]
+    rows = []
+    for k in range(200):
+        h = base[k % 15]
+        for _ in range(rng.randint(0, 4)):
+            h ^= 1 << rng.randrange(64)
+        rows.append((f"k{k:03d}", f"{h:016x}"))
+    classes = corpus.simhash_classes(spark.createDataFrame(rows, "key string, h string"), "key", "h")
+    near = lambda a, b: (int(a, 16) ^ int(b, 16)).bit_count() <= 3
+    least = {}
+    for k, h in rows:
+        least.setdefault(h, k)
+    members = {least[h]: sum(x == h for _, x in rows) for h in least}
+    brute = sorted((least[a], least[b], members[least[a]], members[least[b]]) for a in least for b in least if least[a] < least[b] and near(a, b))
+    assert sorted(tuple(r) for r in corpus.near_duplicate_pairs(classes).collect()) == brute
+    pairs = [(a, b) for i, (a, x) in enumerate(rows) for b, y in rows[i + 1 :] if near(x, y)]
+    assert tuple(corpus.near_duplicate_counts(classes).first()) == (len(pairs), len({k for p in pairs for k in p}))
+
+
+def test_short_labels_and_mixed_groups_are_errors(spark):
+    df = spark.createDataFrame([(1, "a", "g"), (2, "b", "g"), (3, "b", "h")], "id long, label string, g string")
+    with pytest.raises(ValueError):
+        corpus.balanced_cap(df, "label", "id", 4, least=2)
+    with pytest.raises(ValueError):
+        corpus.group_split(df, "g", "label", strict=True)
+
+
 def test_identical_scores_have_no_bootstrap_difference(spark):
     df = spark.range(60).select("id", F.when(F.col("id") % 3 == 0, "phishing").otherwise("legitimate").alias("label"), (F.col("id") / 60).alias("candidate"), (F.col("id") / 60).alias("baseline"))
     r = metrics.paired_bootstrap(df, 20).first()
@@ -75,9 +126,10 @@ def test_host_indicator_matches(spark):
 
 
 def test_derived_indicators(spark):
-    df = spark.createDataFrame([("http://x.example/", ["ip_host", "punycode", "login"]), ("http://y.example/", ["login"])], "normalized_url string, suspicious_tokens array<string>")
+    df = spark.createDataFrame([("http://x.example/", ["ip_host", "encoded_chars", "login"]), ("http://y.example/", ["login", "shortener"])], "normalized_url string, suspicious_tokens array<string>")
     assert [(r["indicator"], r["confidence"]) for r in indicators.derived(df).collect()] == [("http://x.example/", 0.82)]
-    assert indicators.derived(df, spark.createDataFrame([("http://x.example/",)], "indicator string")).count() == 0
+    known = spark.createDataFrame([("http://x.example/", "url")], "indicator string, indicator_type string")
+    assert indicators.derived(df, known).count() == 0 and indicators.derived(df, known.withColumn("indicator_type", F.lit("domain"))).count() == 1
 
 
 def test_bad_indicators(spark):
@@ -116,14 +168,26 @@ def test_non_negative_fusion(spark):
     assert model.coefficients[0] > 0 and model.coefficients[1] >= 0
 
 
-def test_stream_scores_like_the_batch(spark, tmp_path):
-    source, target = str(tmp_path / "in"), str(tmp_path / "out")
-    spark.range(50).select("id", F.sha2(F.col("id").cast("string"), 256).alias("text")).write.parquet(source)
-    score = lambda df: df.withColumn("score", F.length("text") + F.col("id"))
-    stream = spark.readStream.schema("id long, text string").parquet(source)
-    jobs.score_stream(stream, score, target, str(tmp_path / "check")).awaitTermination(60)
-    got = spark.read.parquet(target).select("id", "score").orderBy("id").collect()
-    assert got == score(spark.read.parquet(source)).select("id", "score").orderBy("id").collect()
+def test_indicator_stream_finds_what_earlier_batches_added(spark, tmp_path):
+    source, target = tmp_path / "in", str(tmp_path / "out")
+    rows = [("http://x.example/", ["ip_host"]), ("http://y.example/", ["login"])]
+    schema = "normalized_url string, suspicious_tokens array<string>"
+    spark.createDataFrame([("http://old.example/", "url", 0.5)], "indicator string, indicator_type string, confidence double").write.parquet(f"{target}/batch_id=-1")
+    for more in ([], [("http://x.example/", ["ip_host", "userinfo"]), ("http://old.example/", ["ip_host"]), ("http://z.example/", ["userinfo"])]):
+        spark.createDataFrame([*rows, *more], schema).write.mode("append").parquet(str(source))
+        stream = spark.readStream.schema(schema).parquet(str(source))
+        jobs.indicator_stream(stream, target, str(tmp_path / "check")).awaitTermination(60)
+    got = sorted((r["indicator"], r["confidence"]) for r in spark.read.parquet(target).collect())
+    assert got == [("http://old.example/", 0.5), ("http://x.example/", 0.77), ("http://z.example/", 0.77)]
+
+
+def test_daily_counts_of_a_stream_equal_the_batch(spark, tmp_path):
+    events = spark.range(200).select((F.col("id") * 3600).cast("timestamp").alias("ts"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("event_type"))
+    events.write.parquet(str(tmp_path / "in"))
+    stream = jobs.daily_counts(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")))
+    query = stream.writeStream.outputMode("complete").format("memory").queryName("daily").option("checkpointLocation", str(tmp_path / "check")).trigger(availableNow=True).start()
+    query.awaitTermination(60)
+    assert sorted(spark.table("daily").collect()) == sorted(jobs.daily_counts(events).collect())
 
 
 def test_empty_tables(spark):
