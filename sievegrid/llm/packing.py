@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.shared import documents, running_totals, written
 from sievegrid.llm.textbytes import slices, tidy
-from sievegrid.llm.tokens import END_ID, Encoder, tokenizer_path, with_end
+from sievegrid.llm.tokens import ENCODE_BYTES, END_ID, Encoder, tokenizer_path, with_end
 
 CAPACITY = 1024
 
@@ -91,7 +91,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         encoder = Encoder.of(tokenizer)
         for batch in batches:
             texts, keys = batch.column(1), batch.column(0)
-            for a, b in slices(texts):
+            for a, b in slices(texts, ENCODE_BYTES):
                 flat, off = with_end(*encoder.ids(texts.slice(a, b - a)), end)
                 n = np.diff(off)
                 count = -(-n // capacity)

@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.llm.shared import documents, new_path
-from sievegrid.llm.textbytes import slices
-from sievegrid.llm.tokens import END_ID, Encoder, tokenizer_path, with_end
+from sievegrid.llm.textbytes import slices, tidy
+from sievegrid.llm.tokens import ENCODE_BYTES, END_ID, Encoder, tokenizer_path, with_end
 
 
 @dataclass
@@ -58,7 +58,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
         with store.open_output_stream(f"{own}.bin") as out:
             for batch in batches:
                 texts, keys = batch.column(1), batch.column(0)
-                for a, b in slices(texts):
+                for a, b in slices(texts, ENCODE_BYTES):
                     flat, off = with_end(*encoder.ids(texts.slice(a, b - a)), end)
                     out.write(flat.astype(width).tobytes())
                     offsets.append(off[1:] + total)
@@ -74,7 +74,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str | None = None, end: int =
         yield pa.RecordBatch.from_pydict({"part": [context.partitionId()], "docs": [len(off) - 1], "tokens": [total]})
 
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    parts = sorted(ordered.mapInArrow(write_part, "part long, docs long, tokens long").collect())  # a row for each task
+    parts = sorted(ordered.mapInArrow(tidy(write_part), "part long, docs long, tokens long").collect())  # a row for each task
     sizes = {r.part: (r.docs, r.tokens) for r in parts}
     bases, docs_before, ids_before = [], 0, 0
     for k in range(max(sizes, default=-1) + 1):

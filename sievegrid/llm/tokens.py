@@ -11,11 +11,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-from sievegrid.llm.textbytes import SLICE_BYTES, packed, slices, span_hashes
+from sievegrid.llm.textbytes import packed, slices, span_hashes
 
 END_ID = 2
 #: Pre-tokens whose ids a worker keeps; with more it starts anew.
-MOST_KEPT = 300_000
+MOST_KEPT = 1_000_000
+#: Text that is encoded at once; its new pre-tokens are learnt in one call.
+ENCODE_BYTES = 2 << 20
 
 _LETTER, _DIGIT, _BLANK, _OTHER = 0, 1, 2, 3
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
@@ -107,7 +109,7 @@ class Encoder:
 
     def ids(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         flat, sizes = [], []
-        for a, b in slices(column):
+        for a, b in slices(column, ENCODE_BYTES):
             part = column.slice(a, b - a)
             buf, off = packed(part)
             odd = np.add.reduceat(np.append(_ODD[buf], False).astype(np.int32), off[:-1]) * (off[1:] > off[:-1]) > 0
@@ -146,4 +148,4 @@ def with_end(ids: np.ndarray, off: np.ndarray, end: int = END_ID) -> tuple[np.nd
     return out, off + np.arange(n + 1)
 
 
-__all__ = ["END_ID", "SLICE_BYTES", "Encoder", "tokenizer_path", "with_end"]
+__all__ = ["ENCODE_BYTES", "END_ID", "Encoder", "tokenizer_path", "with_end"]
