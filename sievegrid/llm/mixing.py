@@ -1,7 +1,7 @@
 """Mixing sources to target weights.
 
-The words of a source, document after document, form fixed-length blocks. The mix is a row of output shards with
-a set number of slots. A multinomial draw over what each source still owes gives every shard its source counts.
+The words of a source, document after document in an order that doc_id and text decide, form fixed-length blocks. The mix is a row of output shards with
+slots. A multinomial draw gives every shard its source counts, and all slots of a source to some shard.
 A source's slots are numbered through; slot j is block p(j mod n) of its n blocks, p being a pseudorandom
 permutation of the indices that is drawn anew for each pass. Slots and blocks then meet in a join on the index.
 """
@@ -58,17 +58,22 @@ def permuted(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(slots: list[int], shards: int, seed: int = SEED) -> np.ndarray:
-    """Slots of each source in each shard: a multinomial draw for each shard, over what is left of the sources, so that all slots are given out."""
-    rng, left, counts = np.random.default_rng(seed), np.array(slots, dtype=np.int64), np.zeros((shards, len(slots)), dtype=np.int64)
-    for k in range(shards):
-        need = -(-int(left.sum()) // (shards - k))
-        while need > 0:
-            got = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            counts[k] += got
-            left -= got
-            need -= int(got.sum())
-    return counts
+def shard_counts(slots: np.ndarray, shards: int, shard: int, seed: int = SEED) -> tuple[np.ndarray, np.ndarray]:
+    """(slots of each source in the shard, slots of each source in the shards before it).
+
+    All shards together draw each source's slots from a multinomial of equal shares, so all slots are given out. The draw goes
+    down a tree of shard ranges: each node splits its slots by a binomial seeded with the node, so a shard finds its
+    own counts alone, and nothing grows with the number of shards.
+    """
+    counts, before, a, b = np.asarray(slots, dtype=np.int64), np.zeros(len(slots), dtype=np.int64), 0, shards
+    while b - a > 1:
+        middle = (a + b) // 2
+        left = np.random.default_rng([seed, a, b]).binomial(counts, (middle - a) / (b - a))
+        if shard < middle:
+            counts, b = left, middle
+        else:
+            counts, before, a = counts - left, before + left, middle
+    return counts, before
 
 
 def _plan(sized: DataFrame, block_words: int) -> list[dict]:
@@ -88,16 +93,15 @@ def _plan(sized: DataFrame, block_words: int) -> list[dict]:
 
 def slot_table(spark: SparkSession, plan: list[dict], block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS, seed: int = SEED) -> DataFrame:
     """shard, slot (its number in the source), k (the source's number), block: one row for each slot of the mix."""
-    slots, blocks = [p["slots"] for p in plan], [p["blocks"] for p in plan]
-    shards = max(LEAST_SHARDS, -(-sum(slots) * block_words // shard_words))
-    counts = shard_counts(slots, shards, seed)
-    first = np.cumsum(counts, axis=0) - counts
+    slots, blocks = np.array([p["slots"] for p in plan], dtype=np.int64), [p["blocks"] for p in plan]  # a number for each source
+    shards = max(LEAST_SHARDS, -(-int(slots.sum()) * block_words // shard_words))
 
     def fill(batches):
         for batch in batches:
             for shard in batch.column(0).to_pylist():
-                for k in np.flatnonzero(counts[shard]).tolist():
-                    j = first[shard, k] + np.arange(counts[shard, k])
+                counts, first = shard_counts(slots, shards, shard, seed)
+                for k in np.flatnonzero(counts).tolist():
+                    j = first[k] + np.arange(counts[k])
                     turn, index = j // blocks[k], j % blocks[k]
                     block = np.empty_like(j)
                     for t in np.unique(turn).tolist():
@@ -111,16 +115,19 @@ def mixed(docs: DataFrame, block_words: int = BLOCK_WORDS, keep: list[str] | Non
     """(documents with size, source_size, target; passages taken).
 
     A passage row tells which words of which document row (`row`) a slot's block takes: from_word, to_word, times.
-    Null or blank texts have size 0 and give nothing; a null source is one source, the last. `keep`: columns to carry along.
+    Null or blank texts have size 0 and give nothing; a null source is one source, the last. Rows that repeat are rows of
+    their own, and null doc_ids count like others. An empty table gives no rows. `keep`: columns to carry along.
     """
     spark = docs.sparkSession
     size = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(_WORD)), F.lit(0)).cast("long")
-    sized = written(docs.select(*(keep or ["doc_id"]), F.col("source").cast("string").alias("source"), size.alias("size")).withColumn("row", F.monotonically_increasing_id()), "sized")
+    place = [F.xxhash64("doc_id", "text").alias("_place"), F.xxhash64("text").alias("_text")]  # rows that tie here are alike
+    sized = written(docs.select(*(keep or ["doc_id"]), F.col("source").cast("string").alias("source"), size.alias("size"), *place).withColumn("row", F.monotonically_increasing_id()), "sized")
     plan = _plan(sized, block_words)
     named = spark.createDataFrame([(p["k"], p["source"], p["source_size"], p["target"]) for p in plan], "k int, source string, source_size long, target double")
     named = F.broadcast(named) if len(plan) <= 10_000 else named
     sized = sized.withColumnRenamed("source", "_source").join(named, F.col("_source").eqNullSafe(F.col("source"))).drop("_source")
-    placed = running_totals(sized.filter("size > 0").select("row", "k", "size"), "k", ["row"], F.col("size"), "start")
+    placed = running_totals(sized.filter("size > 0").select("row", "k", "size", "_place", "_text"), "k", ["_place", "_text"], F.col("size"), "start")
+    sized = sized.drop("_place", "_text")
     block = F.explode(F.sequence(F.expr(f"start div {block_words}"), F.expr(f"(start + size - 1) div {block_words}"))).alias("block")
     parts = placed.select("row", "k", "start", "size", block).select(
         "row", "k", "block",
@@ -145,7 +152,7 @@ def mixed_documents(docs: DataFrame, block_words: int = BLOCK_WORDS) -> DataFram
     Gaps between taken passages close; n_chars is counted anew; documents of which nothing was taken are not in the mix.
     """
     schema, names = docs.schema, docs.columns
-    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"), "source", "text")  # a struct, as its names may be those of the mix
+    carried = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("_doc"), "doc_id", "source", "text")  # a struct, as its names may be those of the mix
     sized, passages = mixed(carried, block_words, keep=["_doc"])
     takes = passages.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("from_word", "to_word", "times"))).alias("takes"))  # as many as the document has blocks
     rows = sized.join(takes, "row").select("_doc", "takes")

@@ -55,6 +55,10 @@ def freed(spark: SparkSession) -> None:
     spark._jvm.java.lang.System.gc()
 
 
+#: Rows of a bucket of running totals.
+BUCKET_ROWS = 20_000
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
@@ -63,12 +67,29 @@ def bucket_of(columns: list[str], buckets: int) -> Column:
     return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
-def running_totals(df: DataFrame, key: str, order: list[str], amount: Column, total: str, buckets: int = 256, bucket: Column | None = None) -> DataFrame:
+#: A key on more than one of so many rows is hot; there are at most that many such keys, so a table of them can be broadcast.
+HOT = 1000
+
+
+def joined(rows: DataFrame, table: DataFrame, key: str, often: str, total: int) -> DataFrame:
+    """rows joined with table on key, of which table has a row each and `often` tells how many rows have it; total: of rows.
+
+    Hot keys, HOT at most, are looked up by a broadcast where their rows are, so no task gets all rows of one; the others are shuffled.
+    """
+    limit = total // HOT
+    hot, cold = table.filter(F.col(often) > limit).drop(often), table.filter(F.col(often) <= limit).drop(often)
+    few = rows.join(F.broadcast(hot), key)  # at most HOT keys
+    return few.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
+def running_totals(df: DataFrame, key: str, order: list[str], amount: Column, total: str, buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Adds column `total`: the sum of `amount` over the rows of the same key that come before, ordered by the bucket and then by `order`.
 
-    A key may hold most of the rows: they are dealt over `buckets` hash buckets of `order`, or those given, that are summed apart,
-    and only one row for each key and bucket is ordered by key alone.
+    A key may hold most of the rows: they are dealt over hash buckets of `order`, one for each BUCKET_ROWS rows and 64 at least, or
+    over the buckets given, that are summed apart, and only one row for each key and bucket is ordered by key alone.
     """
+    if buckets is None and bucket is None:
+        buckets = max(64, df.count() // BUCKET_ROWS)
     cut = df.withColumn("_amount", amount).withColumn("_bucket", bucket_of(order, buckets) if bucket is None else bucket)
     sums = cut.groupBy(key, "_bucket").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
