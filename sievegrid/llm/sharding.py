@@ -1,6 +1,6 @@
 """Sharding by balanced label propagation.
 
-Documents of equal text are linked. Every linked document starts in the shard its id hashes to; then, in rounds,
+Documents of equal text are linked. Every linked document starts in the shard its id and text hash to; then, in rounds,
 documents move to the shard that holds most of their group, weighed against how full shards are, as far as the
 target's capacity quota allows. Copies are alike, so a group's state is how many of its copies each shard holds:
 the rounds join and count such cells, never pairs of copies. Documents without links fill what is left: the few
@@ -16,14 +16,13 @@ import heapq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievegrid.llm.shared import documents, dropped, running_totals, written
+from sievegrid.llm.shared import HOT, documents, dropped, joined, running_totals, written
 
 SHARDS = 8
 ROUNDS = 4
 #: A document over a shard's capacity / HEAVY is placed by itself; there are at most SHARDS * HEAVY of them.
 HEAVY = 512
 FULLNESS = 0.25
-BUCKETS = 512
 
 
 def _case(column: str, values: list[float]):
@@ -71,13 +70,13 @@ def propagated(cells: DataFrame, capacity: float, shards: int, rounds: int) -> D
 
 
 def _filled(free: DataFrame, loads: list[int], capacity: float) -> DataFrame:
-    """row, shard of the free documents (row, size)."""
+    """row, shard of the free documents (row, size, place, g)."""
     spark = free.sparkSession
-    heavy = free.filter(F.col("size") > capacity / HEAVY).select("row", "size").collect()  # at most SHARDS * HEAVY rows
+    heavy = free.filter(F.col("size") > capacity / HEAVY).select("row", "size", "place", "g").collect()  # at most SHARDS * HEAVY rows
     heap = [(b, k) for k, b in enumerate(loads)]
     heapq.heapify(heap)
     placed = []
-    for r in sorted(heavy, key=lambda r: (-r["size"], r["row"])):
+    for r in sorted(heavy, key=lambda r: (-r["size"], r["place"], r["g"], r["row"])):
         b, k = heapq.heappop(heap)
         placed.append((r["row"], k))
         heapq.heappush(heap, (b + r["size"], k))
@@ -89,7 +88,7 @@ def _filled(free: DataFrame, loads: list[int], capacity: float) -> DataFrame:
     for r in room:
         cut += r
         cuts.append(cut)
-    light = running_totals(light.select("row", "size", F.lit(0).alias("one")), "one", ["row"], F.col("size"), "before", buckets=BUCKETS)
+    light = running_totals(light.select("row", "size", "place", "g", F.lit(0).alias("one")), "one", ["place", "g"], F.col("size"), "before")
     shard = F.lit(len(room) - 1)
     for k in reversed(range(len(room) - 1)):
         shard = F.when(F.col("before") + F.col("size") / 2 < cuts[k], k).otherwise(shard)
@@ -115,33 +114,46 @@ def sharded(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.unhex(F.md5(text.cast("binary"))).alias("g"))
-    rows = written(rows.withColumn("row", F.monotonically_increasing_id()), "rows")
-    capacity = (rows.agg(F.sum("size").alias("b")).first()["b"] or 0) / shards
+    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    # the order that decides: by id and text; rows that tie are alike, and those without an id are told apart by their number
+    rows = written(rows.withColumn("place", F.xxhash64("g", F.coalesce("doc_id", "row"))), "rows")
+    one = rows.agg(F.sum("size").alias("b"), F.count("*").alias("n")).first()
+    capacity, n = (one["b"] or 0) / shards, one["n"]
     if not capacity:
         return rows.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
-    first = rows.withColumn("shard", F.pmod(F.xxhash64("row"), F.lit(shards)).cast("int"))
+    first = rows.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int"))
     cells = first.groupBy("g", "shard").agg(F.count("*").alias("n"), F.max("size").alias("size"))
-    groups = written(cells.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("cells")).filter("all > 1").select("g"), "groups")
-    cells = propagated(written(cells.join(groups, "g"), "cells"), capacity, shards, rounds)
-    single = cells.groupBy("g").agg(F.count("*").alias("places"), F.max("shard").alias("shard"))
+    groups = written(cells.groupBy("g").agg(F.sum("n").alias("all"), F.count("*").alias("cells")).filter("all > 1").select("g", "all"), "groups")
+    cells = propagated(written(cells.join(groups.select("g"), "g"), "cells"), capacity, shards, rounds)
+    single = cells.groupBy("g").agg(F.count("*").alias("places"), F.max("shard").alias("shard"), F.sum("n").alias("all"))
     plan = written(single, "places")
-    whole = rows.join(plan.filter("places = 1 and shard >= 0").select("g", "shard"), "g").select("row", "size", "shard")
-    # groups in several shards: copies are numbered, and the cells take ranges of the numbers
-    split = rows.select("row", "size", "g").join(plan.filter("places > 1 or shard < 0").select("g"), "g")
-    split = running_totals(split, "g", ["row"], F.lit(1), "number")
+    kept = rows.select("row", "size", "g", "place")
+    whole = joined(kept, plan.filter("places = 1 and shard >= 0").select("g", "shard", "all"), "g", "all", n).select("row", "size", "shard")
+    # groups in several shards: copies are numbered, and the cells take ranges of the numbers; a cell begins a range
+    split = joined(kept, plan.filter("places > 1 or shard < 0").select("g", "all"), "g", "all", n)
+    split = running_totals(split, "g", ["place", "row"], F.lit(1), "number")
     ranges = running_totals(cells, "g", ["shard"], F.col("n"), "from", buckets=1).select("g", "shard", "from", (F.col("from") + F.col("n")).alias("to"))
-    split = split.join(ranges.withColumnRenamed("g", "_g"), (F.col("g") == F.col("_g")) & (F.col("number") >= F.col("from")) & (F.col("number") < F.col("to"))).select("row", "size", "shard")
+    ends = ranges.groupBy("g").agg(F.sort_array(F.collect_list(F.struct("to", "shard"))).alias("ends"), F.max("to").alias("all"))  # at most a cell for each shard
+    split = joined(split.select("row", "size", "g", "number"), ends, "g", "all", n)
+    split = split.select("row", "size", F.filter("ends", lambda e: F.col("number") < e["to"])[0]["shard"].alias("shard"))
     linked = written(whole.union(split), "linked")
-    free = rows.select("row", "size", "g").join(groups, "g", "left_anti").select("row", "size").union(linked.filter("shard < 0").select("row", "size"))
+    lost = linked.filter("shard < 0").select("row").join(rows.select("row", "size", "place", "g"), "row").select("row", "size", "place", "g")
+    single_rows = joined_out(rows.select("row", "size", "place", "g"), groups, n)
     linked = linked.filter("shard >= 0")
     loads = {r["shard"]: r["b"] for r in linked.groupBy("shard").agg(F.sum("size").alias("b")).collect()}
-    filled = _filled(written(free, "free"), [int(loads.get(k, 0)) for k in range(shards)], capacity)
+    filled = _filled(written(single_rows.union(lost), "free"), [int(loads.get(k, 0)) for k in range(shards)], capacity)
     placed = written(linked.select("row", "shard").union(filled), "placed")
-    out = rows.select("row", "doc_id", "size", "text_crc32").join(placed, "row")
-    out = running_totals(out, "shard", ["row"], F.lit(1), "slot", buckets=BUCKETS)
+    out = rows.select("row", "doc_id", "size", "text_crc32", "place", "g").join(placed, "row")
+    out = running_totals(out, "shard", ["place", "g"], F.lit(1), "slot")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
+def joined_out(rows: DataFrame, groups: DataFrame, total: int) -> DataFrame:
+    """The rows of no group; hot groups are left out before the shuffle."""
+    hot = groups.filter(F.col("all") > total // HOT).select("g")
+    return rows.join(F.broadcast(hot), "g", "left_anti").join(groups.select("g"), "g", "left_anti").select(rows.columns)  # at most HOT keys
+
+
 def op8_balanced_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in shards 0 to 7."""
     return sharded(documents(spark, sf_dir))
