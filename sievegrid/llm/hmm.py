@@ -1,16 +1,20 @@
 """A hidden Markov language model of words.
 
 Latent states follow each other as a Markov chain; a state emits a word class, and a class emits its words by their
-counts. The most frequent words are classes of their own, all others share classes by the hash of their last three
-bytes, so the state tables have a fixed size while the word counts grow with the corpus. Baum-Welch: tasks take
-expected counts of states and classes over their blocks, Spark adds them up, and each round covers every training
-document (in segments). A first guess comes from a bounded sample. The scaled forward recursion over a whole
-document gives its exact likelihood.
+counts. The most frequent words are classes of their own, more of them the larger the vocabulary is; all others share
+classes by the hash of their last three bytes. Baum-Welch starts from seeded random states over the classes. Each of its
+first rounds covers another share of the training documents, until all were seen FIRST_PASSES times, and each later
+round covers all of them: tasks take expected counts of states and classes over their blocks, and Spark adds them up. The
+scaled forward recursion over a whole document gives its exact likelihood.
+
+Training walks through long documents in segments. A segment begins its recursions OVERLAP tokens before its first and
+after its last token, so moves over the edges count too, from states that have forgotten where the walk began.
 
 Each document ends with an end token. A word that training has not met takes its class's one slot for such words.
 
-The corpus is written once as blocks: the distinct words of a block, and for each token its place among them. Counts
-reach a block by a join on (block, word), so no task holds the whole vocabulary.
+The corpus is written once as blocks: the distinct words of a block, and for each token its place among them. The words
+of all blocks meet once, packed by parts of their hashes: a part counts its words over the corpus and answers each block.
+So no task holds the whole vocabulary, and a word that every block has is one entry of each.
 """
 
 from __future__ import annotations
@@ -24,20 +28,21 @@ from pyspark.sql import functions as F
 
 from sievegrid.llm.labelled import held_out
 from sievegrid.llm.shared import documents, written
-from sievegrid.llm.textbytes import LOWER, U64, mix64, packed, slices, span_hashes, words
+from sievegrid.llm.textbytes import LOWER, U64, mix64, packed, slices, span_hashes, tidy, words
 
 STATES = 8
-OWN = 4096
+#: Words with a class of their own: the next power of two of OWN_GROWTH times the root of the vocabulary's size, LEAST_OWN at least.
+LEAST_OWN, OWN_GROWTH = 4096, 4.0
 HASHED = 4096
-CLASSES = OWN + HASHED + 1
-END = CLASSES - 1
-ROUNDS = 2
-SEGMENT = 256
+#: Shares of the documents in the first rounds, how often they cover all documents, and the rounds over all of them after that.
+SHARES, FIRST_PASSES, ROUNDS = 4, 2, 2
+SEGMENT, OVERLAP = 256, 32
+_SEGMENTS_AT_ONCE = 1024
 BLOCK_TOKENS = 1_200_000
-#: Training documents of the first guess, and its rounds.
-FIRST_DOCUMENTS = 1500
-FIRST_ROUNDS = 25
+#: Pairs of a block and a word in a part.
+_PART = 400_000
 SMOOTHING = 20.0
+SEED = 5
 FOLDS, FOLD = 7, 2
 
 
@@ -53,8 +58,11 @@ def word_tables(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return h, (mix64(last) % U64(HASHED)).astype(np.uint16), np.diff(at)
 
 
+_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.binary()), ("suffixes", pa.binary()), ("counts", pa.binary())])
+
+
 def blocks(docs: DataFrame) -> DataFrame:
-    """block, doc_ids, held, sizes (words of each document), codes (uint32 for each token, packed), words (uint64), suffixes (uint16), counts (uint32, training only)."""
+    """block, doc_ids, held, sizes (words of each document), codes (uint32 for each token, packed), words (uint64), suffixes (uint16), counts (uint32, training only, packed)."""
 
     def cut(batches):
         from pyspark import TaskContext
@@ -70,8 +78,8 @@ def blocks(docs: DataFrame) -> DataFrame:
             h, codes = h[order], place[codes]
             suffix = np.concatenate([k[4] for k in kept])[where[order]]
             train = np.repeat(~np.array(held, dtype=bool), sizes)
-            counts = np.bincount(codes[train], minlength=len(h)).astype(np.uint32)
-            row = {"block": number, "doc_ids": ids, "held": held, "sizes": sizes, "codes": packed_codes(codes), "words": h.tobytes(), "suffixes": suffix.tobytes(), "counts": counts.tobytes()}
+            counts = np.bincount(codes[train], minlength=len(h))
+            row = {"block": number, "doc_ids": ids, "held": held, "sizes": sizes, "codes": packed_codes(codes), "words": h.tobytes(), "suffixes": suffix.tobytes(), "counts": packed_codes(counts)}
             return pa.RecordBatch.from_pylist([row], schema=_BLOCK)
 
         for batch in batches:
@@ -86,10 +94,7 @@ def blocks(docs: DataFrame) -> DataFrame:
             yield block()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id", FOLDS, FOLD).alias("held"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(cut, "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, codes binary, words binary, suffixes binary, counts binary")
-
-
-_BLOCK = pa.schema([("block", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("words", pa.binary()), ("suffixes", pa.binary()), ("counts", pa.binary())])
+    return rows.mapInArrow(tidy(cut), "block long, doc_ids array<long>, held array<boolean>, sizes array<int>, codes binary, words binary, suffixes binary, counts binary")
 
 
 def packed_codes(codes: np.ndarray) -> bytes:
@@ -102,25 +107,74 @@ def unpacked_codes(data: bytes, n: int) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
-def vocabulary(table: DataFrame) -> DataFrame:
-    """h, c, suffix: the words of training with their counts."""
+def _parts_of(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(places in the order of parts, parts that occur, where each begins)."""
+    part = (mix64(h) % U64(parts)).astype(np.int64)
+    order = np.argsort(part, kind="stable")
+    named, first = np.unique(part[order], return_index=True)
+    return order, named, first
+
+
+def counted(table: DataFrame, parts: int) -> DataFrame:
+    """block, part, words, counts, suffixes: for each block the training counts (packed) of its words of a part, and in a row of block -1 each word of the part that training has met."""
+
+    def deal(batches):
+        for batch in batches:
+            for block, w, c, s in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
+                h, suffix = np.frombuffer(w, U64), np.frombuffer(s, np.uint16)
+                counts = unpacked_codes(c, len(h))
+                order, named, first = _parts_of(h, parts)
+                for a in range(0, len(named), 1000):
+                    lists = [order[x:y] for x, y in zip(first[a : a + 1000], [*first[a + 1 : a + 1000], first[a + 1000] if a + 1000 < len(first) else len(order)], strict=True)]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(np.full(len(lists), block)), pa.array(named[a : a + 1000]), pa.array([h[k].tobytes() for k in lists], pa.binary()), pa.array([counts[k].tobytes() for k in lists], pa.binary()), pa.array([suffix[k].tobytes() for k in lists], pa.binary())],
+                        names=["block", "part", "words", "counts", "suffixes"],
+                    )
+
+    def answer(group: pa.Table) -> pa.Table:
+        of, lists = group["block"].to_pylist(), group["words"].to_pylist()
+        size = np.array([len(w) // 8 for w in lists])
+        h, where, inverse = np.unique(np.frombuffer(b"".join(lists), U64), return_index=True, return_inverse=True)
+        c = np.bincount(inverse, weights=np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint32).astype(np.float64), minlength=len(h)).astype(np.int64)
+        suffix = np.frombuffer(b"".join(group["suffixes"].to_pylist()), np.uint16)[where]
+        edges = np.concatenate([[0], np.cumsum(size)])
+        replies = [packed_counts(c[inverse[a:b]]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        met = c > 0
+        part, none = group["part"][0].as_py(), pa.nulls(len(of), pa.binary())
+        one = {"block": pa.array([*of, -1], pa.int64()), "part": pa.array([part] * (len(of) + 1), pa.int64()), "words": pa.array([*none.to_pylist(), h[met].tobytes()], pa.binary())}
+        return pa.table(one | {"counts": pa.array([*replies, c[met].tobytes()], pa.binary()), "suffixes": pa.array([*none.to_pylist(), suffix[met].tobytes()], pa.binary())})
+
+    schema = "block long, part long, words binary, counts binary, suffixes binary"
+    return table.select("block", "words", "counts", "suffixes").mapInArrow(deal, schema).groupBy("part").applyInArrow(answer, schema)
+
+
+def packed_counts(counts: np.ndarray) -> bytes:
+    """64-bit counts as compressed planes of bytes."""
+    return pa.compress(np.ascontiguousarray(counts.astype("<i8").view(np.uint8).reshape(-1, 8).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_counts(data: bytes, n: int) -> np.ndarray:
+    planes = np.frombuffer(pa.decompress(data, 8 * n, codec="zstd", asbytes=True), np.uint8).reshape(8, n)
+    return np.ascontiguousarray(planes.T).view("<i8").ravel()
+
+
+def vocabulary(answers: DataFrame) -> DataFrame:
+    """h, c, suffix: the words of training with their counts, each once."""
 
     def listed(batches):
         for batch in batches:
             for w, c, s in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
-                h, c, s = np.frombuffer(w, np.int64), np.frombuffer(c, np.uint32), np.frombuffer(s, np.uint16)
-                some = c > 0
-                h, c, s = h[some], c[some], s[some]
+                h, c, s = np.frombuffer(w, np.int64), np.frombuffer(c, np.int64), np.frombuffer(s, np.uint16)
                 for a in range(0, len(h), 100_000):
                     z = slice(a, a + 100_000)
-                    yield pa.RecordBatch.from_arrays([pa.array(h[z]), pa.array(c[z].astype(np.int64)), pa.array(s[z].astype(np.int32))], names=["h", "c", "suffix"])
+                    yield pa.RecordBatch.from_arrays([pa.array(h[z]), pa.array(c[z]), pa.array(s[z].astype(np.int32))], names=["h", "c", "suffix"])
 
-    return table.select("words", "counts", "suffixes").mapInArrow(listed, "h long, c long, suffix int").groupBy("h").agg(F.sum("c").alias("c"), F.min("suffix").alias("suffix"))
+    return answers.filter("block = -1").select("words", "counts", "suffixes").mapInArrow(listed, "h long, c long, suffix int")
 
 
 @dataclass
 class Classes:
-    """Word classes: own ones of frequent words, and the totals of the shared ones."""
+    """Word classes: own ones of frequent words first, then the shared ones, then the end."""
 
     own: np.ndarray  # sorted hashes
     totals: np.ndarray  # of count + 1 over the words of each suffix class, and 1 for unknown ones
@@ -128,8 +182,12 @@ class Classes:
     tokens: int  # N
     kinds: int  # V
 
+    @property
+    def end(self) -> int:
+        return len(self.mass) - 1
+
     def of(self, h: np.ndarray, suffix: np.ndarray) -> np.ndarray:
-        out = suffix.astype(np.int64) + OWN
+        out = suffix.astype(np.int64) + len(self.own)
         if len(self.own):
             at = np.minimum(np.searchsorted(self.own, h), len(self.own) - 1)
             mine = self.own[at] == h
@@ -138,22 +196,24 @@ class Classes:
 
     def word_share(self, cls: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 of the probability of words with count c in their class."""
-        shared = (cls >= OWN) & (cls < END)
-        return np.where(shared, np.log10((c + 1) / self.totals[np.clip(cls - OWN, 0, HASHED - 1)]), 0.0)
+        shared = (cls >= len(self.own)) & (cls < self.end)
+        return np.where(shared, np.log10((c + 1) / self.totals[np.clip(cls - len(self.own), 0, HASHED - 1)]), 0.0)
 
 
 def classes(words_of_training: DataFrame, documents_of_training: int) -> Classes:
-    top = words_of_training.orderBy(F.desc("c"), "h").select("h", "c").limit(OWN)
-    own = {r["h"] % (1 << 64): r["c"] for r in top.collect()}  # OWN rows
-    rest = words_of_training.join(F.broadcast(words_of_training.sparkSession.createDataFrame([(h - (1 << 64) if h >= 1 << 63 else h,) for h in own], "h long")), "h", "left_anti")
-    totals, mass = np.ones(HASHED), np.zeros(CLASSES)
+    sums = words_of_training.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
+    most = max(LEAST_OWN, 1 << int(np.ceil(np.log2(max(1.0, OWN_GROWTH * sums["n"] ** 0.5)))))
+    top = words_of_training.orderBy(F.desc("c"), "h").select("h", "c").limit(most)
+    own = {r["h"] % (1 << 64): r["c"] for r in top.collect()}  # grows with the root of the vocabulary: 16 MB of state tables at 10^9 words
+    frequent = words_of_training.sparkSession.createDataFrame([(h - (1 << 64) if h >= 1 << 63 else h,) for h in own], "h long")
+    rest = words_of_training.join(F.broadcast(frequent), "h", "left_anti")
+    totals, mass = np.ones(HASHED), np.zeros(len(own) + HASHED + 1)
     for r in rest.groupBy("suffix").agg(F.sum("c").alias("c"), F.count("*").alias("n")).collect():  # HASHED rows
         totals[r["suffix"]] += r["c"] + r["n"]
-        mass[OWN + r["suffix"]] = r["c"]
+        mass[len(own) + r["suffix"]] = r["c"]
     hashes = np.array(sorted(own), dtype=U64)
     mass[: len(hashes)] = [own[int(h)] for h in hashes]
-    mass[END] = documents_of_training
-    sums = words_of_training.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
+    mass[-1] = documents_of_training
     return Classes(hashes, totals, mass, int(sums["c"]) + documents_of_training, int(sums["n"]) + (documents_of_training > 0))
 
 
@@ -162,10 +222,10 @@ class Model:
     start: np.ndarray  # of a document
     occupied: np.ndarray  # anywhere in one
     moves: np.ndarray
-    emits: np.ndarray  # CLASSES x STATES
+    emits: np.ndarray  # classes x STATES
 
 
-def _by_length(sizes: np.ndarray, most: int | None):
+def _by_length(sizes: np.ndarray):
     """(order of sequences by falling length, how many are longer than t for each t)."""
     order = np.argsort(-sizes, kind="stable")
     longer = np.searchsorted(-sizes[order], -np.arange(int(sizes.max(initial=0))), side="left")
@@ -174,7 +234,7 @@ def _by_length(sizes: np.ndarray, most: int | None):
 
 def log_likelihood(model: Model, seq: np.ndarray, first: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """Natural log of the probability of whole sequences seq[first : first + size], by the scaled forward recursion."""
-    order, longer = _by_length(sizes, None)
+    order, longer = _by_length(sizes)
     at, total = first[order], np.zeros(len(sizes))
     moves, emits = model.moves.astype(np.float64), model.emits
     alpha = np.tile(model.start, (len(sizes), 1))
@@ -188,35 +248,66 @@ def log_likelihood(model: Model, seq: np.ndarray, first: np.ndarray, sizes: np.n
     return out
 
 
-def expected_counts(model: Model, seq: np.ndarray, first: np.ndarray, sizes: np.ndarray, opens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(start, moves, emits) counts of the sequences; opens: whether one begins a document."""
-    order, longer = _by_length(sizes, None)
-    at, opens, k = first[order], opens[order], len(model.start)
+@dataclass
+class Segments:
+    """Stretches of documents that the recursions walk, and the part of each whose tokens and moves count."""
+
+    first: np.ndarray  # place of the first token in the sequence
+    size: np.ndarray
+    opens: np.ndarray  # begins a document
+    core: np.ndarray  # steps before the counted part
+    until: np.ndarray  # steps before its end
+
+    def part(self, z: slice) -> Segments:
+        return Segments(self.first[z], self.size[z], self.opens[z], self.core[z], self.until[z])
+
+
+def segments(sizes: np.ndarray, length: int = SEGMENT, overlap: int = OVERLAP) -> Segments:
+    """The segments of documents that lie one after the other."""
+    count = -(-sizes // length)
+    doc = np.repeat(np.arange(len(sizes)), count)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
+    a, b = place * length, np.minimum((place + 1) * length, sizes[doc])
+    x, y = np.maximum(a - overlap, 0), np.minimum(b + overlap, sizes[doc])
+    return Segments((np.cumsum(sizes) - sizes)[doc] + x, y - x, x == 0, a - x, b - x)
+
+
+def expected_counts(model: Model, seq: np.ndarray, walk: Segments) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+    """(start, moves, emits) counts of the counted parts, and the natural log of their likelihood."""
+    order, longer = _by_length(walk.size)
+    walk, k = walk.part(order), len(model.start)
+    at, opens, kinds = walk.first, walk.opens, len(model.emits)
     moves, emits = model.moves.astype(np.float32), model.emits.astype(np.float32)
-    alphas, scales = [], []
+    alphas, scales, total = [], [], 0.0
     for t, n in enumerate(longer.tolist()):
         before = np.where(opens[:, None], model.start, model.occupied).astype(np.float32) if t == 0 else alphas[-1][:n] @ moves
         here = before * emits[seq[at[:n] + t]]
         scale = here.sum(axis=1, keepdims=True)
         alphas.append(here / scale)
         scales.append(scale)
-    starts, trans, tokens, gammas = np.zeros(k), np.zeros((k, k)), [], []
+        inside = (walk.core[:n] <= t) & (t < walk.until[:n])
+        total += float(np.log(scale[inside, 0], dtype=np.float64).sum())
+    starts, trans, tokens, gammas = np.zeros(k), np.zeros((k, k)), [np.zeros(0, np.int64)], [np.zeros((0, k), np.float32)]
     beta = np.ones((0, k), dtype=np.float32)
     for t in range(len(longer) - 1, -1, -1):
         n, m = int(longer[t]), len(beta)
         if m < n:
             beta = np.vstack([beta, np.ones((n - m, k), dtype=np.float32)])
-        gamma = alphas[t] * beta
-        tokens.append(seq[at[:n] + t])
-        gammas.append(gamma)
+        inside = (walk.core[:n] <= t) & (t < walk.until[:n])
+        every = inside.all()
+        gamma, here = alphas[t] * beta, seq[at[:n] + t]
+        tokens.append(here if every else here[inside])
+        gammas.append(gamma if every else gamma[inside])
         if t:
-            back = emits[tokens[-1]] * beta / scales[t]
-            trans += model.moves * (alphas[t - 1][:n].T @ back)
+            back = emits[here] * beta / scales[t]
+            before = alphas[t - 1][:n]
+            trans += model.moves * (before.T @ back if every else before[inside].T @ back[inside])
             beta = back @ moves.T
         else:
-            starts = gamma[opens].sum(axis=0)
+            starts = gamma[opens & inside].sum(axis=0)
+        alphas.pop()
     tokens, gammas = np.concatenate(tokens), np.concatenate(gammas)
-    return starts, trans, np.stack([np.bincount(tokens, weights=gammas[:, j], minlength=CLASSES) for j in range(k)], axis=1)
+    return starts, trans, np.stack([np.bincount(tokens, weights=gammas[:, j], minlength=kinds) for j in range(k)], axis=1), total
 
 
 def estimated(starts: np.ndarray, trans: np.ndarray, emits: np.ndarray, mass: np.ndarray) -> Model:
@@ -229,146 +320,125 @@ def estimated(starts: np.ndarray, trans: np.ndarray, emits: np.ndarray, mass: np
     return Model(p, o, a, b)
 
 
-def _segments(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first, size, begins a document) of the segments of documents that lie one after the other."""
-    count = -(-sizes // SEGMENT)
-    doc = np.repeat(np.arange(len(sizes)), count)
-    place = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-    first = (np.cumsum(sizes) - sizes)[doc] + place * SEGMENT
-    return first, np.minimum(SEGMENT, sizes[doc] - place * SEGMENT), place == 0
-
-
-def _summed(model: Model, seq: np.ndarray, sizes: np.ndarray):
-    parts = None
-    first, size, opens = _segments(sizes)
-    for a in range(0, len(size), 2048):
-        z = slice(a, a + 2048)
-        got = expected_counts(model, seq, first[z], size[z], opens[z])
-        parts = got if parts is None else tuple(x + y for x, y in zip(parts, got, strict=True))
-    return parts
+def summed(model: Model, seq: np.ndarray, sizes: np.ndarray):
+    """expected_counts() of all documents, some segments at a time; None without documents."""
+    total, walk = None, segments(sizes)
+    order = np.argsort(walk.size, kind="stable")
+    for a in range(0, len(order), _SEGMENTS_AT_ONCE):
+        got = expected_counts(model, seq, walk.part(order[a : a + _SEGMENTS_AT_ONCE]))
+        total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+    return total
 
 
-def _with_ends(cls: np.ndarray, codes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _with_ends(cls: np.ndarray, codes: np.ndarray, sizes: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """Class sequence of all documents with the end class after each, and their sizes."""
-    seq = np.full(len(codes) + len(sizes), END, dtype=np.int64)
+    seq = np.full(len(codes) + len(sizes), end, dtype=np.int64)
     seq[np.arange(len(codes)) + np.repeat(np.arange(len(sizes)), sizes)] = cls[codes]
     return seq, sizes + 1
 
 
-def first_guess(docs: DataFrame, names: Classes) -> Model:
-    """A model of at most FIRST_DOCUMENTS training documents, chosen by a hash of doc_id, after FIRST_ROUNDS rounds from seeded random states."""
+def random_states(names: Classes, seed: int = SEED) -> Model:
+    """States that share the tokens of each class at random, and mostly stay."""
+    shares = np.random.default_rng(seed).dirichlet(np.ones(STATES), size=len(names.mass))
+    emits = shares * (names.mass[:, None] + 1e-9)
+    stays = np.diag(emits.sum(axis=0)) + emits.sum() / STATES**2
+    return estimated(emits.sum(axis=0), stays, emits, names.mass)
 
-    def rows(batches):
-        for batch in batches:
-            h, suffix, sizes = word_tables(batch.column(1))
-            seq, sizes = _with_ends(names.of(h, suffix), np.arange(len(h)), sizes)
-            off = np.concatenate([[0], np.cumsum(sizes)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([seq[a:b].astype(np.uint16).tobytes() for a, b in zip(off[:-1], off[1:], strict=True)], pa.binary())], names=["doc_id", "seq"])
-
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    ids = known.filter(~held_out("doc_id", FOLDS, FOLD)).select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIRST_DOCUMENTS)
-    few = known.join(F.broadcast(ids), "doc_id").mapInArrow(rows, "doc_id long, seq binary").collect()  # FIRST_DOCUMENTS rows
-    seqs = [np.frombuffer(r["seq"], np.uint16).astype(np.int64) for r in sorted(few, key=lambda r: (r["doc_id"], r["seq"]))]
-    rng = np.random.default_rng(5)
-    if not seqs:
-        return estimated(np.ones(STATES), np.ones((STATES, STATES)), np.tile(names.mass[:, None], STATES), names.mass)
-    sizes, seq = np.array([len(s) for s in seqs]), np.concatenate(seqs)
-    emits = np.zeros((CLASSES, STATES))
-    weight = rng.dirichlet(np.full(STATES, 0.3), size=len(seqs))
-    doc = np.repeat(np.arange(len(seqs)), sizes)
-    for k in range(STATES):
-        emits[:, k] = np.bincount(seq, weights=weight[doc, k], minlength=CLASSES)
-    share = emits.sum(axis=0)
-    model = estimated(share, np.diag(share) * 0.97 + share.mean() * 0.03 / STATES, emits, names.mass)
-    for _ in range(FIRST_ROUNDS):
-        model = estimated(*_summed(model, seq, sizes), names.mass)
-    return model
-
-
-def trained(table: DataFrame, first: Model, names: Classes, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents of the blocks."""
-    spark, model = table.sparkSession, first
+
+def trained(table: DataFrame, names: Classes) -> tuple[Model, list[float]]:
+    """Baum-Welch over the training documents of the blocks: the model, and for each round the mean log-likelihood of a token before it."""
+    spark, model, rounds = table.sparkSession, random_states(names), []
     columns = [f"s{k}" for k in range(STATES)]
-    for _ in range(rounds):
+    for turn in [*range(SHARES * FIRST_PASSES), *[None] * ROUNDS]:
         given = spark.sparkContext.broadcast((model, names))
 
-        def count(batches, given=given):
+        def count(batches, given=given, turn=turn):
             now, called = given.value
             total = None
             for batch in batches:
-                for row in batch.to_pylist():
-                    sizes, held = np.array(row["sizes"], dtype=np.int64), np.array(row["held"], dtype=bool)
-                    codes = unpacked_codes(row["codes"], int(sizes.sum()))[np.repeat(~held, sizes)]
+                for i in range(batch.num_rows):
+                    row = batch.slice(i, 1).to_pylist()[0]
+                    sizes, wanted = np.array(row["sizes"], dtype=np.int64), ~np.array(row["held"], dtype=bool)
+                    if turn is not None:
+                        wanted &= np.arange(len(sizes)) % SHARES == turn % SHARES
+                    codes = unpacked_codes(row["codes"], int(sizes.sum()))[np.repeat(wanted, sizes)]
                     cls = called.of(np.frombuffer(row["words"], U64), np.frombuffer(row["suffixes"], np.uint16))
-                    got = _summed(now, *_with_ends(cls, codes, sizes[~held]))
+                    got = summed(now, *_with_ends(cls, codes, sizes[wanted], called.end))
                     if got is not None:
                         total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is not None:
-                all_rows = np.vstack([total[2], total[1], total[0][None]])  # classes, then moves, then start
+                all_rows = np.vstack([total[2], total[1], total[0][None], np.full((1, STATES), total[3])])  # classes, moves, start, likelihood
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(all_rows))), *(pa.array(np.ascontiguousarray(all_rows[:, k])) for k in range(STATES))], names=["i", *columns])
 
-        sums = table.select("held", "sizes", "codes", "words", "suffixes").mapInArrow(count, "i long, " + ", ".join(f"{c} double" for c in columns))
-        sums = sums.groupBy("i").agg(*(F.sum(c).alias(c) for c in columns)).collect()  # CLASSES + STATES + 1 rows
-        every = np.zeros((CLASSES + STATES + 1, STATES))
+        sums = table.select("held", "sizes", "codes", "words", "suffixes").mapInArrow(tidy(count), "i long, " + ", ".join(f"{c} double" for c in columns))
+        sums = sums.groupBy("i").agg(*(F.sum(c).alias(c) for c in columns)).collect()  # a row for each class and state
+        every = np.zeros((len(names.mass) + STATES + 2, STATES))
         for r in sums:
             every[r["i"]] = r[1:]
-        model = estimated(every[-1], every[CLASSES:-1], every[:CLASSES], names.mass)
-    return model
+        kinds = len(names.mass)
+        if every[:kinds].any():
+            rounds.append(float(every[-1, 0] / every[:kinds].sum()))
+            model = estimated(every[-2], every[kinds:-2], every[:kinds], names.mass)
+        given.unpersist()
+    return model, rounds
+
+
+_SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+
+
+def block_scores(row: dict, count: np.ndarray, model: Model, names: Classes) -> pa.Table:
+    """The scores of a block's documents; count: training counts of its words."""
+    h, sizes = np.frombuffer(row["words"], U64), np.array(row["sizes"], dtype=np.int64)
+    codes = unpacked_codes(row["codes"], int(sizes.sum()))
+    cls = names.of(h, np.frombuffer(row["suffixes"], np.uint16))
+    of = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+    doc_sum = lambda per_word: np.bincount(of, weights=per_word[codes], minlength=len(sizes))
+    floor = np.log10(names.tokens + names.kinds + 1)
+    base = doc_sum(np.log10(count + 1.0) - floor) + np.log10(names.mass[-1] + 1.0) - floor
+    known = doc_sum((count > 0).astype(float)).round().astype(np.int64) + (names.mass[-1] > 0)
+    inside = doc_sum(names.word_share(cls, count))
+    seq, full = _with_ends(cls, codes, sizes, names.end)
+    chain = log_likelihood(model, seq, np.cumsum(full) - full, full) / np.log(10)
+    return pa.table(
+        {
+            "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(full), "n_known": pa.array(known),
+            "train_tokens": pa.array(np.full(len(full), names.tokens)), "base_score": pa.array(base), "score": pa.array(inside + chain),
+        }
+    )
 
 
 def scored(docs: DataFrame) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text).
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text; other columns are left alone).
 
     Null, empty and blank texts are the end token alone. Rows with a null doc_id are in training, as those of the other
-    folds; repeated rows count as often as they stand. An empty table gives no rows.
+    folds; repeated rows count as often as they stand. Words that tie for a class of their own are taken in the order of
+    their hashes. Very long texts are scored whole. An empty table gives no rows.
     """
     spark = docs.sparkSession
     table = written(blocks(docs), "blocks")
-    met = written(vocabulary(table), "vocabulary")
-    in_training = table.select(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("n")).first()["n"]
-    names = classes(met, int(in_training))
-    model = trained(table, first_guess(docs, names), names)
-
-    def explode(batches):
-        for batch in batches:
-            for block, w in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = np.frombuffer(w, np.int64)
-                for a in range(0, len(h), 100_000):
-                    part = h[a : a + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), block)), pa.array(np.arange(a, a + len(part), dtype=np.int32)), pa.array(part)], names=["block", "place", "h"])
-
-    counts = table.select("block", "words").mapInArrow(explode, "block long, place int, h long").join(met.select("h", "c"), "h").select("block", "place", "c")
+    one = table.agg(F.coalesce(F.sum(F.size(F.filter("held", lambda x: ~x))), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("words")), F.lit(0)).alias("w")).first()
+    parts = max(16, int(one["w"]) // 8 // _PART)
+    answers = written(counted(table, parts), "answers")
+    names = classes(vocabulary(answers), int(one["n"]))
+    model, _ = trained(table, names)
     given = spark.sparkContext.broadcast((model, names))
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
-        now, called = given.value
-        out = []
-        place, c = right["place"].to_numpy(), right["c"].to_numpy()
-        for row in left.to_pylist():
-            h, sizes = np.frombuffer(row["words"], U64), np.array(row["sizes"], dtype=np.int64)
-            codes = unpacked_codes(row["codes"], int(sizes.sum()))
+        replies = dict(zip(right["part"].to_pylist(), right["counts"].to_pylist(), strict=True))
+        out = [_NONE]
+        for i in range(left.num_rows):
+            row = left.slice(i, 1).to_pylist()[0]
+            h = np.frombuffer(row["words"], U64)
+            order, named, first = _parts_of(h, parts)
             count = np.zeros(len(h), dtype=np.int64)
-            count[place] = c
-            cls = called.of(h, np.frombuffer(row["suffixes"], np.uint16))
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            doc_sum = lambda per_word, codes=codes, of=of, n=len(sizes): np.bincount(of, weights=per_word[codes], minlength=n)
-            floor = np.log10(called.tokens + called.kinds + 1)
-            base = doc_sum(np.log10(count + 1.0) - floor) + np.log10(called.mass[END] + 1.0) - floor
-            seq, full = _with_ends(cls, codes, sizes)
-            chain = log_likelihood(now, seq, np.cumsum(full) - full, full) / np.log(10)
-            known = doc_sum((count > 0).astype(float)).round().astype(np.int64) + (called.mass[END] > 0)
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": pa.array(row["doc_ids"], pa.int64()), "held_out": pa.array(row["held"], pa.bool_()), "n_tokens": pa.array(full), "n_known": pa.array(known),
-                        "train_tokens": pa.array(np.full(len(full), called.tokens)), "base_score": pa.array(base), "score": pa.array(doc_sum(called.word_share(cls, count)) + chain),
-                    }
-                )
-            )
-        return pa.concat_tables(out) if out else _NONE
+            for p, a, b in zip(named.tolist(), first, [*first[1:], len(order)], strict=True):
+                count[order[a:b]] = unpacked_counts(replies[p], b - a)
+            out.append(block_scores(row, count, *given.value))
+        return pa.concat_tables(out)
 
     rows = table.select("block", "doc_ids", "held", "sizes", "codes", "words", "suffixes")
-    return rows.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    replies = answers.filter("block <> -1").select("block", "part", "counts")
+    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(score, _SCORES)
 
 
 _NONE = pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})

@@ -265,26 +265,95 @@ def test_hmm_base_and_likelihood(docs, none):
     assert hmm.scored(none).count() == 0
 
 
-def test_forward_equals_the_sum_over_all_paths():
-    rng = np.random.default_rng(0)
-    k = 3
+def _random_model(rng, states, kinds):
     norm = lambda x: x / x.sum(axis=-1, keepdims=True)
-    model = hmm.Model(norm(rng.random(k)), norm(rng.random(k)), norm(rng.random((k, k))), norm(rng.random((k, hmm.CLASSES))).T)
-    seq, sizes = np.array([5, 9, 5, hmm.END, 7, hmm.END]), np.array([4, 2])
-    got = hmm.log_likelihood(model, seq, np.array([0, 4]), sizes)
-    for value, s in zip(got, (seq[:4], seq[4:]), strict=True):
-        total = 0.0
-        for path in np.ndindex(*[k] * len(s)):
-            p = model.start[path[0]] * model.emits[s[0], path[0]]
-            for t in range(1, len(s)):
-                p *= model.moves[path[t - 1], path[t]] * model.emits[s[t], path[t]]
-            total += p
-        assert value == pytest.approx(math.log(total))
-    before = hmm.log_likelihood(model, seq, np.array([0, 4]), sizes).sum()
-    starts, moves, emits = hmm.expected_counts(model, seq, np.array([0, 4]), sizes, np.array([True, True]))
-    assert starts.sum() == pytest.approx(2, rel=1e-4) and moves.sum() == pytest.approx(4, rel=1e-4) and emits.sum() == pytest.approx(6, rel=1e-4)
-    better = hmm.Model(norm(starts), model.occupied, norm(moves), (emits / emits.sum(axis=0)))
-    assert hmm.log_likelihood(better, seq, np.array([0, 4]), sizes).sum() > before
+    return hmm.Model(norm(rng.random(states)), norm(rng.random(states)), norm(rng.random((states, states))), norm(rng.random((states, kinds))).T)
+
+
+def _path_sums(model, s):
+    """(probability, expected starts, moves, emits) of one sequence, over all paths of states."""
+    k, total = len(model.start), 0.0
+    starts, moves, emits = np.zeros(k), np.zeros((k, k)), np.zeros(model.emits.shape)
+    for path in np.ndindex(*[k] * len(s)):
+        p = model.start[path[0]] * model.emits[s[0], path[0]]
+        for t in range(1, len(s)):
+            p *= model.moves[path[t - 1], path[t]] * model.emits[s[t], path[t]]
+        total += p
+        starts[path[0]] += p
+        for t in range(len(s)):
+            emits[s[t], path[t]] += p
+            if t:
+                moves[path[t - 1], path[t]] += p
+    return total, starts / total, moves / total, emits / total
+
+
+def test_forward_and_counts_equal_the_sum_over_all_paths():
+    rng = np.random.default_rng(0)
+    model = _random_model(rng, 3, 12)
+    seq, sizes = np.array([5, 9, 5, 11, 7, 11]), np.array([4, 2])
+    brute = [_path_sums(model, s) for s in (seq[:4], seq[4:])]
+    assert hmm.log_likelihood(model, seq, np.array([0, 4]), sizes) == pytest.approx([math.log(p) for p, *_ in brute])
+    starts, moves, emits, total = hmm.summed(model, seq, sizes)
+    assert starts == pytest.approx(sum(x[1] for x in brute), rel=1e-4) and moves == pytest.approx(sum(x[2] for x in brute), rel=1e-4)
+    assert emits == pytest.approx(sum(x[3] for x in brute), rel=1e-4) and total == pytest.approx(sum(math.log(x[0]) for x in brute), rel=1e-4)
+    better = hmm.Model(starts / starts.sum(), model.occupied, moves / moves.sum(axis=1, keepdims=True), emits / emits.sum(axis=0))
+    assert hmm.log_likelihood(better, seq, np.array([0, 4]), sizes).sum() > hmm.log_likelihood(model, seq, np.array([0, 4]), sizes).sum()
+
+
+def test_segments_lose_no_token_and_no_move():
+    rng = np.random.default_rng(1)
+    model, sizes = _random_model(rng, 4, 30), np.array([1, 300, 70, 512, 33])
+    model.moves = 0.5 * model.moves + 0.5 * np.eye(4)
+    seq = rng.integers(0, 30, sizes.sum())
+    cut, whole = hmm.expected_counts(model, seq, hmm.segments(sizes, 64, 16)), hmm.expected_counts(model, seq, hmm.segments(sizes, 1000, 0))
+    assert cut[2].sum() == pytest.approx(sizes.sum(), rel=1e-5) and cut[1].sum() == pytest.approx((sizes - 1).sum(), rel=1e-5)
+    for x, y in zip(cut[:3], whole[:3], strict=True):
+        assert np.abs(x - y).max() < 0.02 * y.max()
+    assert cut[3] == pytest.approx(whole[3], rel=1e-3)
+
+
+def test_hmm_training_and_scores_over_partitions(spark, docs, monkeypatch):
+    """One round over several blocks and tasks equals one over the classes of all texts, and scores equal the plain formula."""
+    texts = _texts()
+    held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in range(len(texts))]
+    tokens = [(t or "").encode().lower().split() for t in texts]
+    count = collections.Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
+    monkeypatch.setattr(hmm, "LEAST_OWN", 16)
+    monkeypatch.setattr(hmm, "OWN_GROWTH", 0.5)
+    for name, value in (("SHARES", 1), ("FIRST_PASSES", 0), ("ROUNDS", 1)):
+        monkeypatch.setattr(hmm, name, value)
+    monkeypatch.setattr(hmm, "BLOCK_TOKENS", 900)
+    seen = {}
+
+    def spied(table, names, plain=hmm.trained):
+        seen["names"], seen["table"] = names, table
+        seen["model"], seen["rounds"] = plain(table, names)
+        return seen["model"], seen["rounds"]
+
+    monkeypatch.setattr(hmm, "trained", spied)
+    got = by_id(hmm.scored(docs))
+    names, model = seen["names"], seen["model"]
+    assert seen["table"].count() >= 3 and len(names.own) == 16
+    hashed = {}
+    for w in {w for t in tokens for w in t}:
+        h, suffix, _ = hmm.word_tables(pa.array([w.decode()]))
+        hashed[w] = int(names.of(h, suffix)[0])
+    in_class, mass = collections.Counter(), collections.Counter()
+    for w, n in count.items():
+        in_class[hashed[w]] += n + 1
+        mass[hashed[w]] += n
+    assert all(names.mass[c] == n for c, n in mass.items()) and names.mass[-1] == held.count(False)
+    seqs = [[*(hashed[w] for w in t), names.end] for t in tokens]
+    kept = [s for s, h in zip(seqs, held, strict=True) if not h]
+    first = hmm.random_states(names)
+    plain = hmm.expected_counts(first, np.concatenate(kept), hmm.segments(np.array([len(s) for s in kept]), 10**6, 0))
+    expected = hmm.estimated(*plain[:3], names.mass)
+    assert model.moves == pytest.approx(expected.moves, abs=2e-3) and model.emits == pytest.approx(expected.emits, abs=2e-3)
+    for i, s in enumerate(seqs):
+        value = hmm.log_likelihood(model, np.array(s), np.array([0]), np.array([len(s)]))[0] / math.log(10)
+        own = len(names.own)
+        value += sum(math.log10((count[w] + 1) / (in_class[hashed[w]] + 1)) for w in tokens[i] if hashed[w] >= own)
+        assert got[i]["score"] == pytest.approx(value)
 
 
 def test_shards_are_even_and_keep_groups(spark, docs, none):
