@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -11,7 +12,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.llm import hmm, labelled, minhash_join, mixing, packing, quality_knn, sharding, simhash, token_files, toxicity, vafile
+from sievegrid.llm import hmm, labelled, minhash_join, mixing, packing, quality_knn, sharding, simhash, textbytes, token_files, toxicity, vafile
 from sievegrid.llm.shared import new_path
 from sievegrid.llm.tokens import Encoder, tokenizer_path
 
@@ -115,6 +116,28 @@ def test_bin_plan_is_close_to_the_bound():
         assert bins <= 1.04 * sum(n * c for n, c in lengths.items()) / capacity + 1 or bins <= sum(c for n, c in lengths.items() if 2 * n > capacity) * 1.02 + 1
 
 
+def plain_goals(names, sizes):
+    """Targets one word at a time: words go to the source that is furthest below its weight, unless it is at twice its size."""
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}
+    given, step = dict.fromkeys(names, 0.0), 0.25
+    for _ in range(round(1.5 * sum(sizes.values()) / step)):
+        free = [s for s in names if given[s] < 2 * sizes[s]]
+        given[min(free, key=lambda s: given[s] / weight[s])] += step
+    return given
+
+
+def test_shard_draws_give_all_slots_out():
+    slots = np.array([1000, 0, 17, 123456])
+    drawn = [mixing.shard_counts(slots, 13, k) for k in range(13)]
+    assert (sum(c for c, _ in drawn) == slots).all() and all((drawn[k][1] == sum((c for c, _ in drawn[:k]), np.zeros(4))).all() for k in range(13))
+    assert max(abs(c[3] - 123456 / 13) for c, _ in drawn) < 6 * (123456 / 13) ** 0.5
+
+
+def test_mixture_does_not_depend_on_the_files(docs):
+    taken = lambda d: sorted((r["doc_id"], r["taken"]) for r in (lambda s, p: s.join(p.groupBy("row").agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("times")).alias("taken")), "row"))(*mixing.mixed(d, block_words=8)).collect())
+    assert taken(docs) == taken(docs.repartition(7).sortWithinPartitions(F.desc("doc_id")))
+
+
 def test_mixture_targets_and_bounds(docs, none):
     sized, passages = mixing.mixed(docs, block_words=8)
     taken = passages.groupBy("row").agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("times")).alias("taken"))
@@ -125,11 +148,11 @@ def test_mixture_targets_and_bounds(docs, none):
         assert 0 <= r["taken"] <= 2 * r["size"]
         sizes[r["source"]] += r["size"]
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
-    goals = dict(zip(names, mixing.targets([sizes[s] for s in names], [(3, 1, 2)[k % 3] for k in range(len(names))]), strict=True))
-    assert sum(goals.values()) == pytest.approx(1.5 * sum(sizes.values())) and all(goals[s] <= 2 * sizes[s] + 1e-9 for s in names)
+    goals = plain_goals(names, sizes)
+    assert sum(goals.values()) == pytest.approx(1.5 * sum(sizes.values()), abs=1)
     got = collections.defaultdict(int)
     for r in rows:
-        assert (r["source_size"], r["target"]) == (sizes[r["source"]], pytest.approx(goals[r["source"]]))
+        assert (r["source_size"], r["target"]) == (sizes[r["source"]], pytest.approx(goals[r["source"]], abs=2))
         got[r["source"]] += r["taken"]
     assert all(abs(got[s] - goals[s]) <= 16 for s in names)
     assert mixing.mixed(none)[0].count() == 0 and mixing.mixed(none)[1].count() == 0
@@ -203,6 +226,48 @@ def test_simhash_of_edited_texts(docs, none, spark):
     assert rows[9]["print"] == rows[10]["print"] and simhash.compared(none).count() == 0
 
 
+def plain_print(text):
+    """Votes of the 2-word shingles, one by one; only the hash of a shingle is the operator's."""
+    shingles, _ = simhash.pair_hashes(*simhash.word_hashes(pa.array([text])))
+    votes = [0] * 128
+    for h in shingles:
+        for w in range(2):
+            x = int(simhash.mix64(np.array([h]) ^ simhash._SALT[w])[0])
+            for b in range(64):
+                votes[64 * w + b] += 1 if x >> (63 - b) & 1 else -1
+    return sum((v > 0) << (127 - k) for k, v in enumerate(votes)).to_bytes(16, "big")
+
+
+def test_prints_and_likeness_equal_plain_ones(spark):
+    texts = ["one two three two three", "one two three two four", "", None, "Word", "a b " * 40, "ä ö\nü"]
+    rows = by_id(simhash.compared(spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, print string")))
+    for i, t in enumerate(texts):
+        t, n = t or "", texts[i - 1] or ""
+        k = len(t) // 3
+        mine, edited, following = plain_print(t), plain_print(t[: len(t) - k] + n[:k]), plain_print(n)
+        same = lambda a, b: 1 - (int.from_bytes(a, "big") ^ int.from_bytes(b, "big")).bit_count() / 128
+        assert (bytes(rows[i]["print"]), bytes(rows[i]["edited_print"])) == (mine, edited)
+        assert (rows[i]["near_edited"], rows[i]["near_next"]) == (same(mine, edited), same(mine, following))
+
+
+def test_simhash_of_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([(None, "x y"), (3, "b"), (3, "b"), (3, "a"), (None, None)], "doc_id long, text string")
+    rows = simhash.compared(df).collect()
+    assert len(rows) == 5 and sorted(r["n_chars"] for r in rows) == [0, 1, 1, 1, 3] and sum(r["near_next"] == 1.0 for r in rows) >= 1
+
+
+def test_long_texts_in_pieces_equal_whole_ones(monkeypatch):
+    rng = random.Random(11)
+    texts = pa.array([_text(3000, rng), "short one", None, "x" * 9000, _text(500, rng)])
+    whole = [textbytes.word_hashes(texts)[0], quality_knn.terms(texts), simhash.fingerprints(texts), *toxicity.features(texts)]
+    for module in (textbytes, quality_knn):
+        monkeypatch.setattr(module, "SLICE_BYTES", 700)
+    monkeypatch.setattr(simhash, "_VOTERS_AT_ONCE", 50)
+    pieces = [textbytes.word_hashes(texts)[0], quality_knn.terms(texts), simhash.fingerprints(texts), *toxicity.features(texts)]
+    for a, b in zip(whole, pieces, strict=True):
+        assert np.allclose(a, b) if a.dtype == np.float32 else (a == b).all()
+
+
 def test_block_tables_find_all_within_the_radius(spark):
     rng = random.Random(4)
     base, prints = [rng.getrandbits(128) for _ in range(20)], []
@@ -490,6 +555,75 @@ def test_quality_on_held_out_rows(spark):
     assert by_id(quality_knn.scored(docs, labels.filter("false")))[1]["score"] == 0
 
 
+def test_quality_votes_equal_plain_ones(spark):
+    """Terms counted one by one, cosines and votes in plain loops, in the fitted space."""
+    docs, labels, rows = _labelled(spark)
+    model = quality_knn.trained(docs, labels, each=40)
+    got = by_id(quality_knn.scored(docs.withColumn("score", F.lit("x")).withColumn("label", F.lit(5)), labels, each=40))
+    for i in (0, 3, 11, 26, 77):
+        b = rows[i][1].encode()
+        x = np.zeros(quality_knn.DIMENSIONS)
+        for k in range(len(b) - 2):
+            x[((b[k] * 961 + b[k + 1] * 31 + b[k + 2]) * 2654435761 & 0xFFFFFFFF) >> 21] += 1
+            kinds = [int(quality_knn._KIND[c]) for c in b[k : k + 3]]
+            x[2048 + kinds[0] * 64 + kinds[1] * 8 + kinds[2]] += 1
+        x /= len(b) - 2
+        x[:2048] *= 0.5
+        words = b.split()
+        for k in (1, 2):
+            share = sum(p == q for p, q in zip(words, words[k:], strict=False)) / len(words)
+            x[2560 + 2 * k - 2 : 2560 + 2 * k] = share, 1 - share
+        v = (np.sqrt(x) * model.weight) @ model.basis
+        near = sorted(((float(v @ u) / np.linalg.norm(v), y) for u, y in zip(model.vectors, model.labels, strict=True)), reverse=True)[: quality_knn.NEIGHBOURS]
+        votes = [(c**quality_knn.SHARPNESS, y) for c, y in near]
+        assert got[i]["score"] == pytest.approx(sum(w * y for w, y in votes) / sum(w for w, _ in votes), abs=0.01)
+
+
+def test_toxicity_scores_equal_plain_ones(spark):
+    docs, labels, rows = _labelled(spark)
+    model = toxicity.trained(docs, labels)
+    got = by_id(toxicity.scored(docs.withColumn("score", F.lit("x")).withColumn("f", F.lit(1)), labels))
+    weight = dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    for i in (0, 1, 8, 41):
+        found = set()
+        for w in re.findall(rb"[a-z\x80-\xff]+", rows[i][1].lower().encode()):
+            whole = lambda s: int(textbytes.span_hashes(np.frombuffer(s, np.uint8), np.array([0]), np.array([len(s)]))[0])
+            found.add(whole(w))
+            found |= {int(textbytes.mix64(np.array([whole(w[:n]) ^ n], dtype=np.uint64))[0]) for n in (4, 5, 6) if len(w) >= n}
+        z = model.bias + sum(weight.get(f, 0.0) for f in found)
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-z)))
+
+
+def test_shards_cut_hardly_more_links_than_a_plain_placing(spark):
+    rng = random.Random(12)
+    texts = [t for g in range(30) for t in [f"group {g} " + "w " * rng.randint(5, 60)] * rng.randint(2, 12)]
+    texts += ["hot " + "x " * 20] * 150 + [f"single {i} " + "y " * rng.randint(0, 40) for i in range(200)]
+    rng.shuffle(texts)
+    rows = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)).collect()
+
+    def cut(places):
+        groups = collections.defaultdict(collections.Counter)
+        for i, shard in places:
+            groups[texts[i]][shard] += 1
+        return sum((sum(c.values()) ** 2 - sum(n * n for n in c.values())) // 2 for c in groups.values())
+
+    loads, plain = [0] * 8, []
+    capacity = sum(len(t) + 1 for t in texts) / 8
+    members = collections.defaultdict(list)
+    for i, t in enumerate(texts):
+        members[t].append(i)
+    for t in sorted(members, key=lambda t: -len(members[t]) * len(t)):
+        k = min(range(8), key=lambda k: loads[k])
+        for i in members[t]:
+            if loads[k] + len(t) + 1 > capacity * 1.02:
+                k = min(range(8), key=lambda k: loads[k])
+            loads[k] += len(t) + 1
+            plain.append((i, k))
+    assert cut((r["doc_id"], r["shard"]) for r in rows) <= 1.3 * cut(plain)
+    again = sharding.sharded(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)).collect()
+    assert sorted((r["doc_id"], r["shard"]) for r in rows if texts[r["doc_id"]].startswith("single")) == sorted((r["doc_id"], r["shard"]) for r in again if texts[r["doc_id"]].startswith("single"))
+
+
 def test_encoder_equals_the_library():
     texts = [t or "" for t in _texts()] + ["  lead", "trail  ", "\n\n a\n  b\t c", "ab12 cd", "x" * 5000]
     e = Encoder.of(tokenizer_path())
