@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sievegrid.llm.shared import documents, dropped, written
+from sievegrid.llm.shared import documents, dropped, joined, written
 from sievegrid.llm.textbytes import U64, mix64, pair_hashes, slices, tidy, word_hashes
 
 COORDINATES = 24
@@ -275,10 +275,10 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def _star(links: DataFrame, large: bool) -> DataFrame:
-    """One step of star contraction; links (u, v) have u > v."""
+    """One step of star contraction; links (u, v) have u > v. A hub's links stay where they are and look its least neighbour up."""
     both = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links
-    low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-    near = both.join(low, "u")
+    low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("links")).select("u", F.least("u", "m").alias("m"), "links")
+    near = joined(both, low, "u", "links", (2 if large else 1) * links.count())
     if large:
         out = near.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
@@ -316,7 +316,7 @@ def kept_rows(numbered: DataFrame) -> DataFrame:
     """row, doc_id, n_shingles, component_id, kept of a written table whose rows (row, doc_id, text) are numbered."""
     sets = written(signed(numbered), "signed")
     full = sets.filter("n_shingles > 0")
-    classes = written(full.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first")), "classes")
+    classes = written(full.groupBy("key").agg(F.first("n_shingles").alias("n_shingles"), F.first("marks").alias("marks"), F.first("tokens").alias("tokens"), F.min(F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "row")).alias("first"), F.count("*").alias("copies")), "classes")
     posted = written(postings(classes), "postings")
     star = written(candidates(posted, None, star=True), "pairs")
     shingles = written(full_sets(numbered, classes, star), "sets")
@@ -328,12 +328,14 @@ def kept_rows(numbered: DataFrame) -> DataFrame:
         if not more.isEmpty():
             labels = written(components(labels.select(F.col("key").alias("a"), F.col("component").alias("b")).union(more)), "labels")
     dropped(posted, star, shingles, rest)
-    known = classes.select("key", "first").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = known.groupBy("component").agg(F.min("first").alias("least"))
-    member = written(known.join(least, "component").select("key", "least"), "member")
-    out = sets.select("row", "doc_id", "n_shingles", "key").join(member, "key", "left")
-    alone = F.col("key").isNull()
-    return out.select("row", "doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("least.doc_id")).alias("component_id"), (alone | (F.col("row") == F.col("least.row"))).alias("kept"))
+    known = classes.select("key", "first", "copies").join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    least = known.groupBy("component").agg(F.min("first").alias("least"), F.count("*").alias("classes"))
+    member = written(joined(known, least, "component", "classes", classes.count()).select("key", "least", "copies"), "member")
+    dropped(classes, links, labels)
+    rows = sets.select("row", "doc_id", "n_shingles", "key")
+    alone = rows.filter("key is null").select("row", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = joined(rows.filter("key is not null"), member, "key", "copies", rows.count())
+    return found.select("row", "doc_id", "n_shingles", F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept")).union(alone)
 
 
 def op3_minhash_join(spark: SparkSession, sf_dir: str) -> DataFrame:

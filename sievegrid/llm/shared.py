@@ -85,11 +85,11 @@ def joined(rows: DataFrame, table: DataFrame, key: str, often: str, total: int)
 def running_totals(df: DataFrame, key: str, order: list[str], amount: Column, total: str, buckets: int | None = None, bucket: Column | None = None) -> DataFrame:
     """Adds column `total`: the sum of `amount` over the rows of the same key that come before, ordered by the bucket and then by `order`.
 
-    A key may hold most of the rows: they are dealt over hash buckets of `order`, one for each BUCKET_ROWS rows and 64 at least, or
+    A key may hold most of the rows: they are dealt over hash buckets of `order`, one for each BUCKET_ROWS rows and 512 at least, or
     over the buckets given, that are summed apart, and only one row for each key and bucket is ordered by key alone.
     """
     if buckets is None and bucket is None:
-        buckets = max(64, df.count() // BUCKET_ROWS)
+        buckets = max(512, df.count() // BUCKET_ROWS)
     cut = df.withColumn("_amount", amount).withColumn("_bucket", bucket_of(order, buckets) if bucket is None else bucket)
     sums = cut.groupBy(key, "_bucket").agg(F.sum("_amount").alias("_sum"))
     before = Window.partitionBy(key).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
