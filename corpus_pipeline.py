@@ -1,6 +1,9 @@
 """A corpus pipeline of five stages, from raw documents to packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+
+Rows with nulls in any column go through all stages: a null text is a text without words, is not toxic for that, and scores
+0 for quality where anyone votes. Rows that repeat or share a doc_id count each by itself. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -8,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievegrid.llm import minhash_join, mixing, packing, quality_knn, toxicity
-from sievegrid.llm.shared import documents, written
+from sievegrid.llm.shared import documents, dropped, written
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +48,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written and read again."""
+    """All stages over documents; each result is written and read again, and dropped when the next one is there."""
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, docs = docs, written(stage(spark, docs, sf_dir), name)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
