@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sievegrid.llm.minhash_join import components
-from sievegrid.llm.shared import documents, dropped, freed, written
+from sievegrid.llm.shared import documents, dropped, freed, joined, written
 from sievegrid.llm.textbytes import U64, mix64, pair_hashes, slices, tidy, word_hashes
 
 WORDS64 = 2
@@ -174,11 +174,11 @@ def links_of_lists(prints: np.ndarray, mask: np.ndarray, radius: int) -> tuple[n
 
 
 def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """key, near_class for the fingerprints in prints (key, first_id): the smallest first_id that chains of steps within the radius reach.
+    """key, near_class, copies for the fingerprints in prints (key, first_id): the smallest first_id that chains of steps within the radius reach, and rows of the fingerprint.
 
-    The fingerprint of texts without words is near no other one.
+    The fingerprint of texts without words is near no other one. Null ids come last; a class of null ids only has null.
     """
-    classes = written(prints.groupBy("key").agg(F.min("first_id").alias("first_id")), "prints")
+    classes = written(prints.groupBy("key").agg(F.min("first_id").alias("first_id"), F.count("*").alias("copies")), "prints")
     worded = classes.filter(F.col("key") != F.lit(bytes(BITS // 8)))
     parts = max(64, worded.count() // _PART)
     masks, links = table_masks(radius), []
@@ -196,15 +196,18 @@ def linked(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     labels = written(components(functools.reduce(DataFrame.union, links)), "labels")
     dropped(*links)
     known = classes.join(labels, "key", "left").withColumn("component", F.coalesce("component", "key"))
-    least = known.groupBy("component").agg(F.min("first_id").alias("near_class"))
-    return known.join(least, "component").select("key", "near_class")
+    least = known.groupBy("component").agg(F.min("first_id").alias("near_class"), F.count("*").alias("classes"))
+    out = written(joined(known, least, "component", "classes", classes.count()).select("key", "near_class", "copies"), "near-class")
+    dropped(classes, labels)
+    return out
 
 
 def compared(docs: DataFrame) -> DataFrame:
     """Each document in descending doc_id beside its edited text and the next document (after the last: the first).
 
     The edited text is the text with its last third of code points replaced by as many of the next document's first.
-    Null texts are empty; equal doc_ids stand in descending order of their texts; a lone document is next to itself.
+    Null texts are empty; equal doc_ids stand in descending order of their texts, so rows that repeat follow each other; rows
+    without a doc_id come last, in the same order; a lone document is next to itself. An empty table gives no rows.
     """
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     ordered = ordered.repartitionByRange(F.desc("doc_id")).sortWithinPartitions(F.desc("doc_id"), F.desc("text"))
@@ -268,7 +271,7 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints of all documents and of their edited texts, and the class of documents within the Hamming radius."""
     rows = compared(documents(spark, sf_dir))
     freed(spark)
-    near = written(linked(rows.select(F.col("print").alias("key"), F.col("doc_id").alias("first_id"))), "near-class")
-    out = rows.join(near.withColumnRenamed("key", "print"), "print")
+    near = linked(rows.select(F.col("print").alias("key"), F.col("doc_id").alias("first_id")))
+    out = joined(rows, near.withColumnRenamed("key", "print"), "print", "copies", rows.count())
     hexed = [F.lower(F.hex(c)).alias(name) for c, name in (("print", "fingerprint"), ("edited_print", "edited_fingerprint"))]
     return out.select("doc_id", "n_chars", "edited_sha256", *hexed, "near_edited", "near_next", "near_class")
