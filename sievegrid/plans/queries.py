@@ -132,7 +132,11 @@ def b04_char_text(spark, d):
     return messages(spark, d).select("doc_id", text.char_text("subject", "text_body").alias("char_text"))
 
 
-@query()
+#: This engine has no look-behind, so the sign before a link is matched too, and the group has the link.
+FOUND_SQL = r"""regexp_extract_all(text, '(?i)(?:^|[^@])\b((?:https?://|www\.)[^\s<>''"]+|(?:[a-z0-9-]+\.)+[a-z]{2,}(?:/[^\s<>''"]*)?)', 1)"""
+
+
+@query(f"SELECT doc_id, unnest(list_distinct(list_transform({FOUND_SQL}, lambda u: rtrim(u, '.,;:!?)。，；')))) AS raw_url FROM documents")
 def b05_extract_urls(spark, d):
     return table(spark, d, "documents").select("doc_id", F.explode(urls.found_urls("text")).alias("raw_url"))
 
