@@ -2,8 +2,9 @@
 
 Every component of a vector falls into one of 256 cells of its dimension; the cells, a byte each, are the
 approximation. A query block scans them all for bounds of the inner product: no vector outside the kept ones can
-reach the k-th best, as k + 1 others have larger lower bounds. Exact vectors are then read best bound first: those
-with the k + 1 best bounds give a k-th score, and only vectors whose bound reaches it are read after them.
+reach the k-th best, as k others have larger lower bounds. Vectors that stand under the query's own vec_id alone are left out
+of the scan, however many there are, so each of those k gives a row. Exact vectors are then read best bound first: those
+with the k best bounds give a k-th score, and only vectors whose bound reaches it are read after them.
 
 The edges of the cells are quantiles of a bounded sample, and the end cells reach to the least and the largest value
 of all vectors, so the bounds hold for every vector and a few huge components leave the other cells as narrow as they were.
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -95,25 +97,26 @@ def cell_edges(distinct: DataFrame, width: int) -> np.ndarray:
 
 
 def approximations(distinct: DataFrame, edges: np.ndarray) -> DataFrame:
-    """place, cells: a byte for each dimension."""
+    """place, sole (the vec_id where the vector has only one), cells: a byte for each dimension."""
 
     def cells(batches):
         for batch in batches:
-            m = _matrix(batch.column(1).to_pylist(), len(edges))
+            m = _matrix(batch.column(2).to_pylist(), len(edges))
             c = np.stack([np.searchsorted(e[1:-1], m[:, d], side="right") for d, e in enumerate(edges)], axis=1).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in c], pa.binary())], names=["place", "cells"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([r.tobytes() for r in c], pa.binary())], names=["place", "sole", "cells"])
 
-    return distinct.select("place", "v").mapInArrow(cells, "place long, cells binary")
+    sole = F.when(F.size("ids") == 1, F.get("ids", F.lit(0))).alias("sole")
+    return distinct.select("place", sole, "v").mapInArrow(cells, "place long, sole long, cells binary")
 
 
-def _scan(queries: np.ndarray, numbers: np.ndarray, edges: np.ndarray, top: int):
-    """(query, place, least, most) of the vectors whose upper bound reaches the (top + 1)-th largest lower bound of the task."""
+def _scan(queries: np.ndarray, numbers: np.ndarray, ids: np.ndarray, edges: np.ndarray, top: int):
+    """(query, place, least, most) of the vectors whose upper bound reaches the top-th largest lower bound of the task; without those of the query's vec_id only."""
     floats = queries.astype(np.float64)
     up, down, size = np.maximum(floats, 0), np.minimum(floats, 0), np.abs(floats).sum(axis=1)
     dims = np.arange(len(edges))
 
     def run(batches):
-        best = np.full((len(queries), top + 1), -np.inf)
+        best = np.full((len(queries), top), -np.inf)
         kept: list[tuple[np.ndarray, ...]] = []
 
         def sifted():
@@ -124,8 +127,9 @@ def _scan(queries: np.ndarray, numbers: np.ndarray, edges: np.ndarray, top: int)
         for batch in batches:
             for a in range(0, batch.num_rows, _VECTORS_AT_ONCE):
                 part = batch.slice(a, _VECTORS_AT_ONCE)
-                c = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(-1, len(edges)).astype(np.int64)
+                c = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint8).reshape(-1, len(edges)).astype(np.int64)
                 place = part.column(0).to_numpy()
+                sole, known = pc.fill_null(part.column(1), 0).to_numpy(), np.asarray(part.column(1).is_valid())
                 first, last = edges[dims, c].astype(np.float64), (edges[dims, c + 1] - 1).astype(np.float64)
                 most_of_cell = np.maximum(np.abs(first), np.abs(last)).max(axis=1)
                 for z in range(0, len(queries), _QUERIES_AT_ONCE):
@@ -133,10 +137,11 @@ def _scan(queries: np.ndarray, numbers: np.ndarray, edges: np.ndarray, top: int)
                     least, most = up[y] @ first.T + down[y] @ last.T, up[y] @ last.T + down[y] @ first.T
                     large = size[y][:, None] * most_of_cell  # no sum on the way is larger
                     wide = np.where(large < 2.0**52, 0.0, large * len(edges) * 2.0**-50)
-                    least, most = least - wide, most + wide
-                    near = np.partition(np.hstack([best[y], least]), -(top + 1), axis=1)[:, -(top + 1) :]
+                    own = known & (ids[y][:, None] == sole)
+                    least, most = np.where(own, -np.inf, least - wide), most + wide
+                    near = np.partition(np.hstack([best[y], least]), -top, axis=1)[:, -top:]
                     best[y] = np.sort(near, axis=1)
-                    q, k = np.nonzero(most >= best[y][:, :1])
+                    q, k = np.nonzero((most >= best[y][:, :1]) & ~own)
                     kept.append((q + z, place[k], least[q, k], most[q, k]))
             if len(kept) > 32:
                 kept = [sifted()]
@@ -201,10 +206,10 @@ def search(vectors: DataFrame, is_query, top: int = TOP) -> DataFrame:
             continue
         numbers, ids = mine["query"].to_numpy().astype(np.int64), mine["vec_id"].to_numpy().astype(np.int64)
         queries = _matrix(mine["v"].to_pylist(), width)
-        found = written(file.mapInArrow(_scan(queries, numbers, edges, top), "query long, place long, least double, most double"), "bounded")
-        floor = _leading(found.select("query", "least"), [F.desc("least")], top + 1, "r").groupBy("query").agg(F.min("least").alias("least_k"), F.count("*").alias("n"))
-        open_ = written(found.join(floor, "query").filter((F.col("n") <= top) | (F.col("most") >= F.col("least_k"))).select("query", "place", "most"), "open")
-        first = _leading(open_, [F.desc("most"), "place"], top + 1, "r").select("query", "place", "most")
+        found = written(file.mapInArrow(_scan(queries, numbers, ids, edges, top), "query long, place long, least double, most double"), "bounded")
+        floor = _leading(found.select("query", "least"), [F.desc("least")], top, "r").groupBy("query").agg(F.min("least").alias("least_k"), F.count("*").alias("n"))
+        open_ = written(found.join(floor, "query").filter((F.col("n") < top) | (F.col("most") >= F.col("least_k"))).select("query", "place", "most"), "open")
+        first = _leading(open_, [F.desc("most"), "place"], top, "r").select("query", "place", "most")
         known = written(_leading(_exact(first, distinct, queries, numbers, ids, width), [F.desc("score"), "vec_id"], top, "rank"), "known")
         sure = known.groupBy("query").agg(F.min("score").alias("kth"), F.count("*").alias("n"))
         later = open_.join(first.select("query", "place"), ["query", "place"], "left_anti").join(sure, "query", "left")

@@ -2,14 +2,16 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
-from sievegrid.llm import fill_in_middle, quality_rules, token_alignment
+from sievegrid.llm import fill_in_middle, quality_rules, token_alignment, vafile
 from sievegrid.llm.labelled import held_out
 from sievegrid.llm.tokens import tokenizer_path
 from tests.llm.plain import plain_alignment
@@ -190,3 +192,20 @@ def test_forest_is_monotonic_and_fits():
     assert ((quality_rules.fit(x, z).scores(x) > 0.5) == (z == 1)).mean() > 0.98
     one = quality_rules.fit(x, np.ones(1500))
     assert (one.scores(x) > 0.999).all() and len(one.roots) == 0
+
+
+def test_va_file_with_many_own_vectors_on_top(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(5)
+    rows = [(20, [10.0 + 0.1 * k, 10.0]) for k in range(30)] + [(3 + k, [1.0 + 0.01 * k, 1.0]) for k in range(5)] + [(9, [10.0, 10.0]), (40, [10.1, 10.0])]
+    rows += [(60 + k, rng.normal(size=2).tolist()) for k in range(60)]
+    docs = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    got = collections.defaultdict(list)
+    for r in vafile.search(docs, F.col("vec_id") % 20 == 0, 4).collect():
+        got[r["query_id"], r["query"]].append((r["rank"], r["vec_id"], r["score"]))
+    vectors = sorted({(i, tuple(math.floor(64 * c) for c in v)) for i, v in rows})
+    brute = []
+    for q, u in (p for p in vectors if p[0] % 20 == 0):
+        scores = sorted((-sum(a * b for a, b in zip(u, v, strict=True)), i) for i, v in vectors if i != q)[:4]
+        brute.append((q, [(k + 1, i, -s) for k, (s, i) in enumerate(scores)]))
+    assert sorted((q, sorted(found)) for (q, _), found in got.items()) == sorted(brute) and len(brute) > 30
