@@ -67,11 +67,32 @@ def test_stream_stores_what_the_batch_scores(spark):
     assert got == sorted(tuple(r) for r in batch.collect()) and len(got) > 100
 
 
-def test_a_retried_batch_overwrites_its_own_and_repeats_stay(spark, tmp_path):
+def test_a_batch_is_stored_once_and_repeats_stay(spark, tmp_path):
     rows = scoring._analysed(spark, SF).limit(5)
-    for batch in (0, 0, 1):
-        store.save_analyses(rows, str(tmp_path), batch)
+    assert [store.save_analyses(rows, str(tmp_path), batch) for batch in (0, 0, 1)] == [True, False, True]
     assert {name: store.stored(spark, str(tmp_path), name).count() for name in store.TABLES} == dict.fromkeys(store.TABLES, 10)
+    assert {r["batch_id"]: r["rows"]["emails"] for r in store.commits(spark, str(tmp_path)).collect()} == {0: 5, 1: 5}
+
+
+def test_nothing_of_a_batch_is_seen_before_all_of_it(spark, tmp_path, monkeypatch):
+    rows, folder = scoring._analysed(spark, SF).limit(5), str(tmp_path)
+    assert store.stored(spark, folder, "emails").count() == 0
+    store.save_analyses(rows, folder, 0)
+    real = store.result_tables
+
+    def broken(results, row_id):
+        found = real(results, row_id)
+        return found | {"attachments": found["attachments"].withColumn("filename", F.raise_error(F.lit("lost")).cast("string"))}
+
+    monkeypatch.setattr(store, "result_tables", broken)
+    with pytest.raises(Exception, match="lost"):
+        store.save_analyses(rows, folder, 1)
+    assert spark.read.parquet(f"{folder}/emails").count() == 10  # two tables of the broken batch are there
+    assert {name: store.stored(spark, folder, name).count() for name in store.TABLES} == dict.fromkeys(store.TABLES, 5)
+    monkeypatch.setattr(store, "result_tables", real)
+    assert store.save_analyses(rows, folder, 1)
+    assert {name: store.stored(spark, folder, name).count() for name in store.TABLES} == dict.fromkeys(store.TABLES, 10)
+    assert store.swept(spark, folder) >= 2 and spark.read.parquet(f"{folder}/emails").count() == 10
 
 
 def test_json_lines_blank_and_broken(spark, tmp_path):
