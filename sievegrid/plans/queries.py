@@ -96,12 +96,18 @@ def a13_export_split(spark, d):
     return m.join(raw, F.col("doc_id") == F.col("_id"), "left").groupBy(status.alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("""WITH o AS (SELECT page_id, url, 'old' AS state, page_id AS first_seen FROM pages WHERE page_id % 3 <> 0), n AS (SELECT page_id, url, 'new' AS state, page_id + 1000 AS first_seen FROM pages WHERE page_id % 2 = 0)
-  SELECT coalesce(n.page_id, o.page_id) AS page_id, coalesce(n.url, o.url) AS url, coalesce(n.state, o.state) AS state, coalesce(o.first_seen, n.first_seen) AS first_seen FROM o FULL JOIN n ON o.page_id = n.page_id""")
-def a14_upsert_manifest(spark, d):
+UPSERT_SQL = """WITH o AS (SELECT page_id, url, 'old' AS state, page_id AS first_seen FROM pages WHERE page_id % 3 <> 0), n AS (SELECT page_id, url, 'new' AS state, page_id + 1000 AS first_seen FROM pages WHERE page_id % 2 = 0)
+  SELECT coalesce(n.page_id, o.page_id) AS page_id, coalesce(n.url, o.url) AS url, coalesce(n.state, o.state) AS state, coalesce(o.first_seen, n.first_seen) AS first_seen FROM o FULL JOIN n ON o.page_id = n.page_id"""
+
+
+def _manifests(spark, d):
     p = table(spark, d, "pages").select("page_id", "url")
-    old = p.filter("page_id % 3 <> 0").withColumns({"state": F.lit("old"), "first_seen": F.col("page_id")})
-    new = p.filter("page_id % 2 = 0").withColumns({"state": F.lit("new"), "first_seen": F.col("page_id") + 1000})
+    return p.filter("page_id % 3 <> 0").withColumns({"state": F.lit("old"), "first_seen": F.col("page_id")}), p.filter("page_id % 2 = 0").withColumns({"state": F.lit("new"), "first_seen": F.col("page_id") + 1000})
+
+
+@query(UPSERT_SQL)
+def a14_upsert_manifest(spark, d):
+    old, new = _manifests(spark, d)
     return overview.upserted(old, new, "page_id", "first_seen")
 
 

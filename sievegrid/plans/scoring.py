@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sievegrid.functions import features, intents, message, rules, text
-from sievegrid.operators import multiview, quality
+from sievegrid.operators import multiview, overview, quality
 from sievegrid.plans import views
-from sievegrid.plans.queries import BRAND_WORDS, ENDINGS, INTENT_WORDS, RULE_SCORES, RULED, SENSITIVE_WORDS, URGENT_WORDS, _ruled, _tagged, query
+from sievegrid.plans.analytics import ODD_LINKS, _odd_links
+from sievegrid.plans.queries import BRAND_WORDS, ENDINGS, INTENT_WORDS, RULE_SCORES, RULED, SENSITIVE_WORDS, URGENT_WORDS, UPSERT_SQL, _list, _manifests, _ruled, _tagged, query
 from sievegrid.plans.views import MESSAGES, messages, table
 from sievegrid.sources import files, store
+from sievegrid.sources.keyed import KeyedTable
+from sievegrid.streaming import jobs
 from sievegrid.streaming.jobs import score_stream
 
 LISTS = {"urgent": URGENT_WORDS, "sensitive": SENSITIVE_WORDS, "brands": BRAND_WORDS}
 
 
-def _with_page(spark, d):
+def _with_page(spark, d, docs=None):
     """The messages of _ruled() with the page of their link as html_body, and with people, headers and the text that character models read."""
     pages = table(spark, d, "pages").count()
     page = table(spark, d, "pages").select(F.col("page_id").alias("_p"), F.when(F.col("page_id") % 4 != 0, F.col("html")).otherwise("").alias("html_body"))
     box = lambda c: F.array(message.mailbox(F.concat(F.lit(c), F.lit("@mail.example"))))
-    rows = _ruled(spark, d).withColumn("_p", F.col("doc_id") % pages).join(page, "_p").drop("_p")
+    rows = _ruled(spark, d, docs).withColumn("_p", F.col("doc_id") % pages).join(page, "_p").drop("_p")
     k = F.col("doc_id")
     return rows.withColumns(
         {
@@ -117,6 +120,146 @@ def j01_score_stream(spark, d):
     return store.stored(spark, folder, "detections").select("email_id", "risk_level", "result_label", "final_score", "rule_score")
 
 
+def _arrivals(spark, d, name: str, arrival, count: int) -> tuple[str, list]:
+    """A folder for a stream, and `count` jobs that each put the rows of one arrival (0, 1, …) into it."""
+    folder = files.scratch(spark, "arrivals")
+    rows = table(spark, d, name).withColumn("_k", arrival)
+    return folder, [lambda k=k: rows.filter(F.col("_k") == k).drop("_k").write.mode("append").parquet(folder) for k in range(count)]
+
+
+def _scored_by(stack: multiview.StoredStack, d, docs):
+    """The documents as messages, with features, the stored stack's probabilities, rules and verdict."""
+    rows = intents.with_intent_features(features.with_structure(_with_page(docs.sparkSession, d, docs)), "char_text")
+    kept = rows.withColumns({"_urls": F.col("urls"), "_warnings": F.col("parse_warnings")})  # cleaning has columns of these names
+    rows = text.with_model_text(kept).withColumns({"urls": F.col("_urls"), "parse_warnings": F.col("_warnings")}).drop("_urls", "_warnings")
+    out = rules.analysed(stack.scored(rows, files.scratch(docs.sparkSession, "featured")), F.col("probability"), **LISTS)
+    return out.withColumns({"id": F.concat(F.lit("m"), F.col("doc_id").cast("string")), "model_version": F.lit(stack.version)})
+
+
+@query(f"WITH {ANALYSED} SELECT email_id, rule_score, 3 AS batches, true AS same_as_batch, true AS follows_model FROM verdicts, (SELECT 1)")
+def j01_score_by_stored_stack(spark, d):
+    """Documents that arrive in three batches, scored by a stack that was fitted on the labelled ones and saved, and stored.
+
+    same_as_batch: the probability is that of scoring all documents at once. follows_model: final score, level, label and version follow from the
+    stored probability, the rule score and the stack.
+    """
+    stack = _stack(spark, d).save(files.scratch(spark, "stack"))
+    target, (folder, arrive) = files.scratch(spark, "scored"), _arrivals(spark, d, "documents", F.col("doc_id") % 3, 3)
+    for put in arrive:
+        put()
+        stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(folder)
+        score_stream(stream, lambda batch: _scored_by(stack, d, batch), target, f"{target}/checkpoint").awaitTermination()
+    whole = _scored_by(stack, d, table(spark, d, "documents")).select(F.col("id").alias("email_id"), F.col("probability").alias("_p"))
+    rows = store.stored(spark, target, "detections").join(whole, "email_id", "left")
+    p = F.col("model_probability")
+    follows = (F.col("final_score") == rules.fused(p, F.col("rule_score"))) & (F.col("risk_level") == rules.risk_level(F.col("final_score"))) & (F.col("result_label") == rules.result_label(p)) & (F.col("model_version") == stack.version)
+    batches = F.lit(store.commits(spark, target).count())
+    return rows.select("email_id", "rule_score", batches.cast("int").alias("batches"), (F.abs(p - F.col("_p")) < 1e-9).alias("same_as_batch"), follows.alias("follows_model"))
+
+
+def _linked(spark, d, docs):
+    """The documents as messages with the odd link of a page; only every third shows a user part, so that a link may be an indicator before it looks like one."""
+    pages = table(spark, d, "pages").count()
+    page = _odd_links(spark, d)
+    bare = F.array_remove("suspicious_tokens", "userinfo")
+    names = ["raw_url", "normalized_url", "scheme", "host", "registrable_domain", "port", "path", "query", "is_https", "uses_ip", "is_shortener"]
+    link = page.select(F.col("page_id").alias("_p"), *names, F.col("suspicious_tokens").alias("_all"), bare.alias("_bare"))
+    m = messages(spark, d, docs).withColumn("_p", F.floor(F.col("doc_id") / 2) % pages).join(link, "_p")
+    tokens = F.when(F.col("doc_id") % 3 == 0, F.col("_all")).otherwise(F.col("_bare")).alias("suspicious_tokens")
+    url = F.struct(*names, F.lit("").alias("display_text"), F.lit("").alias("display_domain"), tokens, F.lit(False).alias("blacklist_hit"))
+    none = F.array().cast("array<struct<filename:string,risk_hints:array<string>>>").alias("attachments")
+    sender = message.mailbox(F.lit("a@mail.example"))
+    return m.select(F.col("doc_id").alias("arrival"), F.concat(F.lit("m"), F.col("doc_id").cast("string")).alias("id"), F.col("source_hash").alias("file_hash"), "subject", "text_body", sender.alias("sender"), message.mailbox(F.lit("")).alias("reply_to"), F.array(url).alias("urls"), none, F.array().cast("array<string>").alias("parse_warnings"))
+
+
+_HAS = lambda words: f"len(list_filter({_list(words)}, lambda p: contains(t, p))) > 0"
+STATE_SQL = f"""{MESSAGES}, {ODD_LINKS.split(',\n  fresh AS')[0]}, low AS (SELECT m.doc_id, lower(m.subject || chr(10) || m.text_body) AS t, (m.doc_id // 2) % (SELECT count(*) FROM pages) AS page_id FROM messages m),
+  arrived AS (SELECT low.*, s.url, s.host, s.domain, CASE WHEN s.page_id % 6 = 1 AND low.doc_id % 3 <> 0 THEN s.tokens - 1 ELSE s.tokens END AS tokens FROM low JOIN seen s ON s.page_id = low.page_id),
+  firsts AS (SELECT url, min(doc_id) AS first FROM arrived WHERE tokens > 0 AND url NOT IN (SELECT indicator FROM indicators WHERE indicator_type = 'url') GROUP BY 1),
+  active AS (SELECT DISTINCT indicator_type, indicator FROM indicators WHERE status = 'active'),
+  judged AS (SELECT a.*, u.indicator IS NOT NULL OR r.indicator IS NOT NULL OR h.indicator IS NOT NULL AS known_hit, coalesce(f.first <= a.doc_id, false) AS auto_hit,
+    CASE WHEN {_HAS(URGENT_WORDS)} THEN 10 ELSE 0 END + CASE WHEN {_HAS(SENSITIVE_WORDS)} THEN 15 ELSE 0 END + CASE WHEN len(list_filter({_list(BRAND_WORDS)}, lambda p: contains(t, p) AND NOT contains('mail.example', p))) > 0 THEN 10 ELSE 0 END AS base, f.url AS fresh_url
+    FROM arrived a LEFT JOIN firsts f ON f.url = a.url LEFT JOIN active u ON u.indicator_type = 'url' AND u.indicator = a.url
+    LEFT JOIN active r ON r.indicator_type = 'domain' AND r.indicator = a.domain AND a.domain <> '' LEFT JOIN active h ON h.indicator_type = 'domain' AND h.indicator = a.host)"""
+
+
+@query(f"""WITH {STATE_SQL} SELECT 'm' || doc_id::VARCHAR AS email_id, known_hit OR auto_hit AS blacklist_hit, (base + CASE WHEN any_token THEN 10.0 ELSE 0 END + CASE WHEN known_hit THEN 40 ELSE 0 END)::DOUBLE AS first_rule_score,
+  (base + CASE WHEN any_token THEN 10.0 ELSE 0 END + CASE WHEN known_hit OR auto_hit THEN 40 ELSE 0 END)::DOUBLE AS rule_score FROM (SELECT *, tokens > 0 AS any_token FROM judged)""")
+def j02_score_with_indicators(spark, d):
+    """Messages that arrive in three batches: their links add indicators, and each is judged with what it and those before it have added.
+
+    first_rule_score: the rule score before that, with the known indicators alone.
+    """
+    known, count = views.indicators(spark, d), table(spark, d, "documents").count()
+    target, (folder, arrive) = files.scratch(spark, "watched"), _arrivals(spark, d, "documents", F.floor(F.col("doc_id") * 3 / F.lit(max(count, 1))).cast("int"), 3)
+    score = lambda rows: rules.analysed(rows, F.lit(0.5), **LISTS)
+    for put in arrive:
+        put()
+        stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(folder)
+        jobs.score_with_indicators(stream, lambda batch: _linked(batch.sparkSession, d, batch), known, score, target, f"{target}/checkpoint", parts=16).awaitTermination()
+    before = jobs.with_indicator_hits(_linked(spark, d, table(spark, d, "documents")).withColumn("_row", F.col("arrival")), known)
+    before = rules.evaluated(before, **LISTS).select(F.col("id").alias("email_id"), F.col("rule_score").alias("first_rule_score"))
+    hit = store.stored(spark, target, "email_urls").groupBy("email_id").agg(F.max("blacklist_hit").alias("blacklist_hit"))
+    return store.stored(spark, target, "detections").select("email_id", "rule_score").join(hit, "email_id").join(before, "email_id")
+
+
+@query(f"""WITH {STATE_SQL} SELECT url AS indicator, first AS first_order, (first * 3) // (SELECT count(*) FROM documents) AS first_batch FROM firsts""")
+def j02_indicator_state(spark, d):
+    """The indicators that the messages of j02_score_with_indicators add: each with its first message."""
+    known, docs = views.indicators(spark, d), table(spark, d, "documents")
+    count = docs.count()
+    state = KeyedTable(spark, files.scratch(spark, "state"), jobs.AUTO, "indicator", 16)
+    rows = _linked(spark, d, docs)
+    links = rows.select("arrival", F.explode("urls").alias("_u")).select("arrival", "_u.normalized_url", "_u.suspicious_tokens")
+    for k in range(3):
+        jobs.auto_indicators(state, links.filter(F.floor(F.col("arrival") * 3 / F.lit(max(count, 1))) == k), known, k, "arrival")
+    return state.read().select("indicator", "first_order", "first_batch")
+
+
+EVENT_ARRIVALS = 5
+#: A tenth of the events comes up to twelve days late; arrivals hold six days each.
+_ARRIVAL = "least(4, (datediff('day', DATE '2024-01-01', ts::DATE) + CASE WHEN event_id % 10 = 3 THEN 1 + event_id % 12 ELSE 0 END) // 6)"
+
+
+@query(f"""WITH e AS (SELECT *, {_ARRIVAL} AS k FROM events), m AS (SELECT k, max(ts) AS newest FROM e GROUP BY 1), w AS (SELECT k, max(newest) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 1 DAY AS mark FROM m),
+  j AS (SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, coalesce(date_trunc('day', ts) + INTERVAL 1 DAY <= mark, false) AS late, date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AS closed FROM e JOIN w ON w.k = e.k)
+  SELECT day, event_type, count(*) FILTER (NOT late) AS n, count(*) FILTER (late) AS late FROM j WHERE closed GROUP BY 1, 2""")
+def j03_counts_and_late_rows(spark, d):
+    """A stream of events in five arrivals: the counts of days that are closed, and how many events came too late for them."""
+    day = F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) + F.when(F.col("event_id") % 10 == 3, 1 + F.col("event_id") % 12).otherwise(0)
+    target, (folder, arrive) = files.scratch(spark, "counted"), _arrivals(spark, d, "events", F.least(F.lit(EVENT_ARRIVALS - 1), F.floor(day / 6)).cast("int"), EVENT_ARRIVALS)
+    for put in arrive:
+        put()
+        stream = lambda: spark.readStream.schema(table(spark, d, "events").schema).parquet(folder)
+        running = [jobs.count_stream(stream(), target, f"{target}/checkpoint-counts"), jobs.late_stream(stream(), target, f"{target}/checkpoint-late")]
+        for q in running:
+            q.awaitTermination()
+    counts = spark.read.schema(jobs.DAY_COUNTS).parquet(f"{target}/counts")
+    late = spark.read.parquet(f"{target}/late").groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("late"))
+    both = counts.join(late, ["day", "event_type"], "full")
+    return both.select("day", "event_type", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("late", F.lit(0)).alias("late"))
+
+
+@query("SELECT o_orderkey, o_custkey, o_orderstatus FROM orders WHERE o_orderkey % 100 <> 7")
+def a06_delete_from_partitions(spark, d):
+    """Orders in a keyed table; the deletion rewrites only the partitions that hold one of the keys."""
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
+    store_ = KeyedTable(spark, files.scratch(spark, "orders"), "o_orderkey long, o_custkey long, o_orderstatus string", "o_orderkey", 16)
+    store_.put(orders.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), F.col("o_custkey").cast("long").alias("o_custkey"), "o_orderstatus"))
+    store_.delete(orders.filter("o_orderkey % 100 = 7").select(F.col("o_orderkey").cast("long").alias("o_orderkey")))
+    return store_.read()
+
+
+@query(UPSERT_SQL)
+def a14_upsert_in_place(spark, d):
+    """The manifest as a keyed table: new rows replace old ones in their partitions, and the first time is kept."""
+    old, new = _manifests(spark, d)
+    manifest = KeyedTable(spark, files.scratch(spark, "manifest"), "page_id long, url string, state string, first_seen long", "page_id", 16)
+    manifest.put(old)
+    manifest.put(new, lambda a, b: overview.upserted(a, b, "page_id", "first_seen"))
+    return manifest.read()
+
+
 SCALED_SQL = f"""{STRUCTURE_SQL}, x AS (SELECT doc_id, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in STRUCTURE_VALUES.items())} FROM n)"""
 
 
