@@ -136,15 +136,15 @@ def _scored_by(stack: multiview.StoredStack, d, docs):
     return out.withColumns({"id": F.concat(F.lit("m"), F.col("doc_id").cast("string")), "model_version": F.lit(stack.version)})
 
 
-@query(f"WITH {ANALYSED} SELECT email_id, rule_score, 3 AS batches, true AS same_as_batch, true AS follows_model FROM verdicts, (SELECT 1)")
+@query(f"WITH {ANALYSED} SELECT email_id, rule_score, 2 AS batches, true AS same_as_batch, true AS follows_model FROM verdicts, (SELECT 1)")
 def j01_score_by_stored_stack(spark, d):
-    """Documents that arrive in three batches, scored by a stack that was fitted on the labelled ones and saved, and stored.
+    """Documents that arrive in two batches, scored by a stack that was fitted on the labelled ones and saved, and stored.
 
     same_as_batch: the probability is that of scoring all documents at once. follows_model: final score, level, label and version follow from the
     stored probability, the rule score and the stack.
     """
     stack = _stack(spark, d).save(files.scratch(spark, "stack"))
-    target, (folder, arrive) = files.scratch(spark, "scored"), _arrivals(spark, d, "documents", F.col("doc_id") % 3, 3)
+    target, (folder, arrive) = files.scratch(spark, "scored"), _arrivals(spark, d, "documents", F.col("doc_id") % 2, 2)
     for put in arrive:
         put()
         stream = spark.readStream.schema(table(spark, d, "documents").schema).parquet(folder)
@@ -279,8 +279,15 @@ def _view_rows(spark, d):
     return rows.select(F.col("doc_id").alias("id"), "label", "lang", part.alias("part"), "model_text", "char_text", *features.STRUCTURE, *intents.intent_names())
 
 
+_STACKS: dict[tuple[str, str], multiview.Stack] = {}
+
+
 def _stack(spark, d) -> multiview.Stack:
-    return multiview.Stack(_view_rows(spark, d), files.scratch(spark, "views"))
+    """The stack of a folder of tables; fitted once in an application, as several queries look at the same one."""
+    key = spark.sparkContext.applicationId, d
+    if key not in _STACKS:
+        _STACKS[key] = multiview.Stack(_view_rows(spark, d), files.scratch(spark, "views"))
+    return _STACKS[key]
 
 
 @query()
