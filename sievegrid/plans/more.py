@@ -23,11 +23,20 @@ def a02_read_jsonl(spark, d):
 @query("""SELECT 'labels-' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, doc_id::VARCHAR AS doc_id, CASE quality WHEN 1 THEN 'legitimate' END AS label, toxic::VARCHAR AS toxic FROM labels QUALIFY quality = 1""")
 def a03_read_labelled_csv(spark, d):
     path = files.scratch(spark, "csv")
-    table(spark, d, "labels").orderBy("doc_id").coalesce(1).write.csv(path, header=True)  # one file, as ids count the rows of a file
+    table(spark, d, "labels").orderBy("doc_id").write.csv(path, header=True)  # files in the order of doc_id
     rows = files.read_labelled_csv(spark, path, "doc_id string, quality string, toxic string", "labels", "quality", {"1": "legitimate"})
     return rows.select("id", "doc_id", "label", "toxic")
 
 
+@query("SELECT 'docs-' || lpad((row_number() OVER (ORDER BY doc_id) - 1)::VARCHAR, 6, '0') AS id, doc_id::VARCHAR AS doc_id, sha256(text) AS text_hash, lang FROM documents")
+def a03_read_quoted_csv(spark, d):
+    """Whole texts with line breaks and quotes to quoted CSV and back, numbered by record."""
+    path = files.scratch(spark, "quoted")
+    table(spark, d, "documents").select("doc_id", "text", "lang").orderBy("doc_id").write.csv(path, header=True, quote='"', escape='"', quoteAll=True)
+    rows = files.read_quoted_csv(spark, path, "doc_id string, text string, lang string")
+    return rows.select(F.format_string("docs-%06d", "number").alias("id"), "doc_id", F.sha2("text", 256).alias("text_hash"), "lang")
+
+
 @query(f"WITH {MESSAGES} SELECT doc_id, source, label, source_hash, CASE WHEN doc_id % 3 = 0 THEN 'test' ELSE 'train' END AS split FROM messages")
 def a04_write_split(spark, d):
     path = files.scratch(spark, "split")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -14,7 +14,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the folder that all executors see; a local one only on a local master where none is named, as in tests."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors see")
         at = "file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     return f"{at.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
@@ -35,14 +35,64 @@ def write_jsonl(df: DataFrame, path: str) -> None:
     df.write.option("ignoreNullFields", "false").json(path)
 
 
+#: Bytes of the longest record; beyond it a quote was never closed.
+MOST_RECORD = 64 << 20
+
+
+def _before(amount: str, total: str):
+    """A step that adds `total`: the sum of `amount` over the lines of the same file that come before. Lines are summed by blocks of the file, and blocks in their order."""
+    block = Window.partitionBy("_file", "_block")
+    inside = F.coalesce(F.sum(amount).over(block.orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+    def add(lines: DataFrame) -> DataFrame:
+        sums = lines.groupBy("_file", "_block").agg(F.sum(amount).alias("_sum"))  # a row for each split of a file
+        blocks = Window.partitionBy("_file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+        bases = sums.select("_file", "_block", F.coalesce(F.sum("_sum").over(blocks), F.lit(0)).alias("_base"))
+        return lines.join(bases, ["_file", "_block"]).withColumn(total, F.col("_base") + inside).drop("_base")
+
+    return add
+
+
+def quoted_records(spark: SparkSession, path: str) -> DataFrame:
+    """number, record of the files of a quoted CSV with headers: each record as text, numbered from 0 over all files in the order of their names.
+
+    A quoted field may hold line breaks. Lines are read by as many tasks as the files have splits; a line begins a record where the
+    quotes before it in its file are even in number, which running sums over splits tell. So no task reads more than its split, and
+    only the lines of records over several lines are gathered. Blank lines are no records, headers and byte order marks are left out.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path)
+    lines = lines.select(F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"), "value")
+    kept = scratch(spark, "lines")
+    lines.withColumn("_quotes", (F.length("value") - F.length(F.translate("value", '"', ""))).cast("long")).write.parquet(kept)  # splits stay as they are from here on
+    lines = _before("_quotes", "_open")(spark.read.parquet(kept))
+    start = (F.col("_open") % 2 == 0) & ~F.col("value").isin("", "\r")
+    inside = F.col("_open") % 2 == 1
+    lines = lines.filter(start | inside).withColumn("_start", start.cast("long"))
+    lines = _before("_start", "_earlier")(lines).withColumn("_record", F.col("_earlier") + F.col("_start") - 1)
+    alone = (F.col("_start") == 1) & (F.col("_quotes") % 2 == 0)
+    several = lines.filter(~alone)
+    longest = several.groupBy("_file", "_record").agg(F.sum(F.octet_length("value") + 1).alias("n")).agg(F.max("n")).first()[0] or 0
+    if longest > MOST_RECORD:
+        raise ValueError(f"a record of {longest} bytes: a quote is not closed")
+    in_order = F.array_sort(F.collect_list(F.struct("_block", "_at", "value")))  # at most MOST_RECORD bytes
+    joined = several.groupBy("_file", "_record").agg(F.array_join(F.transform(in_order, lambda x: x["value"]), "\n").alias("value"))
+    records = lines.filter(alone).select("_file", "_record", "value").unionByName(joined)
+    counts = lines.groupBy("_file").agg(F.sum("_start").alias("n"))
+    bases = counts.select("_file", (F.coalesce(F.sum(F.col("n") - 1).over(Window.orderBy("_file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) - 1).alias("_base"))  # a row for each file
+    return records.filter("_record > 0").join(bases, "_file").select((F.col("_record") + F.col("_base")).alias("number"), F.regexp_replace("value", r"\r$", "").alias("record"))
+
+
+def read_quoted_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The columns of schema, in the order of the file's, and number, of every record (see quoted_records)."""
+    options = {"quote": '"', "escape": '"', "multiLine": "true"}
+    return quoted_records(spark, path).select("number", F.from_csv("record", F.lit(schema), options).alias("_r")).select("_r.*", "number")
+
+
 def read_labelled_csv(spark: SparkSession, path: str, schema: str, source: str, label: str, mapping: dict[str, str]) -> DataFrame:
-    """Quoted CSV with a header, with or without a byte order mark; labels are mapped and rows of other labels dropped; id is the source and the padded index of the row in its file."""
-    rows = spark.read.schema(schema).csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    rows = rows.select("*", F.col("_metadata.file_path").alias("_file"), F.monotonically_increasing_id().alias("_at"))  # a file of records over several lines is read by one task, in order
-    first = rows.groupBy("_file").agg(F.min("_at").alias("_first"))
+    """Quoted CSV with headers, with or without a byte order mark; labels are mapped and rows of other labels dropped; id is the source and the padded number of the record."""
     to = F.create_map(*(F.lit(x) for pair in mapping.items() for x in pair))
-    rows = rows.join(first, "_file").withColumn("label", F.try_element_at(to, F.trim(label))).filter("label is not null")
-    return rows.withColumns({"source": F.lit(source), "id": F.format_string("%s-%06d", F.lit(source), F.col("_at") - F.col("_first"))}).drop("_file", "_at", "_first")
+    rows = read_quoted_csv(spark, path, schema).withColumn("label", F.try_element_at(to, F.trim(label))).filter("label is not null")
+    return rows.withColumns({"source": F.lit(source), "id": F.format_string("%s-%06d", F.lit(source), F.col("number"))}).drop("number")
 
 
 def append_once(df: DataFrame, path: str, key: str) -> None:

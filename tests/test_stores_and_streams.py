@@ -150,3 +150,33 @@ def test_a_saved_stack_scores_what_sql_over_its_tables_says(spark, tmp_path):
     assert len(found) == 50 and all(abs(got[i]["fused"] - q) < 1e-9 and abs(got[i]["probability"] - p) < 1e-9 for i, q, p in found)
     with pytest.raises(Exception, match="PATH_NOT_FOUND|does not exist"):
         multiview.StoredStack(spark, str(tmp_path / "nothing"))
+
+
+def test_quoted_csv_is_read_by_many_tasks_like_by_one(spark, tmp_path):
+    rng = random.Random(9)
+    bits = ["plain", 'a "quoted" word', "two\nlines", "\n", "", "x,y", "中文", "\r\nmiddle\r\n", '"', "tail\n\n"]
+    rows = [(str(k), "".join(rng.choice(bits) for _ in range(rng.randint(0, 5))), rng.choice("ab")) for k in range(400)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"'
+    ends = ["\n", "\r\n"]
+    for part in range(2):
+        mine, end = rows[part * 200 : part * 200 + 200], ends[part]
+        body = end.join(["id,text,label", *((end if k % 50 == 0 else "") + ",".join([r[0], quoted(r[1]), r[2]]) for k, r in enumerate(mine))]) + end
+        (tmp_path / f"part-{part}.csv").write_bytes(("﻿" + body).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = files.read_quoted_csv(spark, str(tmp_path), "id string, text string, label string").orderBy("number").collect()
+        assert spark.read.text(str(tmp_path)).rdd.getNumPartitions() > 8
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert [(r["number"], r["id"], r["text"] or "", r["label"]) for r in got] == [(k, *r) for k, r in enumerate(rows)]
+    whole = spark.read.schema("id string, text string, label string").csv(str(tmp_path), header=True, multiLine=True, quote='"', escape='"').collect()
+    plain = lambda r: (r["id"], (r["text"] or "").replace("\r\n", "\n"))  # noqa: E731  (the reader of whole files changes line ends in fields)
+    assert sorted(map(plain, whole)) == sorted(map(plain, got))
+    (tmp_path / "open.csv").write_text('id\n"never closed\n' + "x\n" * 100)
+    most, files.MOST_RECORD = files.MOST_RECORD, 100
+    try:
+        with pytest.raises(ValueError, match="not closed"):
+            files.read_quoted_csv(spark, str(tmp_path / "open.csv"), "id string")
+    finally:
+        files.MOST_RECORD = most
