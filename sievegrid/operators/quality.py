@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,3 +82,46 @@ def roles(path: Column, table: list[tuple[str, str, str]]) -> tuple[Column, Colu
     for pattern, o, r in reversed(table):
         origin, role = F.when(path.contains(pattern), o).otherwise(origin), F.when(path.contains(pattern), r).otherwise(role)
     return origin, role
+
+
+def _row_check(column: str, check: str, arguments: str) -> Column | None:
+    """The condition that a row must meet, or None for checks of another kind."""
+    c, items = F.coalesce(F.col(column).cast("string"), F.lit("")) if column else F.lit(""), arguments.split(",")
+    if check == "absolute_url":
+        return c.rlike(r"^https?://[^/?#]")
+    if check == "one_of":
+        return c.isin(items)
+    if check == "matches":
+        return c.rlike(arguments)
+    if check == "safe_path":  # below the folder, and without a step up
+        return ((c == arguments) | c.startswith(f"{arguments}/")) & ~F.array_contains(F.split(c, "/"), "..")
+    if check == "present_if":
+        other, values = arguments.split("=", 1)
+        return ~F.coalesce(F.col(other).isin(values.split(",")), F.lit(False)) | (F.trim(c) != "")
+    return None
+
+
+def unmet(df: DataFrame, expectations: DataFrame, key: str) -> DataFrame:
+    """row_key, rule of what a table of expectations (column, check, arguments; at most a few hundred rows) finds wrong.
+
+    Checks of a row, all in one pass: absolute_url; one_of (values); matches (a pattern); safe_path (the folder that it must stay in); present_if (other=values).
+    Of a column: key (not empty, a row each), covers (just these values, of which row_key names those that are missing or too many). Of the table: columns (just
+    these; rules missing_column and extra_column). An unknown check, or one on a column that isn't there, is an error.
+    """
+    asked = [(r["column"] or "", r["check"], r["arguments"] or "") for r in expectations.select("column", "check", "arguments").collect()]
+    rows = {f"{c}:{k}": condition for c, k, a in asked if (condition := _row_check(c, k, a)) is not None}
+    parts = [violations(df, key, rows).withColumn("row_key", F.trim("row_key"))] if rows else []
+    for column, check, arguments in asked:
+        if check == "key":
+            parts.append(key_violations(df, column).withColumn("rule", F.concat(F.lit(f"{column}:"), F.col("rule"))))
+        elif check == "covers":
+            wanted = df.sparkSession.createDataFrame([(v,) for v in arguments.split(",")], "row_key string")
+            found = df.select(F.col(column).cast("string").alias("row_key")).distinct()
+            parts.append(wanted.join(found, "row_key", "left_anti").union(found.join(wanted, "row_key", "left_anti")).withColumn("rule", F.lit(f"{column}:covers")))
+        elif check == "columns":
+            wanted = set(arguments.split(","))
+            odd = [(c, "missing_column") for c in sorted(wanted - set(df.columns))] + [(c, "extra_column") for c in sorted(set(df.columns) - wanted)]
+            parts.append(df.sparkSession.createDataFrame(odd, "row_key string, rule string"))
+        elif f"{column}:{check}" not in rows:
+            raise ValueError(f"unknown check: {check}")
+    return reduce(lambda a, b: a.unionByName(b.select("row_key", "rule")), parts).select("row_key", "rule") if parts else df.sparkSession.createDataFrame([], "row_key string, rule string")

@@ -101,11 +101,11 @@ def d10_attach_labels(spark, d):
     return table(spark, d, "documents").select("doc_id").join(labels, "doc_id", "left").withColumn("labelled", F.coalesce("labelled", F.lit(False)))
 
 
-@query("""SELECT count(*) AS labels, count(d.doc_id) AS found, count(*) - count(d.doc_id) AS missing, count(*) = count(d.doc_id) AS complete FROM labels l LEFT JOIN (SELECT doc_id FROM documents WHERE doc_id % 17 <> 0) d ON d.doc_id = l.doc_id""")
+@query("""SELECT count(*) AS documents, count(l.doc_id) AS found, count(*) - count(l.doc_id) AS missing, count(*) = count(l.doc_id) AS complete FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""")
 def d10_label_completeness(spark, d):
-    docs = table(spark, d, "documents").filter("doc_id % 17 <> 0").select("doc_id", F.lit(True).alias("there"))
+    labels = table(spark, d, "labels").select("doc_id", F.lit(True).alias("there"))
     found = F.count("there")
-    return table(spark, d, "labels").join(docs, "doc_id", "left").agg(F.count("*").alias("labels"), found.alias("found"), (F.count("*") - found).alias("missing"), (F.count("*") == found).alias("complete"))
+    return table(spark, d, "documents").join(labels, "doc_id", "left").agg(F.count("*").alias("documents"), found.alias("found"), (F.count("*") - found).alias("missing"), (F.count("*") == found).alias("complete"))
 
 
 # E: aggregations
@@ -291,12 +291,13 @@ def e22_error_breakdown(spark, d):
     return metrics.error_breakdown(scored(spark, d), ["source", "event_type"])
 
 
-@query(f"""WITH {SCORED}, {CLEANED}, e AS (SELECT CASE WHEN s.probability >= 0.5 THEN 'FP' ELSE 'FN' END AS error_type, CASE WHEN length(c.text_body) < 500 THEN 'short' WHEN length(c.text_body) < 5000 THEN 'medium' ELSE 'long' END AS length_band,
-    regexp_matches(c.model_text, '<EMAIL>|<URL>|<NUMBER>')::VARCHAR AS placeholder FROM scored s JOIN cleaned c ON c.id = s.id WHERE (s.probability >= 0.5) <> (s.label = 'phishing'))
+@query(f"""WITH {SCORED}, {CLEANED}, e AS (SELECT CASE WHEN s.probability >= 0.5 THEN 'FP' ELSE 'FN' END AS error_type, CASE WHEN c.id IS NULL THEN '<missing>' WHEN length(c.text_body) < 500 THEN 'short' WHEN length(c.text_body) < 5000 THEN 'medium' ELSE 'long' END AS length_band,
+    coalesce(regexp_matches(c.model_text, '<EMAIL>|<URL>|<NUMBER>')::VARCHAR, '<missing>') AS placeholder FROM scored s LEFT JOIN cleaned c ON c.id = s.id WHERE (s.probability >= 0.5) <> (s.label = 'phishing'))
   SELECT 'length_band' AS dimension, length_band AS value, error_type, count(*) AS n FROM e GROUP BY ALL UNION ALL SELECT 'placeholder', placeholder, error_type, count(*) FROM e GROUP BY ALL""")
 def e22_error_breakdown_by_text(spark, d):
     texts = cleaned(spark, d).select("id", text.length_band("text_body").alias("length_band"), F.col("model_text").rlike("<EMAIL>|<URL>|<NUMBER>").alias("placeholder"))
-    return metrics.error_breakdown(scored(spark, d).join(texts, "id"), ["length_band", "placeholder"])
+    wrong = metrics.errors(scored(spark, d)).join(texts, "id", "left")  # an error without a text stays
+    return metrics.error_breakdown(wrong.withColumns({c: F.coalesce(F.col(c).cast("string"), F.lit("<missing>")) for c in ("length_band", "placeholder")}), ["length_band", "placeholder"])
 
 
 @query("SELECT round(quantile_cont(value, 0.5), 9) AS p50, round(quantile_cont(value, 0.95), 9) AS p95 FROM events")
@@ -446,9 +447,9 @@ def h03_group_isolation(spark, d):
     return corpus.mixed_groups(rows, "fp", "split")
 
 
-@query("SELECT o_orderkey FROM orders EXCEPT SELECT l_orderkey FROM lineitem WHERE l_linenumber > 2")
+@query("SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels")
 def h04_missing_ids(spark, d):
-    return table(spark, d, "orders").select("o_orderkey").subtract(table(spark, d, "lineitem").filter("l_linenumber > 2").select("l_orderkey"))
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").select("doc_id"))
 
 
 # I: models

@@ -7,11 +7,12 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from sievegrid.functions import features, intents, message, rules, text
-from sievegrid.operators import multiview
+from sievegrid.functions import features, intents, message, pages, rules, text
+from sievegrid.operators import multiview, quality
 from sievegrid.operators.models import char_grams, word_grams
 from sievegrid.sources import files, store
 from sievegrid.sources.keyed import Conflict, KeyedTable
+from sievegrid.sources.paged import PagedTable
 from sievegrid.streaming import jobs
 
 
@@ -180,3 +181,48 @@ def test_quoted_csv_is_read_by_many_tasks_like_by_one(spark, tmp_path):
             files.read_quoted_csv(spark, str(tmp_path / "open.csv"), "id string")
     finally:
         files.MOST_RECORD = most
+
+
+def test_deep_pages_read_a_few_ranges(spark, tmp_path):
+    rows = spark.range(5000).select(F.col("id").alias("k"), (F.col("id") % 7).alias("day"), F.when(F.col("id") % 3 == 0, "high").otherwise("low").alias("risk"))
+    order = [F.desc("day"), F.desc("k")]
+    kept = PagedTable(spark, str(tmp_path), "risk").build(rows, order, 20)
+    plain = sorted(((k % 7, k, "high" if k % 3 == 0 else "low") for k in range(5000)), reverse=True)
+    for value in (None, "high"):
+        mine = [(k, day) for day, k, risk in plain if value in (None, risk)]
+        assert kept.total(value) == len(mine)
+        for number in (1, 2, 40, len(mine) // 50 + 1, len(mine) // 50 + 2):
+            found = kept.page(order, number, 50, value)
+            assert [(r["k"], r["day"]) for r in found.collect()] == mine[(number - 1) * 50 : number * 50]
+    plan = kept.page(order, 60, 50)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and plan.split("PartitionFilters: [")[1].split("]")[0].count(",") <= 3  # two ranges at most
+    with pytest.raises(ValueError, match="100 rows"):
+        kept.page(order, 0, 20)
+
+
+def test_children_beside_their_parents_need_no_shuffle(spark):
+    from sievegrid.plans import further
+
+    for df in (further._history(spark, "/root/testdata/sf0.001"), further._details(spark, "/root/testdata/sf0.001")):
+        assert "hashpartitioning" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_expectations_that_nobody_knows_are_errors(spark):
+    df = spark.createDataFrame([("a", "x")], "k string, v string")
+    ask = lambda *rules: quality.unmet(df, spark.createDataFrame([*rules], "column string, check string, arguments string"), "k").collect()
+    assert ask(("v", "matches", "^x$"), ("k", "key", ""), ("", "columns", "k,v")) == []
+    assert [tuple(r) for r in ask(("v", "matches", "^y$"), ("", "columns", "k"))] == [("a", "v:matches"), ("v", "extra_column")]
+    with pytest.raises(ValueError, match="unknown check"):
+        ask(("v", "nonsense", ""))
+
+
+def test_pages_tag_by_tag(spark):
+    rows = [
+        ("<a href=http://b.example/z>x</a>", [("http://b.example/z", "x")], "x", "x"), ('<a href="http://a.example/?x=1&amp;y=2">&eacute;&#8364;&#x20AC;</a>', [("http://a.example/?x=1&y=2", "é€€")], "é€€", "é€€"),
+        ("<p>a<script>var s = '<a href=q>';</script> b<noscript>c</noscript></p>", [], "a b", "a var s = '<a href=q>'; b c"), ("<a href=x><a>in</a> after", [("x", "in")], "in after", "in after"), ("x <!-- no --> y <b", [], "x y", "x y"), ("", [], "", ""), (None, [], "", ""),
+        ("<a href='/1'>one<br/>two<img src=i></A>", [("/1", "one two")], "one two", "one two"),
+    ]
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "k long, page string")
+    found = {r["k"]: r for r in df.select("k", pages.page_links("page").alias("l"), pages.visible_text("page").alias("t"), pages.visible_text("page", online=True).alias("o")).collect()}
+    for k, (_, links, seen, online) in enumerate(rows):
+        assert ([tuple(x) for x in found[k]["l"]], found[k]["t"], found[k]["o"]) == (links, seen, online), rows[k][0]
