@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -90,15 +94,126 @@ def bootstrap_weights(row_id: str, replicates: int) -> Column:
     return F.transform(F.filter(draws, lambda x: x["u"] >= steps[0]), lambda x: F.struct(x["replicate"].alias("replicate"), weight(x).alias("weight")))
 
 
+#: Ranges of a score in the bootstrap: one for so many rows, at least and at most so many; and the share of rows from which one level of a score is a range of its own.
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES, HOT_LEVEL = 250_000, 16, 2048, 1000
+_SUMS = "side int, range int, p binary, n binary"
+
+
+def _draws(ids: list, replicates: int) -> np.ndarray:
+    """bootstrap_weights() as a row of counts for each id; an id is text."""
+    out = np.zeros((len(ids), replicates), dtype=np.uint8)
+    ends = [f"|{r}".encode() for r in range(1, replicates + 1)]
+    for k, row_id in enumerate(ids):
+        start = hashlib.md5(row_id.encode())
+        heads = []
+        for end in ends:
+            h = start.copy()
+            h.update(end)
+            heads.append(h.digest()[:4])
+        u = np.frombuffer(b"".join(heads), dtype=">u4") / 4294967296.0
+        out[k] = np.searchsorted(POISSON, u, side="right")
+    return out
+
+
+def _score_cuts(rows: DataFrame, score: str) -> tuple[list[float], list[float]]:
+    """Values that part the scores into ranges, with the levels that many rows share as ranges of their own: at most MOST_RANGES + HOT_LEVEL numbers, and the hot ones."""
+    n = rows.count()
+    ranges = max(LEAST_RANGES, min(MOST_RANGES, n // RANGE_ROWS))
+    edges = rows.approxQuantile(score, [k / ranges for k in range(1, ranges)], 0.5 / ranges)
+    hot = [r[0] for r in rows.groupBy(score).agg(F.count("*").alias("n")).filter(F.col("n") > max(n // HOT_LEVEL, ranges)).select(score).collect()]  # at most HOT_LEVEL
+    return sorted({*edges, *hot}), sorted(hot)
+
+
 def paired_bootstrap(df: DataFrame, replicates: int = 500, candidate: str = "candidate", baseline: str = "baseline", row_id: str = "id") -> DataFrame:
-    """Mean and 95 % interval of the PR-AUC difference of two scores over hash-seeded resamples of the rows."""
-    drawn = df.select("label", candidate, baseline, F.explode(bootstrap_weights(row_id, replicates)).alias("d"))
-    sides = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).cast("double").alias("score")) for k, c in (("a", candidate), ("b", baseline))))).alias("s")
-    rows = drawn.select("label", "d.replicate", F.col("d.weight").cast("double").alias("weight"), sides).select("label", "replicate", "weight", "s.side", "s.score")
-    buckets = max(1, min(1024, df.count() // 100_000))  # a replicate is a group of its own already
-    areas = average_precision(rows, ["replicate", "side"], F.col("weight"), "score", buckets)
-    value = lambda k: F.max(F.when(F.col("side") == k, F.col("pr_auc")))
-    d = areas.groupBy("replicate").agg((value("a") - value("b")).alias("d"))
+    """Mean and 95 % interval of the PR-AUC difference of two scores over hash-seeded resamples of the rows.
+
+    One ordered pass serves all replicates: a row carries its id, from which a task draws its counts in all resamples. Tasks first add up the
+    counts of each range of a score; ranges are summed in order, so each knows what stands before it in every replicate, and then
+    each range takes its part of all areas. What is shuffled are rows (an id and a score) and sums of ranges, never rows times
+    replicates. A level that many rows share is a range of its own, whose area needs just its sums.
+    Replicates without both labels don't count. Rows without an id or a score take no part.
+    """
+    spark = df.sparkSession
+    rows = df.select(F.col(row_id).cast("string").alias("id"), F.coalesce(F.col("label") == "phishing", F.lit(False)).alias("y"), F.col(candidate).cast("double").alias("a"), F.col(baseline).cast("double").alias("b")).filter("id is not null and a is not null and b is not null")
+    cuts = [_score_cuts(rows, c) for c in ("a", "b")]
+
+    def range_of(side: int, score: np.ndarray) -> np.ndarray:
+        """Falling with the score: even numbers are between two cuts, odd ones are hot levels."""
+        edges, hot = np.array(cuts[side][0]), np.array(cuts[side][1])
+        at = np.searchsorted(edges, score, side="left")
+        return 2 * (len(edges) - at) - np.isin(score, hot)
+
+    def summed(batches):
+        totals: dict = {}
+        for batch in batches:
+            for k in range(0, batch.num_rows, 4096):
+                part = batch.slice(k, 4096)
+                w, y = _draws(part.column(0).to_pylist(), replicates), part.column(1).to_numpy(zero_copy_only=False)
+                for side in (0, 1):
+                    where = range_of(side, part.column(2 + side).to_numpy())
+                    for r in np.unique(where).tolist():
+                        here = where == r
+                        p, n = totals.setdefault((side, r), (np.zeros(replicates, np.int64), np.zeros(replicates, np.int64)))
+                        p += w[here & y].sum(axis=0, dtype=np.int64)
+                        n += w[here].sum(axis=0, dtype=np.int64)
+        for (side, r), (p, n) in totals.items():
+            yield pa.RecordBatch.from_pydict({"side": pa.array([side], pa.int32()), "range": pa.array([r], pa.int32()), "p": [p.tobytes()], "n": [n.tobytes()]})
+
+    def added(table: pa.Table) -> pa.Table:
+        """The sums of one range over all tasks: a row for each task."""
+        total = [sum(np.frombuffer(x, np.int64) for x in table[c].to_pylist()) for c in ("p", "n")]
+        return pa.table({"side": table["side"][:1], "range": table["range"][:1], "p": [total[0].tobytes()], "n": [total[1].tobytes()]})
+
+    sums = rows.mapInArrow(summed, _SUMS).groupBy("side", "range").applyInArrow(added, _SUMS).persist()
+    found = {(r["side"], r["range"]): (np.frombuffer(r["p"], np.int64), np.frombuffer(r["n"], np.int64)) for r in sums.collect()}  # ranges of two scores, 8 kB each
+    sums.unpersist()
+    before, areas, whole = {}, np.zeros((2, replicates)), {}
+    for side in (0, 1):
+        p = n = np.zeros(replicates, np.int64)
+        for key in sorted(k for k in found if k[0] == side):
+            before[key] = p, n
+            p, n = p + found[key][0], n + found[key][1]
+            if key[1] % 2:
+                areas[side] += np.divide(found[key][0] * p, n, out=np.zeros(replicates), where=n > 0)
+        whole[side] = p, n
+    given = spark.sparkContext.broadcast(before)  # as many as found
+
+    def area(table: pa.Table) -> pa.Table:
+        """The areas of a range, not yet divided by all positives."""
+        side, r = table["side"][0].as_py(), table["range"][0].as_py()
+        order = np.argsort(-table["score"].to_numpy(), kind="stable")
+        score, y, ids = table["score"].to_numpy()[order], table["y"].to_numpy(zero_copy_only=False)[order], table["id"].take(pa.array(order)).to_pylist()
+        (p, n), out, k = given.value[side, r], np.zeros(replicates), 0
+        while k < len(ids):
+            to = min(k + 4096, len(ids))
+            w = _draws(ids[k:to], replicates).astype(np.int64)
+            level = np.flatnonzero(np.append(True, score[k + 1 : to] != score[k : to - 1]))
+            if to < len(ids) and score[to] == score[to - 1]:  # the last level goes on
+                keep = level[-1] if len(level) > 1 else 0
+                if keep:
+                    to, w, level = k + keep, w[:keep], level[:-1]
+                else:
+                    to = int(np.searchsorted(-score, -score[k], side="right"))
+                    w, level = _draws(ids[k:to], replicates).astype(np.int64), np.zeros(1, np.int64)
+            dp, dn = np.add.reduceat(w * y[k:to, None], level, axis=0), np.add.reduceat(w, level, axis=0)
+            tp, all_ = p + np.cumsum(dp, axis=0), n + np.cumsum(dn, axis=0)
+            out += np.divide(dp * tp, all_, out=np.zeros(dp.shape), where=all_ > 0).sum(axis=0)
+            p, n, k = tp[-1], all_[-1], to
+        return pa.table({"side": pa.array([side], pa.int32()), "area": [out.tobytes()]})
+
+    def ranged(batches):
+        for batch in batches:
+            for side in (0, 1):
+                score = batch.column(2 + side)
+                where = range_of(side, score.to_numpy())
+                out = pa.RecordBatch.from_arrays([pa.array(np.full(len(where), side, np.int32)), pa.array(where.astype(np.int32)), batch.column(0), batch.column(1), score], names=["side", "range", "id", "y", "score"])
+                yield out.filter(pa.array(where % 2 == 0))
+
+    ordered = rows.mapInArrow(ranged, "side int, range int, id string, y boolean, score double").groupBy("side", "range")
+    for r in ordered.applyInArrow(area, "side int, area binary").collect():  # 4 kB for each range
+        areas[r["side"]] += np.frombuffer(r["area"])
+    both = (whole[0][0] > 0) & (whole[0][0] < whole[0][1])
+    d = spark.createDataFrame([(float(x),) for x in ((areas[0] - areas[1])[both] / whole[0][0][both])], "d double")
     return d.agg(F.count("d").alias("iterations"), F.avg("d").alias("mean_difference"), F.percentile("d", F.lit(0.025)).alias("ci95_lower"), F.percentile("d", F.lit(0.975)).alias("ci95_upper"))
 
 
