@@ -2,10 +2,13 @@
 
 Latent states follow each other as a Markov chain; a state emits a word class, and a class emits its words by their
 counts. The most frequent words are classes of their own, more of them the larger the vocabulary is; all others share
-classes by the hash of their last three bytes. Baum-Welch starts from seeded random states over the classes. Each of its
-first rounds covers another share of the training documents, until all were seen FIRST_PASSES times, and each later
-round covers all of them: tasks take expected counts of states and classes over their blocks, and Spark adds them up. The
-scaled forward recursion over a whole document gives its exact likelihood.
+classes by the hash of their last three bytes. Every round of Baum-Welch covers all training documents: tasks take expected
+counts of states and classes over their blocks, and Spark adds them up. Rounds end when a token's likelihood gains less than
+LEAST_GAIN. The scaled forward recursion over a whole document gives its exact likelihood.
+
+The rounds start from states that explain which class follows which. Pairs of neighbours are counted over all training
+documents, by COARSE groups of classes; from seeded random states, expectation and maximisation on that table alone (its size is fixed) find
+the states of the groups, and each class begins with those of its group.
 
 Training walks through long documents in segments. A segment begins its recursions OVERLAP tokens before its first and
 after its last token, so moves over the edges count too, from states that have forgotten where the walk began.
@@ -34,8 +37,10 @@ STATES = 8
 #: Words with a class of their own: the next power of two of OWN_GROWTH times the root of the vocabulary's size, LEAST_OWN at least.
 LEAST_OWN, OWN_GROWTH = 4096, 4.0
 HASHED = 4096
-#: Shares of the documents in the first rounds, how often they cover all documents, and the rounds over all of them after that.
-SHARES, FIRST_PASSES, ROUNDS = 4, 2, 2
+#: Gain of a token's natural log-likelihood below which a round is the last one, and most rounds.
+LEAST_GAIN, MOST_ROUNDS = 0.01, 30
+#: Groups of classes whose pairs the start is fitted on, and the steps of that fit.
+COARSE, COARSE_STEPS = 1024, 100
 SEGMENT, OVERLAP = 256, 32
 _SEGMENTS_AT_ONCE = 1024
 BLOCK_TOKENS = 1_200_000
@@ -177,6 +182,7 @@ class Classes:
     """Word classes: own ones of frequent words first, then the shared ones, then the end."""
 
     own: np.ndarray  # sorted hashes
+    own_suffix: np.ndarray  # suffix classes of the own words
     totals: np.ndarray  # of count + 1 over the words of each suffix class, and 1 for unknown ones
     mass: np.ndarray  # training count of each class
     tokens: int  # N
@@ -194,6 +200,14 @@ class Classes:
             out[mine] = at[mine]
         return out
 
+    def groups(self) -> np.ndarray:
+        """The coarse group of each class: the most frequent own ones and the end by themselves, all others by their suffix."""
+        half, n = COARSE // 2, len(self.own)
+        out = half + np.concatenate([self.own_suffix, np.arange(HASHED), [0]]).astype(np.int64) % half
+        out[np.argsort(-self.mass[:n], kind="stable")[: half - 1]] = np.arange(min(n, half - 1))
+        out[-1] = half - 1
+        return out
+
     def word_share(self, cls: np.ndarray, c: np.ndarray) -> np.ndarray:
         """log10 of the probability of words with count c in their class."""
         shared = (cls >= len(self.own)) & (cls < self.end)
@@ -203,8 +217,8 @@ class Classes:
 def classes(words_of_training: DataFrame, documents_of_training: int) -> Classes:
     sums = words_of_training.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("c"), F.count("*").alias("n")).first()
     most = max(LEAST_OWN, 1 << int(np.ceil(np.log2(max(1.0, OWN_GROWTH * sums["n"] ** 0.5)))))
-    top = words_of_training.orderBy(F.desc("c"), "h").select("h", "c").limit(most)
-    own = {r["h"] % (1 << 64): r["c"] for r in top.collect()}  # grows with the root of the vocabulary: 16 MB of state tables at 10^9 words
+    top = words_of_training.orderBy(F.desc("c"), "h").select("h", "c", "suffix").limit(most)
+    own = {r["h"] % (1 << 64): (r["c"], r["suffix"]) for r in top.collect()}  # grows with the root of the vocabulary: 16 MB of state tables at 10^9 words
     frequent = words_of_training.sparkSession.createDataFrame([(h - (1 << 64) if h >= 1 << 63 else h,) for h in own], "h long")
     rest = words_of_training.join(F.broadcast(frequent), "h", "left_anti")
     totals, mass = np.ones(HASHED), np.zeros(len(own) + HASHED + 1)
@@ -212,9 +226,9 @@ def classes(words_of_training: DataFrame, documents_of_training: int) -> Classes
         totals[r["suffix"]] += r["c"] + r["n"]
         mass[len(own) + r["suffix"]] = r["c"]
     hashes = np.array(sorted(own), dtype=U64)
-    mass[: len(hashes)] = [own[int(h)] for h in hashes]
+    mass[: len(hashes)] = [own[int(h)][0] for h in hashes]
     mass[-1] = documents_of_training
-    return Classes(hashes, totals, mass, int(sums["c"]) + documents_of_training, int(sums["n"]) + (documents_of_training > 0))
+    return Classes(hashes, np.array([own[int(h)][1] for h in hashes], dtype=np.int64), totals, mass, int(sums["c"]) + documents_of_training, int(sums["n"]) + (documents_of_training > 0))
 
 
 @dataclass
@@ -337,49 +351,90 @@ def _with_ends(cls: np.ndarray, codes: np.ndarray, sizes: np.ndarray, end: int)
     return seq, sizes + 1
 
 
-def random_states(names: Classes, seed: int = SEED) -> Model:
-    """States that share the tokens of each class at random, and mostly stay."""
-    shares = np.random.default_rng(seed).dirichlet(np.ones(STATES), size=len(names.mass))
-    emits = shares * (names.mass[:, None] + 1e-9)
-    stays = np.diag(emits.sum(axis=0)) + emits.sum() / STATES**2
-    return estimated(emits.sum(axis=0), stays, emits, names.mass)
+def _training_sequence(row: dict, called: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Class sequence of the training documents of a block, and their sizes."""
+    sizes, wanted = np.array(row["sizes"], dtype=np.int64), ~np.array(row["held"], dtype=bool)
+    codes = unpacked_codes(row["codes"], int(sizes.sum()))[np.repeat(wanted, sizes)]
+    return _with_ends(called.of(np.frombuffer(row["words"], U64), np.frombuffer(row["suffixes"], np.uint16)), codes, sizes[wanted], called.end)
+
+
+def _rows_of(batches):
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
+
+
+_TRAINING = ["held", "sizes", "codes", "words", "suffixes"]
+
 
+def neighbours(table: DataFrame, names: Classes) -> np.ndarray:
+    """COARSE x COARSE counts of neighbouring groups over all training documents; before a document stands the end of one."""
+    given = table.sparkSession.sparkContext.broadcast(names)
 
-def trained(table: DataFrame, names: Classes) -> tuple[Model, list[float]]:
+    def count(batches):
+        called, total = given.value, np.zeros(COARSE * COARSE, dtype=np.int64)
+        group = called.groups()
+        for row in _rows_of(batches):
+            seq, _ = _training_sequence(row, called)
+            if len(seq):
+                q = group[seq]
+                total += np.bincount(np.append(group[-1], q[:-1]) * COARSE + q, minlength=COARSE * COARSE)
+        there = np.flatnonzero(total)
+        for a in range(0, len(there), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(there[a : a + 100_000]), pa.array(total[there[a : a + 100_000]])], names=["pair", "n"])
+
+    sums = table.select(*_TRAINING).mapInArrow(tidy(count), "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")).toArrow()  # at most COARSE squared rows
+    out = np.zeros(COARSE * COARSE)
+    out[sums["pair"].to_numpy()] = sums["n"].to_numpy()
+    return out.reshape(COARSE, COARSE)
+
+
+def first_states(pairs: np.ndarray, names: Classes, seed: int = SEED) -> Model:
+    """States between neighbouring groups, fitted to their counts: a group leads to states, and a state to the next group."""
+    rng, group = np.random.default_rng(seed), names.groups()
+    after = pairs.sum(axis=0)[:, None]
+    emits = rng.dirichlet(np.ones(STATES), size=COARSE) * (after + 1e-9)
+    emits /= emits.sum(axis=0)
+    leads, found = rng.dirichlet(np.full(STATES, 5.0), size=COARSE), emits
+    for _ in range(COARSE_STEPS):
+        ratio = pairs / np.maximum(leads @ emits.T, 1e-300)
+        leads, found = leads * (ratio @ emits) + 0.1, emits * (ratio.T @ leads)
+        leads /= leads.sum(axis=1, keepdims=True)
+        emits = found + 1e-3 * after / max(pairs.sum(), 1.0) + 1e-12
+        emits /= emits.sum(axis=0)
+    share = (found + 1e-6) / (found + 1e-6).sum(axis=1, keepdims=True)
+    return estimated(leads[group[-1]] * names.mass[-1], found.T @ leads, names.mass[:, None] * share[group], names.mass)
+
+
+def trained(table: DataFrame, names: Classes, least_gain: float = LEAST_GAIN, most_rounds: int = MOST_ROUNDS) -> tuple[Model, list[float]]:
     """Baum-Welch over the training documents of the blocks: the model, and for each round the mean log-likelihood of a token before it."""
-    spark, model, rounds = table.sparkSession, random_states(names), []
+    spark, model, rounds = table.sparkSession, first_states(neighbours(table, names), names), []
     columns = [f"s{k}" for k in range(STATES)]
-    for turn in [*range(SHARES * FIRST_PASSES), *[None] * ROUNDS]:
+    while len(rounds) < most_rounds and (len(rounds) < 2 or rounds[-1] - rounds[-2] >= least_gain):
         given = spark.sparkContext.broadcast((model, names))
 
-        def count(batches, given=given, turn=turn):
+        def count(batches, given=given):
             now, called = given.value
             total = None
-            for batch in batches:
-                for i in range(batch.num_rows):
-                    row = batch.slice(i, 1).to_pylist()[0]
-                    sizes, wanted = np.array(row["sizes"], dtype=np.int64), ~np.array(row["held"], dtype=bool)
-                    if turn is not None:
-                        wanted &= np.arange(len(sizes)) % SHARES == turn % SHARES
-                    codes = unpacked_codes(row["codes"], int(sizes.sum()))[np.repeat(wanted, sizes)]
-                    cls = called.of(np.frombuffer(row["words"], U64), np.frombuffer(row["suffixes"], np.uint16))
-                    got = summed(now, *_with_ends(cls, codes, sizes[wanted], called.end))
-                    if got is not None:
-                        total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
+            for row in _rows_of(batches):
+                got = summed(now, *_training_sequence(row, called))
+                if got is not None:
+                    total = got if total is None else tuple(x + y for x, y in zip(total, got, strict=True))
             if total is not None:
                 all_rows = np.vstack([total[2], total[1], total[0][None], np.full((1, STATES), total[3])])  # classes, moves, start, likelihood
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(all_rows))), *(pa.array(np.ascontiguousarray(all_rows[:, k])) for k in range(STATES))], names=["i", *columns])
 
-        sums = table.select("held", "sizes", "codes", "words", "suffixes").mapInArrow(tidy(count), "i long, " + ", ".join(f"{c} double" for c in columns))
+        sums = table.select(*_TRAINING).mapInArrow(tidy(count), "i long, " + ", ".join(f"{c} double" for c in columns))
         sums = sums.groupBy("i").agg(*(F.sum(c).alias(c) for c in columns)).collect()  # a row for each class and state
+        given.unpersist()
         every = np.zeros((len(names.mass) + STATES + 2, STATES))
         for r in sums:
             every[r["i"]] = r[1:]
         kinds = len(names.mass)
-        if every[:kinds].any():
-            rounds.append(float(every[-1, 0] / every[:kinds].sum()))
-            model = estimated(every[-2], every[kinds:-2], every[:kinds], names.mass)
-        given.unpersist()
+        if not every[:kinds].any():
+            break
+        rounds.append(float(every[-1, 0] / every[:kinds].sum()))
+        model = estimated(every[-2], every[kinds:-2], every[:kinds], names.mass)
     return model, rounds
 
 

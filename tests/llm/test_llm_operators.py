@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegrid.llm import hmm, labelled, minhash_join, mixing, packing, quality_knn, sharding, simhash, textbytes, token_files, toxicity, vafile
-from sievegrid.llm.shared import new_path
+from sievegrid.llm.shared import new_path, written
 from sievegrid.llm.tokens import Encoder, tokenizer_path
 
 random.seed(3)
@@ -385,14 +385,12 @@ def test_hmm_training_and_scores_over_partitions(spark, docs, monkeypatch):
     count = collections.Counter(w for t, h in zip(tokens, held, strict=True) if not h for w in t)
     monkeypatch.setattr(hmm, "LEAST_OWN", 16)
     monkeypatch.setattr(hmm, "OWN_GROWTH", 0.5)
-    for name, value in (("SHARES", 1), ("FIRST_PASSES", 0), ("ROUNDS", 1)):
-        monkeypatch.setattr(hmm, name, value)
     monkeypatch.setattr(hmm, "BLOCK_TOKENS", 900)
     seen = {}
 
     def spied(table, names, plain=hmm.trained):
         seen["names"], seen["table"] = names, table
-        seen["model"], seen["rounds"] = plain(table, names)
+        seen["model"], seen["rounds"] = plain(table, names, most_rounds=1)
         return seen["model"], seen["rounds"]
 
     monkeypatch.setattr(hmm, "trained", spied)
@@ -410,7 +408,12 @@ def test_hmm_training_and_scores_over_partitions(spark, docs, monkeypatch):
     assert all(names.mass[c] == n for c, n in mass.items()) and names.mass[-1] == held.count(False)
     seqs = [[*(hashed[w] for w in t), names.end] for t in tokens]
     kept = [s for s, h in zip(seqs, held, strict=True) if not h]
-    first = hmm.random_states(names)
+    group, pairs = names.groups(), np.zeros((hmm.COARSE, hmm.COARSE))
+    for s in kept:
+        for a, b in zip([names.end, *s[:-1]], s, strict=True):
+            pairs[group[a], group[b]] += 1
+    assert (hmm.neighbours(seen["table"], names) == pairs).all()
+    first = hmm.first_states(pairs, names)
     plain = hmm.expected_counts(first, np.concatenate(kept), hmm.segments(np.array([len(s) for s in kept]), 10**6, 0))
     expected = hmm.estimated(*plain[:3], names.mass)
     assert model.moves == pytest.approx(expected.moves, abs=2e-3) and model.emits == pytest.approx(expected.emits, abs=2e-3)
@@ -421,6 +424,16 @@ def test_hmm_training_and_scores_over_partitions(spark, docs, monkeypatch):
         assert got[i]["score"] == pytest.approx(value)
 
 
+def test_hmm_rounds_end_when_more_would_gain_little(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    table = written(hmm.blocks(docs), "blocks")
+    names = hmm.classes(hmm.vocabulary(written(hmm.counted(table, 16), "answers")), docs.count())
+    _, rounds = hmm.trained(table, names)
+    _, more = hmm.trained(table, names, least_gain=-1.0, most_rounds=len(rounds) + 2)
+    assert more[: len(rounds)] == pytest.approx(rounds) and rounds[1] > rounds[0]
+    assert len(rounds) < hmm.MOST_ROUNDS and all(b - a < hmm.LEAST_GAIN for a, b in zip(more[len(rounds) - 1 :], more[len(rounds) :], strict=False))
+
+
 def test_shards_are_even_and_keep_groups(spark, docs, none):
     rows = sharding.sharded(docs, 4).collect()
     assert len(rows) == len(_texts())
