@@ -119,7 +119,7 @@ def _score_cuts(rows: DataFrame, score: str) -> tuple[list[float], list[float]]:
     """Values that part the scores into ranges, with the levels that many rows share as ranges of their own: at most MOST_RANGES + HOT_LEVEL numbers, and the hot ones."""
     n = rows.count()
     ranges = max(LEAST_RANGES, min(MOST_RANGES, n // RANGE_ROWS))
-    edges = rows.approxQuantile(score, [k / ranges for k in range(1, ranges)], 0.5 / ranges)
+    edges = rows.approxQuantile(score, [k / ranges for k in range(1, ranges)], 0.5 / ranges) if n and ranges > 1 else []
     hot = [r[0] for r in rows.groupBy(score).agg(F.count("*").alias("n")).filter(F.col("n") > max(n // HOT_LEVEL, ranges)).select(score).collect()]  # at most HOT_LEVEL
     return sorted({*edges, *hot}), sorted(hot)
 

@@ -4,11 +4,12 @@ import datetime
 import random
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from sievegrid.functions import features, intents, message, pages, rules, text
-from sievegrid.operators import multiview, quality
+from sievegrid.operators import metrics, multiview, quality
 from sievegrid.operators.models import char_grams, word_grams
 from sievegrid.sources import files, store
 from sievegrid.sources.keyed import Conflict, KeyedTable
@@ -226,3 +227,30 @@ def test_pages_tag_by_tag(spark):
     found = {r["k"]: r for r in df.select("k", pages.page_links("page").alias("l"), pages.visible_text("page").alias("t"), pages.visible_text("page", online=True).alias("o")).collect()}
     for k, (_, links, seen, online) in enumerate(rows):
         assert ([tuple(x) for x in found[k]["l"]], found[k]["t"], found[k]["o"]) == (links, seen, online), rows[k][0]
+
+
+def test_bootstrap_ranges_and_hot_levels_equal_one_sorted_pass(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    n, replicates = 900, 20
+    y = rng.random(n) < 0.3
+    a = np.where(rng.random(n) < 0.4, 0.5, np.round(rng.random(n), 2))  # a level of two fifths of the rows
+    b = rng.random(n)
+    weights = metrics._draws([str(i) for i in range(n)], replicates).astype(float)
+
+    def area(score, w):
+        total = tp = k = 0.0
+        for s in np.unique(score)[::-1]:
+            here = score == s
+            p = (w * y)[here].sum()
+            tp, k = tp + p, k + w[here].sum()
+            total += p * tp / k if k else 0
+        return total / (w * y).sum()
+
+    d = np.array([area(a, weights[:, r]) - area(b, weights[:, r]) for r in range(replicates)])
+    df = spark.createDataFrame([(i, "phishing" if y[i] else "legitimate", float(a[i]), float(b[i])) for i in range(n)], "id long, label string, candidate double, baseline double").repartition(5)
+    assert metrics._score_cuts(df.select(F.col("candidate").alias("a")), "a")[1] == [0.5]
+    for least in (1, 16, 200):
+        monkeypatch.setattr(metrics, "LEAST_RANGES", least)
+        r = metrics.paired_bootstrap(df, replicates).first()
+        assert (r["iterations"], r["mean_difference"]) == (replicates, pytest.approx(d.mean())) and (r["ci95_lower"], r["ci95_upper"]) == (pytest.approx(np.quantile(d, 0.025)), pytest.approx(np.quantile(d, 0.975)))
+    assert metrics.paired_bootstrap(df.filter("false"), replicates).first()["iterations"] == 0
