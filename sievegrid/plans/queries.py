@@ -381,9 +381,9 @@ def _ruled(spark, d, docs: DataFrame | None = None) -> DataFrame:
 
 RULED = f"""{MESSAGES}, {LINKS}, {URL_TOKENS}, shown AS (SELECT page_id + 1 AS page_id, host AS display_text, registrable_domain AS display_domain FROM linked),
 full_links AS (SELECT t.*, coalesce(s.display_text, '') AS display_text, coalesce(s.display_domain, '') AS display_domain, t.page_id % 9 = 0 AS hit FROM tokened t LEFT JOIN shown s ON s.page_id = t.page_id),
-ruled AS (SELECT m.doc_id, lower(m.subject || chr(10) || m.text_body) AS t, CASE WHEN m.doc_id % 11 = 0 THEN '' ELSE m.lang || 'mail.example' END AS sender, CASE WHEN m.doc_id % 3 = 0 THEN m.source || '.example' ELSE '' END AS reply,
+ruled AS MATERIALIZED (SELECT m.doc_id, lower(m.subject || chr(10) || m.text_body) AS t, CASE WHEN m.doc_id % 11 = 0 THEN '' ELSE m.lang || 'mail.example' END AS sender, CASE WHEN m.doc_id % 3 = 0 THEN m.source || '.example' ELSE '' END AS reply,
   f.* FROM messages m JOIN full_links f ON f.page_id = m.doc_id % (SELECT count(*) FROM pages)),
-codes AS (SELECT doc_id, list_filter([CASE WHEN sender <> '' AND reply <> '' AND sender <> reply THEN 'R01' END, CASE WHEN display_domain <> '' AND display_domain <> registrable_domain THEN 'R02' END, CASE WHEN hit THEN 'R03' END,
+codes AS MATERIALIZED (SELECT doc_id, list_filter([CASE WHEN sender <> '' AND reply <> '' AND sender <> reply THEN 'R01' END, CASE WHEN display_domain <> '' AND display_domain <> registrable_domain THEN 'R02' END, CASE WHEN hit THEN 'R03' END,
   CASE WHEN len(list_filter({_list(URGENT_WORDS)}, lambda p: contains(t, p))) > 0 THEN 'R04' END, CASE WHEN len(list_filter({_list(SENSITIVE_WORDS)}, lambda p: contains(t, p))) > 0 THEN 'R05' END,
   CASE WHEN len(tokens) > 0 THEN 'R06' END, CASE WHEN doc_id % 5 <> 3 THEN 'R07' END, CASE WHEN sender = '' THEN 'R08' END, CASE WHEN doc_id % 11 = 0 THEN 'R09' END,
   CASE WHEN sender <> '' AND len(list_filter({_list(BRAND_WORDS)}, lambda p: contains(t, p) AND NOT contains(sender, p))) > 0 THEN 'R10' END], lambda x: x IS NOT NULL) AS codes FROM ruled)"""

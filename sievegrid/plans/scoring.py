@@ -260,7 +260,7 @@ def a14_upsert_in_place(spark, d):
     return manifest.read()
 
 
-SCALED_SQL = f"""{STRUCTURE_SQL}, x AS (SELECT doc_id, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in STRUCTURE_VALUES.items())} FROM n)"""
+SCALED_SQL = f"""{STRUCTURE_SQL}, x AS MATERIALIZED (SELECT doc_id, {', '.join(f'({v})::DOUBLE AS {k}' for k, v in STRUCTURE_VALUES.items())} FROM n)"""
 
 
 @query(f"""WITH {SCALED_SQL} SELECT doc_id, {', '.join(f'round((x.{k} - s.m_{k}) / s.d_{k}, 6) AS {k}' for k in STRUCTURE_VALUES)} FROM x,
