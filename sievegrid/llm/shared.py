@@ -59,7 +59,17 @@ def freed(spark: SparkSession) -> None:
 BUCKET_ROWS = 20_000
 
 
+#: Rows of a batch of texts on its way to a Python worker; batches of Spark's usual size hold tens of megabytes on either side.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Texts go to Python workers in small batches, in all later plans of the session."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

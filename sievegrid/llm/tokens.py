@@ -8,6 +8,8 @@ to the library whole, so that the ids are always the library's own.
 
 from __future__ import annotations
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,7 +19,7 @@ END_ID = 2
 #: Pre-tokens whose ids a worker keeps; with more it starts anew.
 MOST_KEPT = 1_000_000
 #: Text that is encoded at once; its new pre-tokens are learnt in one call.
-ENCODE_BYTES = 2 << 20
+ENCODE_BYTES = 1 << 19
 
 _LETTER, _DIGIT, _BLANK, _OTHER = 0, 1, 2, 3
 _KIND = np.full(256, _OTHER, dtype=np.uint8)
@@ -54,6 +56,7 @@ class Encoder:
     _kept: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core, and each thread would keep memory of its own
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
