@@ -11,33 +11,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sievegrid.llm import minhash_join, mixing, packing, quality_knn, toxicity
-from sievegrid.llm.shared import documents, dropped, written
+from sievegrid.llm.shared import documents, dropped, small_batches, written
 
 
 def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model does not reject."""
+    small_batches(spark)
     model = toxicity.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.filtered(docs, model)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality voters do not reject."""
+    small_batches(spark)
     model = quality_knn.trained(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_knn.filtered(docs, model)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    small_batches(spark)
     return minhash_join.deduplicated(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture of the sources; a document taken twice is there twice."""
+    small_batches(spark)
     return mixing.mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 tokens, a row for each piece."""
+    small_batches(spark)
     return packing.pack(docs)
 
 
