@@ -107,3 +107,8 @@ def test_all_rules_are_capped(spark):
     row = ("urgent", "send your password to paypal", ("", "x", "a.example", False), ("", "r@b.example", "b.example", True), [("u", "http://t.example/", "shown.example", "shown.example", "t.example", "t.example", ["non_https"], True)], [("f.exe", ["risky_extension"])], ["missing_date"])
     r = rules.evaluated(spark.createDataFrame([row], schema)).first()
     assert [h["code"] for h in r["hits"]] == [f"R{k:02d}" for k in range(1, 11)] and r["rule_score"] == 100.0
+
+
+def test_fused_scores_round_tenths_half_even(spark):
+    rows = spark.createDataFrame([(0.6, 59.0), (0.8, 1.0), (0.6, 41.0), (0.8, 23.0), (0.2, 41.0), (0.5, 50.0)], "p double, r double")
+    assert [x["s"] for x in rows.select(rules.fused(F.col("p"), F.col("r")).alias("s")).collect()] == [59.6, 52.4, 53.4, 60.0, 27.4, 50.0]
