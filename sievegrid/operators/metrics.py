@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -95,23 +96,81 @@ def bootstrap_weights(row_id: str, replicates: int) -> Column:
 
 
 #: Ranges of a score in the bootstrap: one for so many rows, at least and at most so many; and the share of rows from which one level of a score is a range of its own.
-RANGE_ROWS, LEAST_RANGES, MOST_RANGES, HOT_LEVEL = 250_000, 16, 2048, 1000
+RANGE_ROWS, LEAST_RANGES, MOST_RANGES, HOT_LEVEL = 50_000, 16, 2048, 1000
 _SUMS = "side int, range int, p binary, n binary"
 
 
+#: MD5: the shifts of its four rounds and its constants.
+_SHIFTS = ((7, 12, 17, 22), (5, 9, 14, 20), (4, 11, 16, 23), (6, 10, 15, 21))
+_SINES = [int(abs(math.sin(k + 1)) * 2**32) for k in range(64)]
+_STARTS = (0x67452301, 0xEFCDAB89, 0x98BADCFE, 0x10325476)
+#: Hashes that are worked out at once, and the longest text whose hash takes one block.
+_AT_ONCE, _ONE_BLOCK = 65_536, 55
+
+
+def _md5_heads(start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """The first four bytes, as a number, of the MD5 of each block of start | end: 16 words a row, a result for each pair of rows.
+
+    The first word of the state is complete three steps before the last.
+    """
+    n, m = len(start), len(end)
+    a, b, c, d = (np.full((n, m), x, np.uint32) for x in _STARTS)
+    t = np.empty((n, m), np.uint32)
+    for k in range(61):
+        turn = k // 16
+        if turn == 0:
+            word = k
+            np.bitwise_and(np.bitwise_xor(c, d, out=t), b, out=t)
+            t ^= d
+        elif turn == 1:
+            word = (5 * k + 1) % 16
+            np.bitwise_and(np.bitwise_xor(b, c, out=t), d, out=t)
+            t ^= c
+        elif turn == 2:
+            word = (3 * k + 5) % 16
+            np.bitwise_xor(np.bitwise_xor(b, c, out=t), d, out=t)
+        else:
+            word = 7 * k % 16
+            np.bitwise_or(np.invert(d, out=t), b, out=t)
+            t ^= c
+        a += t
+        a += start[:, word, None] + np.uint32(_SINES[k])
+        if end[:, word].any():
+            a += end[None, :, word]
+        by = _SHIFTS[turn][k % 4]
+        np.left_shift(a, np.uint32(by), out=t)
+        a >>= np.uint32(32 - by)
+        a |= t
+        a += b
+        a, b, c, d = d, a, b, c
+    b += np.uint32(_STARTS[0])
+    return b.byteswap()
+
+
 def _draws(ids: list, replicates: int) -> np.ndarray:
-    """bootstrap_weights() as a row of counts for each id; an id is text."""
+    """bootstrap_weights() as a row of counts for each id; an id is text.
+
+    Hashes of ids of the same length are worked out together, as words of whole arrays; only those of texts of more than one block are not.
+    """
     out = np.zeros((len(ids), replicates), dtype=np.uint8)
     ends = [f"|{r}".encode() for r in range(1, replicates + 1)]
-    for k, row_id in enumerate(ids):
-        start = hashlib.md5(row_id.encode())
-        heads = []
-        for end in ends:
-            h = start.copy()
-            h.update(end)
-            heads.append(h.digest()[:4])
-        u = np.frombuffer(b"".join(heads), dtype=">u4") / 4294967296.0
-        out[k] = np.searchsorted(POISSON, u, side="right")
+    most = max(map(len, ends), default=0)
+    starts = [row_id.encode() for row_id in ids]
+    lengths = np.fromiter(map(len, starts), np.int64, len(starts))
+    limits = [math.ceil(s * 2**32) for s in POISSON]
+    for length in np.unique(lengths).tolist():
+        here = np.flatnonzero(lengths == length)
+        if length + most > _ONE_BLOCK:
+            for k in here.tolist():
+                u = np.array([int.from_bytes(hashlib.md5(starts[k] + end).digest()[:4], "big") for end in ends]) / 4294967296.0
+                out[k] = np.searchsorted(POISSON, u, side="right")
+            continue
+        end = np.frombuffer(b"".join((b"\0" * length + e + b"\x80").ljust(56, b"\0") + (8 * (length + len(e))).to_bytes(8, "little") for e in ends), "<u4").reshape(-1, 16)
+        start = np.frombuffer(b"".join(starts[k].ljust(64, b"\0") for k in here.tolist()), "<u4").reshape(-1, 16)
+        step = max(1, _AT_ONCE // max(1, replicates))
+        for k in range(0, len(here), step):
+            head = _md5_heads(start[k : k + step], end)
+            out[here[k : k + step]] = sum((head >= np.uint32(x) for x in limits), np.zeros(head.shape, np.uint8))
     return out
 
 
@@ -136,6 +195,7 @@ def paired_bootstrap(df: DataFrame, replicates: int = 500, candidate: str = "can
     spark = df.sparkSession
     rows = df.select(F.col(row_id).cast("string").alias("id"), F.coalesce(F.col("label") == "phishing", F.lit(False)).alias("y"), F.col(candidate).cast("double").alias("a"), F.col(baseline).cast("double").alias("b")).filter("id is not null and a is not null and b is not null")
     cuts = [_score_cuts(rows, c) for c in ("a", "b")]
+    parts = 1 + max(len(edges) for edges, _ in cuts)  # tasks by the hashes they work out, not by the few bytes of their rows
 
     def range_of(side: int, score: np.ndarray) -> np.ndarray:
         """Falling with the score: even numbers are between two cuts, odd ones are hot levels."""
@@ -164,7 +224,7 @@ def paired_bootstrap(df: DataFrame, replicates: int = 500, candidate: str = "can
         total = [sum(np.frombuffer(x, np.int64) for x in table[c].to_pylist()) for c in ("p", "n")]
         return pa.table({"side": table["side"][:1], "range": table["range"][:1], "p": [total[0].tobytes()], "n": [total[1].tobytes()]})
 
-    sums = rows.mapInArrow(summed, _SUMS).groupBy("side", "range").applyInArrow(added, _SUMS).persist()
+    sums = rows.repartition(parts).mapInArrow(summed, _SUMS).groupBy("side", "range").applyInArrow(added, _SUMS).persist()
     found = {(r["side"], r["range"]): (np.frombuffer(r["p"], np.int64), np.frombuffer(r["n"], np.int64)) for r in sums.collect()}  # ranges of two scores, 8 kB each
     sums.unpersist()
     before, areas, whole = {}, np.zeros((2, replicates)), {}
@@ -199,7 +259,7 @@ def paired_bootstrap(df: DataFrame, replicates: int = 500, candidate: str = "can
             tp, all_ = p + np.cumsum(dp, axis=0), n + np.cumsum(dn, axis=0)
             out += np.divide(dp * tp, all_, out=np.zeros(dp.shape), where=all_ > 0).sum(axis=0)
             p, n, k = tp[-1], all_[-1], to
-        return pa.table({"side": pa.array([side], pa.int32()), "area": [out.tobytes()]})
+        return pa.table({"side": pa.array([side], pa.int32()), "range": pa.array([r], pa.int32()), "area": [out.tobytes()]})
 
     def ranged(batches):
         for batch in batches:
@@ -209,8 +269,8 @@ def paired_bootstrap(df: DataFrame, replicates: int = 500, candidate: str = "can
                 out = pa.RecordBatch.from_arrays([pa.array(np.full(len(where), side, np.int32)), pa.array(where.astype(np.int32)), batch.column(0), batch.column(1), score], names=["side", "range", "id", "y", "score"])
                 yield out.filter(pa.array(where % 2 == 0))
 
-    ordered = rows.mapInArrow(ranged, "side int, range int, id string, y boolean, score double").groupBy("side", "range")
-    for r in ordered.applyInArrow(area, "side int, area binary").collect():  # 4 kB for each range
+    ordered = rows.mapInArrow(ranged, "side int, range int, id string, y boolean, score double").repartition(2 * parts, "side", "range").groupBy("side", "range")
+    for r in sorted(ordered.applyInArrow(area, "side int, range int, area binary").collect(), key=lambda r: r["range"]):  # 4 kB for each range; added in one order
         areas[r["side"]] += np.frombuffer(r["area"])
     both = (whole[0][0] > 0) & (whole[0][0] < whole[0][1])
     d = spark.createDataFrame([(float(x),) for x in ((areas[0] - areas[1])[both] / whole[0][0][both])], "d double")

@@ -1,6 +1,7 @@
 """Keyed tables, saved stacks against SQL over their tables, and streams against plain sequential versions."""
 
 import datetime
+import hashlib
 import random
 
 import duckdb
@@ -237,6 +238,21 @@ def test_entities_without_semicolon(spark):
     assert tuple(found[1]) == ("", "", "")
 
 
+def test_draws_are_hashed_together(monkeypatch):
+    ids = ["", "0", "a", "12", "1234", "é€", "-5", "5999999", *("x" * k for k in (50, 51, 52, 55, 56, 200))]
+
+    def plain(replicates):
+        u = [[int(hashlib.md5(f"{i}|{r}".encode()).hexdigest()[:8], 16) / 4294967296 for r in range(1, replicates + 1)] for i in ids]
+        return np.searchsorted(metrics.POISSON, np.array(u), side="right")
+
+    wanted = {r: plain(r) for r in (1, 20, 500)}
+    for r, draws in wanted.items():
+        assert (metrics._draws(ids, r) == draws).all()
+    assert metrics._draws([], 500).shape == (0, 500)
+    monkeypatch.setattr(metrics, "hashlib", None)
+    assert metrics._draws([str(k) for k in range(2000)], 500).mean() == pytest.approx(1, abs=0.01)  # no hash by itself
+
+
 def test_bootstrap_ranges_and_hot_levels_equal_one_sorted_pass(spark, monkeypatch):
     rng = np.random.default_rng(4)
     n, replicates = 900, 20
