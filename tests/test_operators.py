@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from sievegrid.functions import text
 from sievegrid.operators import corpus, indicators, metrics, models, overview, quality, ranks
 from sievegrid.streaming import jobs
 
@@ -224,3 +225,21 @@ def test_bootstrap_equals_brute_force(spark):
     r = metrics.paired_bootstrap(spark.createDataFrame(rows, "id int, label string, candidate double, baseline double")).first()
     assert r["iterations"] == 500 and r["mean_difference"] == pytest.approx(sum(differ) / 500)
     assert (r["ci95_lower"], r["ci95_upper"]) == (pytest.approx(at(0.025)), pytest.approx(at(0.975)))
+
+
+def test_tfidf_counts_terms_where_the_text_is(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("doc_id < 40").select("doc_id", "text")
+    for grams in (models.word_grams, models.char_grams):
+        counts = models.term_counts(docs, "doc_id", "text", grams)
+        assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+        plain = docs.select("doc_id", text.tokens("text").alias("w")).select("doc_id", F.explode(grams("w")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("c"))
+        assert counts.exceptAll(plain).count() == plain.exceptAll(counts).count() == 0
+    whole = {(r["doc_id"], r["term"]): r["weight"] for r in models.tfidf(docs, "doc_id", "text").collect()}
+    monkeypatch.setattr(models, "MOST_HOT", 5)  # nearly all terms are in the shuffle
+    monkeypatch.setattr(models, "MOST_NORMS", 0)
+    parts = {(r["doc_id"], r["term"]): r["weight"] for r in models.tfidf(docs, "doc_id", "text").collect()}
+    assert whole.keys() == parts.keys() and all(whole[k] == pytest.approx(parts[k]) for k in whole)
+    sums = {r["doc_id"]: r for r in models.tfidf_sums(docs, "doc_id", "text").collect()}
+    for k, r in sums.items():
+        mine = [w for (d, _), w in whole.items() if d == k]
+        assert (r["terms"], r["total"], r["largest"]) == (len(mine), pytest.approx(sum(mine)), pytest.approx(max(mine)))
