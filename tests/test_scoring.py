@@ -159,3 +159,16 @@ def test_multilabel_constant_and_learnt(spark):
 def test_scaling_of_equal_values(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     assert [tuple(r) for r in df.select(*multiview.scaling(df, ["a", "b"]).values()).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
+
+
+def test_terms_of_folds_come_from_one_count(spark):
+    counts = spark.createDataFrame([(k, f"t{t}", 1 + (k * t) % 3) for k in range(12) for t in range(6) if (k + t) % 3], "id long, term string, c long")
+    folds = spark.createDataFrame([(k, k % 3) for k in range(12)], "id long, fold int")
+    totals = multiview.term_totals(counts.join(folds, "id"), "fold").filter("fold <> 1")
+    seen = counts.join(folds.filter("fold <> 1"), "id")
+    assert multiview.known_terms(totals, 8, 4).collect() == multiview.known_terms(multiview.term_totals(seen), 8, 4).collect()
+    terms = multiview.known_terms(totals, 8, 4)
+    vectors = multiview.text_vectors(folds, "id", counts, terms, 4)
+    assert "to_json" not in vectors._jdf.queryExecution().optimizedPlan().toString()
+    norms = [float(r["features"].norm(2)) for r in vectors.collect()]
+    assert len(norms) == 12 and all(x == 0 or x == pytest.approx(1) for x in norms) and max(norms) > 0
