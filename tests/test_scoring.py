@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegrid.functions import features, intents, message, rules, text, urls
-from sievegrid.operators import multiview, quality
+from sievegrid.operators import models, multiview, quality
 from sievegrid.plans import scoring
 from sievegrid.sources import files, store
 
@@ -172,3 +172,30 @@ def test_terms_of_folds_come_from_one_count(spark):
     assert "to_json" not in vectors._jdf.queryExecution().optimizedPlan().toString()
     norms = [float(r["features"].norm(2)) for r in vectors.collect()]
     assert len(norms) == 12 and all(x == 0 or x == pytest.approx(1) for x in norms) and max(norms) > 0
+
+
+def test_grams_are_those_of_the_array_function(spark):
+    df = spark.createDataFrame([(1, "abc de abc straße 漢字漢字 xx"), (2, ""), (3, None)], "id long, t string")
+    want = df.select("id", F.explode(models.char_grams(text.tokens("t"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("c"))
+    got = models.term_counts(df, "id", "t", models.char_grams)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() > 20
+    assert "lambda" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_folds_share_one_gathering_of_terms(spark, stack):
+    fitted = [r.path for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"{stack.folder}/known_word").select("path").collect()]
+    assert fitted and set(stack.vectors) == {"word", "char"}  # one table of vectors a view, not one a fold
+    counts = spark.read.parquet(f"{stack.folder}/terms_word")
+    for fold in (0, None):
+        seen, rows, kinds = stack._featured("word", fold)
+        left = stack.train.filter(F.col("fold") != fold) if fold is not None else stack.train
+        terms = multiview.known_terms(multiview.term_totals(counts.join(left.select("id"), "id")), left.count(), multiview.MOST_TERMS["word"])
+        want = {r["term"]: r["idf"] for r in terms.collect()}
+        assert {r["term"]: pytest.approx(r["idf"]) for r in kinds.collect()} == want
+        named = {r["index"]: r["term"] for r in kinds.collect()}
+        plain = {r["id"]: r["features"] for r in multiview.text_vectors(left.select("id", "y"), "id", counts, terms, len(want)).collect()}
+        at = {r["term"]: r["index"] for r in terms.collect()}
+        got = {r["id"]: r["features"] for r in seen.collect()}
+        assert set(got) == set(plain) and rows.count() == (16 if fold is None else stack.train.filter(F.col("fold") == fold).count())
+        for i, v in got.items():
+            assert {at[named[k]]: pytest.approx(x) for k, x in zip(v.indices, v.values, strict=True) if x} == dict(zip(plain[i].indices, plain[i].values, strict=True))
