@@ -199,3 +199,16 @@ def test_folds_share_one_gathering_of_terms(spark, stack):
         assert set(got) == set(plain) and rows.count() == (16 if fold is None else stack.train.filter(F.col("fold") == fold).count())
         for i, v in got.items():
             assert {at[named[k]]: pytest.approx(x) for k, x in zip(v.indices, v.values, strict=True) if x} == dict(zip(plain[i].indices, plain[i].values, strict=True))
+
+
+def test_signs_and_words_are_counted_without_a_string_of_each(spark):
+    odd = ["", "a b c. \n!!", "\U0001f600 İª١ éx a_b-- 漢字 \U00010400Z", "  ", "x", "a@b.com.x@c.de Q9", None]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, char_text string").withColumns({"subject": F.lit(""), "text_body": F.lit("")})
+    got = features.with_structure(df)
+    n, t = (lambda p: F.regexp_count("t", F.lit(p)).cast("double")), F.coalesce("char_text", F.lit(""))
+    share = lambda p, whole: F.coalesce(F.try_divide(n(p), whole), F.lit(0.0))
+    want = df.withColumn("t", t).select("id", n(r"(?U)\w+"), share(r"[^\x00-\x7F]", F.length("t")), share(r"\p{Lu}", n(r"\p{L}")), share(r"\p{Nd}", F.length("t")), n(features.ADDRESS_IN_TEXT))
+    names = ["word_count", "non_ascii_ratio", "uppercase_ratio", "digit_ratio", "email_address_count"]
+    assert sorted(map(tuple, got.select("id", *names).collect())) == sorted(map(tuple, want.collect()))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(f"regexp_extract_all(char_text#{p}" in plan for p in "0123456789") and plan.count("\\p{L}") == plan.count("[^\\p{L}]+")
