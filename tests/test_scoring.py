@@ -1,6 +1,7 @@
 """Golden rows and invariants of features, contexts, stored analyses, training checks and models over views."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -156,6 +157,23 @@ def test_multilabel_constant_and_learnt(spark):
     assert all((r["p_ask"] >= 0.8) if i % 2 else (r["p_ask"] <= 0.2 and r["p_note"] >= 0.8) for i, r in got.items())
 
 
+@pytest.mark.parametrize("at_once", [1, 7, 100_000])
+def test_bags_are_the_counts_of_the_most_frequent_grams(spark, monkeypatch, at_once):
+    monkeypatch.setattr(models, "WORDS_AT_ONCE", at_once)
+    texts = ["abc de abc straße 漢字漢字 xx", "", None, "xx abcd abc \U00010400\U00010400a", "de 漢字 " * 9, "lonely lonely lonely", "\U00010400\U00010400a straße"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    rows = df.select("id", text.tokens("t").alias("w"))
+    counts = models.term_counts(df, "id", "t", models.char_grams)
+    for most in (1000, 12):
+        known = models.frequent_char_terms(rows, "id", "w", most)
+        assert sorted(known) == sorted(r["term"] for r in multiview.known_terms(multiview.term_totals(counts), len(texts), most).collect()) and len(known) > 11
+        got = {(r["id"], known[k], round(x, 9)) for r in models.char_bags(rows, "w", known).collect() for k, x in zip(r["bag"]["indices"], r["bag"]["values"], strict=True)}
+        want = {(r["id"], r["term"], round(1 + math.log(r["c"]), 9)) for r in counts.collect() if r["term"] in known}
+        assert got == want
+    bags = models.char_bags(rows, "w", []).collect()
+    assert len(bags) == len(texts) and not any(r["bag"]["indices"] for r in bags)
+
+
 def test_scaling_of_equal_values(spark):
     df = spark.createDataFrame([(1.0, 5.0), (3.0, 5.0)], "a double, b double")
     assert [tuple(r) for r in df.select(*multiview.scaling(df, ["a", "b"]).values()).collect()] == [(-1.0, 0.0), (1.0, 0.0)]
