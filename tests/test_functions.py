@@ -1,5 +1,8 @@
 """Golden rows for text, link, message, rule and intent functions."""
 
+import hashlib
+
+import pytest
 from pyspark.sql import functions as F
 
 from sievegrid.functions import intents, message, rules, text, urls
@@ -112,3 +115,29 @@ def test_all_rules_are_capped(spark):
 def test_fused_scores_round_tenths_half_even(spark):
     rows = spark.createDataFrame([(0.6, 59.0), (0.8, 1.0), (0.6, 41.0), (0.8, 23.0), (0.2, 41.0), (0.5, 50.0)], "p double, r double")
     assert [x["s"] for x in rows.select(rules.fused(F.col("p"), F.col("r")).alias("s")).collect()] == [59.6, 52.4, 53.4, 60.0, 27.4, 50.0]
+
+
+def test_masks_of_texts_that_need_them_and_of_others(spark):
+    odd = ["", "plain text\nof two lines", " led", "trailed\u2028", "two  blanks", "tab\there", "a \nb", "a\n b", "a\n\n\nb", "a\r\nb", "bell\x07", "\u00a0hard", "ﬁ１２３４５", "①", "x@y.example mail", "@ 12345", "123@y.example45678", "WWW.Example/1", "fTp://a", "1234 5", "١٢٣٤٥", "a12345", "http:// 99999 www.", None]
+    df = spark.createDataFrame(list(enumerate(odd)), "id long, t string")
+    n0 = df.select("id", text.normalized("t").alias("t0"))
+    n1 = n0.select("id", "t0", F.regexp_replace("t0", text.EMAIL, "<EMAIL>").alias("t1"))
+    n2 = n1.select("*", F.regexp_replace("t1", text.URL, "<URL>").alias("t2"))
+    want = n2.select("id", F.regexp_replace("t2", text.LONG_NUMBER, "<NUMBER>").alias("m"), F.regexp_count("t0", F.lit(text.EMAIL)).alias("m_emails"), F.regexp_count("t1", F.lit(text.URL)).alias("m_urls"), F.regexp_count("t2", F.lit(text.LONG_NUMBER)).alias("m_numbers"))
+    got = text.with_masks(df, {"m": "t"})
+    assert sorted(map(tuple, got.select(*want.columns).collect())) == sorted(map(tuple, want.collect()))
+    assert "[\\x00-\\x09" in got._jdf.queryExecution().optimizedPlan().toString()  # tidy texts aren't read by every pattern
+
+
+@pytest.mark.parametrize("at_once", [1, 5, 100_000])
+def test_simhash_without_a_shuffle(spark, monkeypatch, at_once):
+    monkeypatch.setattr(text, "WORDS_AT_ONCE", at_once)
+    odd = ["", None, "ab", "ab cd ab", "a b c", "straße 漢字 \U00010400\U00010400 ab", "ab " * 40 + "cd " * 41, "x", "Ab CD eF"]
+    df = spark.createDataFrame([(k, t, [f"w{k}"]) for k, t in enumerate(odd)], "id long, t string, w array<string>")
+    got = text.simhash64(df, "id", "t", "w")
+    want = {}
+    for r in df.select("id", text.tokens("t").alias("x")).collect():
+        hashes = [int(hashlib.md5(t.encode()).hexdigest()[:16], 16) for t in r["x"]]
+        want[r["id"]] = f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes)):016x}"
+    assert {r["id"]: r["simhash"] for r in got.collect()} == want and all(r["w"] == [f"w{r['id']}"] for r in got.collect())
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
