@@ -141,3 +141,19 @@ def test_simhash_without_a_shuffle(spark, monkeypatch, at_once):
         want[r["id"]] = f"{sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) >= len(hashes)):016x}"
     assert {r["id"]: r["simhash"] for r in got.collect()} == want and all(r["w"] == [f"w{r['id']}"] for r in got.collect())
     assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_placeholders_of_blank_texts_follow_their_sql(spark, tmp_path):
+    import duckdb
+
+    import __spark_entry__ as driver
+
+    texts = [None, "", " \n", "\t", "a  <URL>\nb 123456 x@y.zz"]
+    spark.createDataFrame([(k, t, "en", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(0, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    con = duckdb.connect()
+    for name in ("documents", "labels"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in driver.queries()["b33_placeholder_stats"](spark, str(tmp_path)).collect())
+    assert got == sorted(con.execute(driver.oracle_sql()["b33_placeholder_stats"]).fetchall())
+    assert one(spark, text.placeholder_stats("t")["tokens"], t=" \n") == 0  # the reference's split() finds none
