@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sievegrid.functions import features, intents, message, rules, text, urls
-from sievegrid.operators import models, multiview, quality
+from sievegrid.operators import bagged, models, multiview, quality
 from sievegrid.plans import scoring
 from sievegrid.sources import files, store
 
@@ -230,3 +230,40 @@ def test_signs_and_words_are_counted_without_a_string_of_each(spark):
     assert sorted(map(tuple, got.select("id", *names).collect())) == sorted(map(tuple, want.collect()))
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert not any(f"regexp_extract_all(char_text#{p}" in plan for p in "0123456789") and plan.count("\\p{L}") == plan.count("[^\\p{L}]+")
+
+
+def test_models_fitted_in_passes_are_those_of_the_library(spark, monkeypatch):
+    """The same objective as MLlib's on the same vectors; rows that a model doesn't see don't count, and a term may stand in a row more often than 16 bits can say."""
+    import numpy as np
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.linalg import Vectors
+
+    monkeypatch.setattr(bagged, "TERMS_AT_ONCE", 40)
+    rng = np.random.default_rng(7)
+    texts = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "epsilon"], 6 + k % 5)) for k in range(60)] + ["", "zz " * 70_000]
+    rows = [(k, t, int((k * 7) % 5 < 2 or "alpha" in t), k % 3) for k, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "id long, t string, y long, fold int").select("id", "y", "fold", text.tokens("t").alias("w"), F.lit(0).alias("group"))
+    df = df.withColumn("ys", F.array(*(F.when(F.col("fold") != f, F.col("y")).otherwise(-1).cast("tinyint") for f in range(3))))
+    known = models.frequent_char_terms(df, "id", "w", 40)
+    bags = files.written(models.char_bags(df, "w", known, packed=True), "bags")
+    dfs = bagged.row_counts(bags, len(known), 1)
+    idf = np.log((1 + len(rows)) / (1 + dfs)) + 1
+    bags = bagged.with_norms(bags, idf)
+    counts = [tuple(sum(r[2] == y and r[3] != f for r in rows) for y in (0, 1)) for f in range(3)]
+    monkeypatch.setattr(bagged, "TOLERANCE", 1e-9)
+    monkeypatch.setattr(bagged, "MOST_STEPS", 1000)
+    found = bagged.fitted(bags, idf, counts)
+    p = {r["id"]: r["p"] for r in found.probabilities(bags, ["id"]).collect()}
+    vectors, plain = [], {r["id"]: r["bag"] for r in models.char_bags(df, "w", known).collect()}
+    for k, _, y, fold in rows:
+        x = np.zeros(len(known))
+        x[plain[k]["indices"]] = plain[k]["values"]
+        x = x * idf[0]
+        vectors.append((k, float(y), fold, Vectors.dense(x / (np.linalg.norm(x) or 1))))
+    table = spark.createDataFrame(vectors, ["id", "y", "fold", "features"]).coalesce(1)
+    for f in range(3):
+        seen = models.class_weights(table.filter(F.col("fold") != f), "y")
+        want = LogisticRegression(labelCol="y", weightCol="weight", regParam=0.01, maxIter=1000, tol=1e-12).fit(seen)
+        assert np.abs(found.weights[f] - want.coefficients.toArray()).max() < 1e-3 and abs(found.intercepts[f] - want.intercept) < 1e-3
+        for r in want.transform(table).collect():
+            assert abs(p[r["id"]][f] - r["probability"][1]) < 1e-4
