@@ -267,3 +267,12 @@ def test_models_fitted_in_passes_are_those_of_the_library(spark, monkeypatch):
         assert np.abs(found.weights[f] - want.coefficients.toArray()).max() < 1e-3 and abs(found.intercepts[f] - want.intercept) < 1e-3
         for r in want.transform(table).collect():
             assert abs(p[r["id"]][f] - r["probability"][1]) < 1e-4
+
+
+def test_scores_keep_what_is_asked_and_bags_are_packed(spark, stack, tmp_path):
+    assert all({"places", "times", "norms"} <= set(v.columns) for v in stack.vectors.values())  # one packed table a view, for all folds
+    saved = stack.save(str(tmp_path / "stack"))
+    out = saved.scored(spark.read.parquet(f"{stack.folder}/rows"), str(tmp_path / "rows"), ["id"])
+    assert out.columns == ["id", *(f"p_{v}" for v in multiview.VIEWS), "fused", "probability"] and spark.read.parquet(str(tmp_path / "rows")).count() == 64
+    want = {r["id"]: r["probability"] for r in stack.predictions().collect()}
+    assert all(abs(r["probability"] - want[r["id"]]) < 1e-9 for r in out.collect() if r["id"] in want)
